@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.functions import fields as f
 from harborwatch.operators import features as ft
+from harborwatch.operators.history import history_list
 from harborwatch.operators.ordering import ordinals, running_totals
 from harborwatch.schema import FEATURES, Params
 
@@ -68,8 +69,6 @@ def cycle_history_ip(records: DataFrame, history: DataFrame, ordinal: str) -> Da
 
     Every (port, position) exists once, so a long trace may be split freely on the record side.
     """
-    from harborwatch.operators.history import history_list
-
     lengths = history.groupBy("port").agg(F.count(F.lit(1)).alias("_length"))
     listed = history_list(history).select("port", F.col("position").alias("_position"),
                                           F.col("ext_ip").alias("cycled_ip"))
@@ -129,24 +128,26 @@ def map_attackers(hosts: DataFrame, chosen: DataFrame, p: Params) -> DataFrame:
     return numbered.join(F.broadcast(wanted), ["day", "place"]).select("day", "attacker_ip", "int_ip")
 
 
-def overlay_all_ports(trace: DataFrame, mapping: DataFrame, merge_day: date, p: Params) -> DataFrame:
-    """Attack records as connections of the merge day, repeated on every port."""
+def place_attack(trace: DataFrame, mapping: DataFrame, merge_day: date, p: Params) -> DataFrame:
+    """Attack records on the merge day, seen as coming from the mapped background hosts."""
     placed = attack_window(trace, p).filter(F.col("timewindow") < p.tw_per_day)
-    mapped = placed.join(
-        F.broadcast(mapping.select(F.col("attacker_ip").alias("orig_h"), "int_ip")), "orig_h")
-    return mapped.select(
+    hosts = mapping.filter(F.col("day") == F.lit(merge_day)).select(F.col("attacker_ip").alias("orig_h"), "int_ip")
+    return placed.join(F.broadcast(hosts), "orig_h").select(
         "variant", F.lit(merge_day).alias("day"), "timewindow", "seq", "int_ip",
-        F.col("resp_h").alias("ext_ip"), *ft.MEASURES, "conn_state",
-        F.explode(F.array(*[F.lit(x) for x in p.ports])).alias("port"))
+        F.col("resp_h").alias("ext_ip"), *ft.MEASURES, "conn_state")
+
 
+def overlay_all_ports(rows: DataFrame, p: Params) -> DataFrame:
+    """The trace counts on every port, whatever port it attacked."""
+    return rows.select("*", F.explode(F.array(*[F.lit(x) for x in p.ports])).alias("port"))
 
-def attack_window_features(trace: DataFrame, mapping: DataFrame, merge_day: date, p: Params) -> DataFrame:
+
+def attack_window_features(placed: DataFrame) -> DataFrame:
     """Attack traffic alone: per variant and window, without the history-based count."""
-    rows = overlay_all_ports(trace, mapping, merge_day, p).filter(F.col("port") == p.ports[0])
     key = ["variant", "timewindow"]
-    peers = ft.window_peers(rows, key).groupBy(*key).agg(
+    peers = ft.window_peers(placed, key).groupBy(*key).agg(
         F.count_if(F.col("external")).alias("external_ips"), F.count_if(~F.col("external")).alias("internal_ips"))
-    return ft.traffic_statistics(rows, key).join(peers, key)
+    return ft.traffic_statistics(placed, key).join(peers, key)
 
 
 def propagation_rate(attack_features: DataFrame) -> DataFrame:
@@ -155,34 +156,35 @@ def propagation_rate(attack_features: DataFrame) -> DataFrame:
         F.avg("external_ips").alias("ips_per_window"), F.count(F.lit(1)).alias("active_windows"))
 
 
-def _overlay_peers(background: DataFrame, attack: DataFrame, merge_day: date, p: Params, base_day: date) -> DataFrame:
+def _per_variant(rows: DataFrame, variants: list[str]) -> DataFrame:
+    return rows.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
+
+
+def _overlay_peers(
+    background: DataFrame, placed: DataFrame, variants: list[str], merge_day: date, p: Params, base_day: date
+) -> DataFrame:
     """Peer counts of background and attack together, per (variant, window, port).
 
     Background addresses are new by the background rule; attack addresses are new when no background day up
-    to and including the merge day has seen them on the port.
+    to and including the merge day has seen them on the port. Both sources collapse to distinct addresses per
+    window before they are repeated for variants and ports.
     """
     today = F.col("day") == F.lit(merge_day)
-    variants = attack.select("variant").distinct()
-    seen = ft.window_peers(ft.history_only(background, ~today))
-    # Every variant meets the same background; the list of variants is a handful of names.
-    seen = seen.join(F.broadcast(variants), how="cross").withColumn("bg_seq", F.col("timewindow").cast("long"))
-    key = ["variant", "day", "timewindow", "port", "external", "ip"]
-    sides = F.explode(F.array(
-        F.struct(F.lit(True).alias("external"), F.col("ext_ip").alias("ip")),
-        F.struct(F.lit(False).alias("external"), F.col("int_ip").alias("ip")),
-    ))
-    hits = attack.select("variant", "day", "timewindow", "port", "seq", sides.alias("peer")).select(
-        "variant", "day", "timewindow", "port", "peer.*", "seq").groupBy(*key).agg(F.min("seq").alias("attack_seq"))
-    both = seen.unionByName(hits, allowMissingColumns=True).groupBy(*key).agg(
-        F.min("bg_seq").alias("bg_seq"), F.min("attack_seq").alias("attack_seq"))
+    seen = _per_variant(ft.window_peers(ft.history_only(background, ~today)), variants).withColumn(
+        "bg_seq", F.col("timewindow").cast("long"))
+    window = ["variant", "day", "timewindow", "seq"]
+    hits = overlay_all_ports(ft.window_peers(placed, window), p).withColumnRenamed("seq", "attack_seq")
+    both = seen.unionByName(hits, allowMissingColumns=True).groupBy(
+        "variant", "day", "timewindow", "port", "external", "ip",
+    ).agg(F.min("bg_seq").alias("bg_seq"), F.min("attack_seq").alias("attack_seq"))
 
     sightings = W.partitionBy("variant", "port", "external", "ip")
     on_day = W.partitionBy("variant", "port", "external", "ip", "day")
+    from_bg = F.col("bg_seq").isNotNull()
     if p.history_mode == "base_day":
-        known = F.max((F.col("day") == F.lit(base_day)) & F.col("bg_seq").isNotNull()).over(sightings)
+        known = F.max((F.col("day") == F.lit(base_day)) & from_bg).over(sightings)
     else:
-        known = F.coalesce(F.min(F.when(F.col("bg_seq").isNotNull(), F.col("day"))).over(sightings) < F.col("day"),
-                           F.lit(False))
+        known = F.coalesce(F.min(F.when(from_bg, F.col("day"))).over(sightings) < F.col("day"), F.lit(False))
     flagged = both.withColumns({
         "bg_known": known, "bg_sightings": F.count("bg_seq").over(sightings),
     }).withColumns({
@@ -190,7 +192,6 @@ def _overlay_peers(background: DataFrame, attack: DataFrame, merge_day: date, p:
     }).filter(today)
     bg_new = F.coalesce((F.col("bg_seq") == F.col("bg_first")) & ~F.col("bg_known"), F.lit(False))
     attack_new = F.coalesce((F.col("attack_seq") == F.col("attack_first")) & (F.col("bg_sightings") == 0), F.lit(False))
-    # Rows of one window merged both sources above, so each address counts once.
     return flagged.groupBy("variant", "day", "timewindow", "port").agg(
         F.count_if(F.col("external")).alias("external_ips"),
         (F.count_if(F.col("external") & bg_new) + F.count_if(F.col("external") & attack_new)).alias("new_external_ips"),
@@ -199,33 +200,31 @@ def _overlay_peers(background: DataFrame, attack: DataFrame, merge_day: date, p:
 
 
 def merge_overlay(
-    conns: DataFrame, trace: DataFrame, mapping: DataFrame, merge_day: date, p: Params, base_day: date
+    conns: DataFrame, trace: DataFrame, mapping: DataFrame, variants: list[str], merge_day: date, p: Params,
+    base_day: date,
 ) -> DataFrame:
-    """Labelled, dense feature rows of the merge day with the attack added on every port.
+    """Labelled, dense feature rows of the merge day, one set per variant, with the attack on every port.
 
     Adding records and aggregating once equals continuing the background accumulators with the attack.
     """
     start, _ = f.day_bounds(base_day, p.report_tz)
     _, end = f.day_bounds(merge_day, p.report_tz)
-    in_scope = conns.filter((F.col("ts") >= start) & (F.col("ts") < end))
-    background = ft.profiled_connections(in_scope, p)
-    attack = overlay_all_ports(trace, mapping, merge_day, p)
+    background = ft.profiled_connections(conns.filter((F.col("ts") >= start) & (F.col("ts") < end)), p)
+    placed = place_attack(trace.filter(F.col("variant").isin(variants)), mapping, merge_day, p)
     key = ["variant", "day", "timewindow", "port"]
     values = [*key, *ft.MEASURES, "conn_state"]
 
-    variants = attack.select("variant").distinct()
-    today = background.filter(F.col("day") == F.lit(merge_day)).join(F.broadcast(variants), how="cross")
-    stats = ft.traffic_statistics(today.select(*values).unionByName(attack.select(*values)), key)
-    peers = _overlay_peers(background, attack, merge_day, p, base_day)
-    features = stats.join(peers, key)
-
-    days = variants.withColumn("day", F.lit(merge_day))
-    dense = ft.densify(features, days, p, keys=("variant", "day"))
-    return label_windows(dense, attack).select(*key, *FEATURES, "label")
+    today = _per_variant(background.filter(F.col("day") == F.lit(merge_day)), variants)
+    stats = ft.traffic_statistics(today.select(*values).unionByName(overlay_all_ports(placed, p).select(*values)), key)
+    peers = _overlay_peers(background, placed, variants, merge_day, p, base_day)
+    spark = conns.sparkSession
+    days = _per_variant(spark.range(1).select(F.lit(merge_day).alias("day")), variants)
+    dense = ft.densify(stats.join(peers, key), days, p, keys=("variant", "day"))
+    return label_windows(dense, placed).select(*key, *FEATURES, "label")
 
 
-def label_windows(features: DataFrame, attack: DataFrame) -> DataFrame:
+def label_windows(features: DataFrame, placed: DataFrame) -> DataFrame:
     """label = the window has at least one attack record."""
-    active = attack.select("variant", "day", "timewindow").distinct().withColumn("_hit", F.lit(True))
+    active = placed.select("variant", "day", "timewindow").distinct().withColumn("_hit", F.lit(True))
     return features.join(active, ["variant", "day", "timewindow"], "left").withColumn(
         "label", F.col("_hit").isNotNull()).drop("_hit")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harborwatch.functions import fields as f
+from harborwatch.operators.ordering import running_totals
 from harborwatch.schema import Params
 
 
@@ -29,12 +30,7 @@ def first_seen(rows: DataFrame) -> DataFrame:
 
 
 def history_list(history: DataFrame) -> DataFrame:
-    """All days' addresses per port with a 0-based position ordered by (day, address).
-
-    Positions come from per-day counts, so no port is sorted as a whole.
-    """
-    from harborwatch.operators.ordering import running_totals
-
+    """All days' addresses per port with a 0-based position ordered by (day, address)."""
     listed = running_totals(history, ["port", "day", "ext_ip"], {"position": (["port"], F.lit(1).cast("long"))})
     return listed.select("port", (F.col("position") - 1).alias("position"), "day", "ext_ip")
 
@@ -71,9 +67,12 @@ def eligible_subnets(sizes: DataFrame, p: Params, min_hosts: int) -> DataFrame:
     return sizes.filter(f.in_cidr(address, p.network) & (F.col("n_ips") >= min_hosts))
 
 
-def choose_subnets(sizes: DataFrame, p: Params, min_hosts: int = 1, k: int = 1) -> DataFrame:
-    """k eligible subnets per day in seeded order; the job fails when a day has fewer."""
-    eligible = eligible_subnets(sizes, p, min_hosts)
+def choose_subnets(sizes: DataFrame, p: Params, min_hosts: int | None = None, k: int = 1) -> DataFrame:
+    """k eligible subnets per day in seeded order; the job fails when a day has fewer.
+
+    A subnet must hold at least as many hosts as there are attackers to map.
+    """
+    eligible = eligible_subnets(sizes, p, len(p.attackers) if min_hosts is None else min_hosts)
     # A /16 network has at most 256 subnets, so a day is a small group.
     w = W.partitionBy("day")
     ranked = eligible.withColumns({

@@ -39,13 +39,14 @@ def scan_attack_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_conn_lines(spark.read.text(path), ATTACK_FIELDS, drop_last=False)
 
 
-def split_by_day(conns: DataFrame, p: Params, path: str, fmt: str = "parquet") -> None:
-    """Monitored rows with the local wall clock as ts, one partition per local day."""
-    monitored = port_prefilter(conns, p)
-    with_day = monitored.withColumns({
-        "day": f.local_day(F.col("ts"), p.report_tz),
-        "ts": f.local_wallclock(F.col("ts"), p.report_tz),
-    })
+def split_by_day(conns: DataFrame, p: Params, path: str, fmt: str = "parquet", shift_ts: bool = False) -> None:
+    """Monitored rows, one partition per local day.
+
+    ``shift_ts`` stores the local wall clock as ts; readers of such a table must use the UTC zone.
+    """
+    with_day = port_prefilter(conns, p).withColumn("day", f.local_day(F.col("ts"), p.report_tz))
+    if shift_ts:
+        with_day = with_day.withColumn("ts", f.local_wallclock(F.col("ts"), p.report_tz))
     writer = with_day.write.mode("overwrite").partitionBy("day")
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "-").csv(path)
