@@ -76,13 +76,14 @@ def random_public_ip(seed: str, *keys: Column) -> Column:
     The i-th candidate is the top 32 bits of md5(seed, keys, i); the first global one is taken. When
     all candidates fail, the last one is moved into 1.0.0.0/8, which is global.
     """
-    candidates = [
-        F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys, F.lit(str(i)))), 1, 8), 16, 10).cast("long")
-        for i in range(PUBLIC_IP_TRIES)
-    ]
-    picks = [F.when(is_global(c), c) for c in candidates]
-    fallback = F.lit(1 << 24) + candidates[-1] % F.lit(1 << 24)
-    return ip_text(F.coalesce(*picks, fallback))
+    def candidate(i: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(seed), *keys, i.cast("string")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(PUBLIC_IP_TRIES - 1)), candidate)
+    fallback = F.lit(1 << 24) + candidate(F.lit(PUBLIC_IP_TRIES - 1)) % F.lit(1 << 24)
+    number = F.coalesce(F.get(F.filter(tries, is_global), F.lit(0)), fallback)
+    return F.get(F.transform(F.array(number), ip_text), F.lit(0))
 
 
 def seeded_order(seed: str, *keys: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import mul
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.operators.kde import kde_ccdf, kde_score
@@ -27,18 +30,30 @@ def attach_importance(long: DataFrame, importance: DataFrame) -> DataFrame:
 def feature_densities(
     features: DataFrame, scaler: DataFrame, support: DataFrame, columns: list[str] = MODEL_FEATURES, clip: bool = True
 ) -> DataFrame:
+    """(keys, feature, density). A density depends on the value only, so each distinct value is scored once.
+
+    This also gives equal windows exactly equal scores, whatever the order of summation.
+    """
     keys = window_keys(features)
-    return kde_score(scaled_long(features, scaler, keys, columns, clip), support, keys)
+    long = scaled_long(features, scaler, keys, columns, clip)
+    scored = kde_score(long.select("port", "feature", "z").distinct(), support, ["port", "z"])
+    return long.join(scored, ["port", "feature", "z"]).select(*keys, "feature", "density")
+
+
+def _ordered_sum(*parts: Column) -> Column:
+    """Sum of products in feature order (one entry per feature of a window)."""
+    entries = F.sort_array(F.collect_list(F.struct("feature", *[c.alias(f"_{i}") for i, c in enumerate(parts)])))
+    return F.aggregate(entries, F.lit(0.0), lambda total, e: total + reduce(mul, [e[f"_{i}"] for i in range(len(parts))]))
 
 
 def mean_score(parts: DataFrame, keys: list[str], value: str = "density") -> DataFrame:
-    return parts.groupBy(*keys).agg(F.avg(value).alias("score"))
+    return parts.groupBy(*keys).agg((_ordered_sum(F.col(value)) / F.count(F.lit(1))).alias("score"))
 
 
 def weighted_score(parts: DataFrame, importance: DataFrame, keys: list[str], value: str = "density") -> DataFrame:
     weighted = attach_importance(parts, importance)
     return weighted.groupBy(*keys).agg(
-        (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("score"))
+        (_ordered_sum(F.col("weight"), F.col(value)) / _ordered_sum(F.col("weight"))).alias("score"))
 
 
 def score_spread(parts: DataFrame, keys: list[str], value: str = "density") -> DataFrame:

@@ -19,9 +19,8 @@ def topk_report(scores: DataFrame) -> DataFrame:
     return ranking.topk_metrics(ranking.rank_scores(scores))
 
 
-def detection_counts(table: DataFrame, scores: DataFrame, percentiles: DataFrame, percentile: float,
+def detection_counts(table: DataFrame, scores: DataFrame, percentiles: DataFrame, percentile: float, ports: list[int],
                      lists: bool = False) -> DataFrame:
-    """Confusion counts on the ports that were scored."""
-    scored_ports = scores.select("port").distinct()
-    judged = table.join(F.broadcast(scored_ports), "port", "left_semi")
+    """Confusion counts on the given (scored) ports."""
+    judged = table.filter(F.col("port").isin(ports))
     return evaluation.confusion(evaluation.detect(judged, scores, percentiles, percentile), lists)
