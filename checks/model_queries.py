@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as x
 from checks import sql as q
 from checks import stages as st
-from checks.ingest_queries import training_windows, window_features
+from checks.ingest_queries import window_features
 from checks.registry import query, rounded
 from harborwatch.operators import ensemble, evaluation, forest, importance, kde, ranking, scaling, vectors
 from harborwatch.plans import detection, training
@@ -101,7 +101,7 @@ _FOLDS = [*q.train(14400), ("folded", """
 
 
 def _cv_inputs(spark, sf_dir):
-    train = training_windows(spark, sf_dir, P_DAYPART)
+    train = st.train(spark, sf_dir, P_DAYPART)
     return train, scaling.scaler_fit(train, P_DAYPART)
 
 
@@ -124,18 +124,19 @@ def _values(spark, sf_dir):
     return long.select("port", "feature", "z").distinct()
 
 
-@query("kde_score", q.with_(_DENSITIES, "SELECT port, feature, round(z, 9) AS z, round(density, 6) AS density FROM densities"))
+@query("kde_score", q.with_(_DENSITIES, "SELECT DISTINCT port, feature, round(z, 9) AS z, round(density, 6) AS density FROM densities"))
 def kde_score(spark, sf_dir):
     scored = kde.kde_score(_values(spark, sf_dir), st.models(spark, sf_dir).support, ["port", "z"])
-    return scored.select("port", "feature", F.round("z", 9).alias("z"), F.round("density", 6).alias("density"))
+    return scored.select("port", "feature", F.round("z", 9).alias("z"), F.round("density", 6).alias("density")).distinct()
 
 
 @query("kde_pairs", q.with_(_DENSITIES, f"""
-    SELECT d.port, d.feature, round(z, 9) AS z, round(density * n.n * {H} * sqrt(2 * pi()), 5) AS kernel_sum, cast(n.n AS bigint) AS pairs
+    SELECT DISTINCT d.port, d.feature, round(z, 9) AS z, round(density * n.n * {H} * sqrt(2 * pi()), 5) AS kernel_sum, cast(n.n AS bigint) AS pairs
     FROM densities d JOIN sizes_train n ON n.port = d.port"""))
 def kde_pairs(spark, sf_dir):
     pairs = kde.kde_pairs(_values(spark, sf_dir), st.models(spark, sf_dir).support, ["port", "z"])
-    return pairs.select("port", "feature", F.round("z", 9).alias("z"), F.round("kernel_sum", 5).alias("kernel_sum"), "pairs")
+    return pairs.select("port", "feature", F.round("z", 9).alias("z"), F.round("kernel_sum", 5).alias("kernel_sum"),
+                        "pairs").distinct()
 
 
 # --- models attached, ensembles ----------------------------------------------------------
@@ -167,7 +168,8 @@ _KEYS = ["variant", "day", "timewindow", "port", "label"]
 @query("ensemble_mean", q.with_(_SCORES, "SELECT variant, day, timewindow, port, label, round(score, 6) AS score FROM scores"))
 def ensemble_mean(spark, sf_dir):
     m = st.models(spark, sf_dir)
-    return rounded(detection.test_scores(st.scored_ports(spark, sf_dir), m))
+    scores = detection.test_scores(st.scored_ports(spark, sf_dir), m)
+    return rounded(scores.withColumn("score", F.round("score", 9)))
 
 
 _WEIGHTED = [*_DENSITIES, *q.importance(), ("weighted", """
@@ -185,7 +187,8 @@ def ensemble_weighted(spark, sf_dir):
 
 @query("mean_score", q.with_(_TRAIN_SCORES, "SELECT day, timewindow, port, round(score, 6) AS score FROM training_scores"))
 def mean_score(spark, sf_dir):
-    return rounded(training.training_scores(st.train_60(spark, sf_dir), st.models(spark, sf_dir)))
+    scores = training.training_scores(st.train_60(spark, sf_dir), st.models(spark, sf_dir))
+    return rounded(scores.withColumn("score", F.round("score", 9)))
 
 
 @query("weighted_score", q.with_([*_TRAIN, *q.densities(H, "train_z", "train_densities"), *q.importance()], """
@@ -232,7 +235,7 @@ _VECTOR = [*q.train(3600), ("day30", f"SELECT * FROM features WHERE day = DATE '
              - 35 * ln({VECTOR_H} * sqrt(2 * pi())), 6) AS log_density
     FROM distances d JOIN sizes_train n ON n.port = d.port GROUP BY d.timewindow, d.port"""))
 def kde_score_multi(spark, sf_dir):
-    train = training_windows(spark, sf_dir)
+    train = st.train(spark, sf_dir, x.PARAMS_3600)
     scaler = scaling.scaler_fit(train, x.PARAMS_3600)
     bandwidths = scaler.select("port").distinct().withColumn("h", F.array(F.lit(VECTOR_H)))
     test = _last_day(spark, sf_dir)
@@ -240,9 +243,8 @@ def kde_score_multi(spark, sf_dir):
     return scored.select("timewindow", "port", F.round("log_density", 6).alias("log_density"))
 
 
-def _last_day(spark, sf_dir, p=x.PARAMS_3600):
-    table = window_features(spark, sf_dir, p)
-    return table.filter((F.col("day") == F.lit(x.TEST_DAY)) & F.col("port").isin(list(p.model_ports)))
+def _last_day(spark, sf_dir):
+    return st.last_day(spark, sf_dir, x.PARAMS_3600)
 
 
 _JOINT_CV = [*q.train(14400), ("folded", """
@@ -291,7 +293,7 @@ def kde_multivariate(spark, sf_dir):
 
 
 def _forest_inputs(spark, sf_dir):
-    train = training_windows(spark, sf_dir)
+    train = st.train(spark, sf_dir, x.PARAMS_3600)
     return train, scaling.scaler_fit(train, x.PARAMS_3600)
 
 

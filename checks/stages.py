@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as x
 from checks.feature_queries import test_day
-from checks.ingest_queries import training_windows
+from checks.ingest_queries import training_windows, window_features
 from harborwatch.plans import detection, training
 from harborwatch.plans.training import Models
 from harborwatch.session import work_path
@@ -27,8 +27,21 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     return spark.read.parquet(_WRITTEN[key])
 
 
+def train(spark, sf_dir, p):
+    return stage(spark, sf_dir, f"train-{p.tw_seconds}", lambda: training_windows(spark, sf_dir, p))
+
+
 def train_60(spark, sf_dir):
-    return stage(spark, sf_dir, "train", lambda: training_windows(spark, sf_dir, x.PARAMS_60))
+    return train(spark, sf_dir, x.PARAMS_60)
+
+
+def last_day(spark, sf_dir, p):
+    """Background windows of the day after the training days, on the modelled ports."""
+    def build():
+        table = window_features(spark, sf_dir, p)
+        return table.filter((F.col("day") == F.lit(x.TEST_DAY)) & F.col("port").isin(list(p.model_ports)))
+
+    return stage(spark, sf_dir, f"last-day-{p.tw_seconds}", build)
 
 
 def test_60(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import mul
 
@@ -27,6 +28,17 @@ def attach_importance(long: DataFrame, importance: DataFrame) -> DataFrame:
     return long.join(F.broadcast(importance), ["port", "feature"])
 
 
+def _per_value(
+    features: DataFrame, scaler: DataFrame, support: DataFrame, columns: list[str], clip: bool,
+    score: Callable[[DataFrame, DataFrame, list[str]], DataFrame],
+) -> DataFrame:
+    """Score each distinct value once and hand the result to its windows."""
+    keys = window_keys(features)
+    long = scaled_long(features, scaler, keys, columns, clip)
+    scored = score(long.select("port", "feature", "z").distinct(), support, ["port", "z"])
+    return long.join(scored, ["port", "feature", "z"]).drop("z")
+
+
 def feature_densities(
     features: DataFrame, scaler: DataFrame, support: DataFrame, columns: list[str] = MODEL_FEATURES, clip: bool = True
 ) -> DataFrame:
@@ -34,10 +46,14 @@ def feature_densities(
 
     This also gives equal windows exactly equal scores, whatever the order of summation.
     """
-    keys = window_keys(features)
-    long = scaled_long(features, scaler, keys, columns, clip)
-    scored = kde_score(long.select("port", "feature", "z").distinct(), support, ["port", "z"])
-    return long.join(scored, ["port", "feature", "z"]).select(*keys, "feature", "density")
+    return _per_value(features, scaler, support, columns, clip, kde_score)
+
+
+def feature_tails(
+    features: DataFrame, scaler: DataFrame, support: DataFrame, columns: list[str] = MODEL_FEATURES, clip: bool = True
+) -> DataFrame:
+    """(keys, feature, tail): probability of a larger value under the fitted density."""
+    return _per_value(features, scaler, support, columns, clip, kde_ccdf)
 
 
 def _ordered_sum(*parts: Column) -> Column:
@@ -76,8 +92,7 @@ def ensemble_tails(
 ) -> DataFrame:
     """Tail probability of the ranked windows, combined like the scores; keeps rank and density score."""
     keys = window_keys(features)
-    rows = topk_rows(ranked, features)
-    tails = kde_ccdf(scaled_long(rows, scaler, keys, columns, clip=True), support, keys)
+    tails = feature_tails(topk_rows(ranked, features), scaler, support, columns)
     combined = mean_score(tails, keys, "tail") if importance is None else weighted_score(tails, importance, keys, "tail")
     return ranked.join(combined.withColumnRenamed("score", "normalized_score"), keys)
 

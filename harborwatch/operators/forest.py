@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from harborwatch.operators.kde import with_folds
 from harborwatch.operators.ordering import window_ordinals
-from harborwatch.operators.vectors import scaled_vectors
+from harborwatch.operators.vectors import blocked, fresh, scaled_vectors
 from harborwatch.schema import MODEL_FEATURES, Params
 
 TREES = 50
 SAMPLE = 100
+CONSTANT = 1e-7  # narrower value ranges are not split
 EULER_GAMMA = 0.5772156649015329
 TREE_SCHEMA = ("port int, model int, tree int, feature array<int>, cut array<double>, "
                "left array<int>, right array<int>, size array<int>")
@@ -47,11 +48,11 @@ def grow_tree(x: np.ndarray, n_features: int, rng: np.random.Generator) -> dict[
             tree[k].append(v)
         values = x[np.ix_(rows, usable)]
         low, high = values.min(axis=0), values.max(axis=0)
-        splittable = np.flatnonzero(high > low)
+        splittable = np.flatnonzero(high > low + CONSTANT)
         if depth >= depth_limit or len(rows) <= 1 or splittable.size == 0:
             return at
         j = rng.choice(splittable)
-        cut = rng.uniform(low[j], high[j])
+        cut = min(rng.uniform(low[j], high[j]), np.nextafter(high[j], low[j]))
         goes_left = values[:, j] <= cut
         tree["feature"][at], tree["cut"][at] = int(usable[j]), float(cut)
         tree["left"][at] = node(rows[goes_left], depth + 1)
@@ -91,23 +92,27 @@ def bootstrap(vectors: DataFrame, models: DataFrame, p: Params, trees: int = TRE
 
 
 def _grow(drawn: DataFrame, widths: dict[int, int], seed: str) -> DataFrame:
-    def one_tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        port, model, tree = (int(k) for k in key)
-        rows = np.stack(pdf.sort_values("draw")["v"].to_numpy())
-        rng = np.random.default_rng(zlib.crc32(f"{seed}|{port}|{model}|{tree}".encode()))
-        grown = grow_tree(rows, widths[model], rng)
-        return pd.DataFrame([{"port": port, "model": model, "tree": tree, **grown}])
+    """All trees of a (port, model) in one group: trees times sample rows, a fixed number."""
+    def grow_model(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        port, model = (int(k) for k in key)
+        grown = []
+        for tree, rows in pdf.sort_values(["tree", "draw"]).groupby("tree"):
+            rng = np.random.default_rng(zlib.crc32(f"{seed}|{port}|{model}|{tree}".encode()))
+            nodes = grow_tree(np.stack(rows["v"].to_numpy()), widths[model], rng)
+            grown.append({"port": port, "model": model, "tree": int(tree), **nodes})
+        return pd.DataFrame(grown)
 
-    return drawn.groupBy("port", "model", "tree").applyInPandas(one_tree, TREE_SCHEMA)
+    return drawn.groupBy("port", "model").applyInPandas(grow_model, TREE_SCHEMA)
 
 
 def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str], sample: int) -> DataFrame:
-    """(keys, model, score): -2^(-mean path / c(sample)). Blocks are one day of a port's windows."""
-    groups = [c for c in ("variant", "day", "port") if c in keys]
+    """(keys, model, score): -2^(-mean path / c(sample)), on blocks of a port's windows."""
+    rows = blocked(vectors, "block")
+    groups = [c for c in ("variant", "port", "block") if c in rows.columns]
     carried = [f for f in vectors.schema.fields if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", model int, score double"
     # A port's trees are a bounded table: trees x models x at most 2 * sample nodes.
-    forest = trees.join(vectors.select(*groups).distinct(), "port")
+    forest = trees.join(fresh(rows.select(*groups).distinct()), "port")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -120,7 +125,7 @@ def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str], sample:
             return left[keys].iloc[:0].assign(model=np.int32([]), score=np.float64([]))
         return pd.concat(parts)
 
-    return vectors.groupBy(*groups).cogroup(forest.groupBy(*groups)).applyInPandas(score, schema)
+    return rows.groupBy(*groups).cogroup(fresh(forest).groupBy(*groups)).applyInPandas(score, schema)
 
 
 def iforest_search(features: DataFrame, scaler: DataFrame, p: Params, columns: list[str] = MODEL_FEATURES,

@@ -1,7 +1,7 @@
-"""Densities over whole feature vectors: pairs of window blocks, one block being a port's day.
+"""Densities over whole feature vectors, computed on pairs of window blocks.
 
 A joint kernel needs every (scored, training) pair. Pairs are never rows: each task receives two blocks of at
-most one day of windows and reduces them with numpy to one log-sum per scored window.
+most BLOCK windows of a port and reduces them with numpy to one log-sum per scored window.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harborwatch.operators.kde import BANDWIDTHS, with_folds
+from harborwatch.operators.ordering import window_ordinals
 from harborwatch.schema import MODEL_FEATURES
 
+BLOCK = 1024
 LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
 # Two-variable candidates (first, second bandwidth).
 PAIR_GRID = [(a / 10, b / 10) for a, b in itertools.product(range(1, 11), repeat=2)]
@@ -63,39 +65,49 @@ def log_kernel_sums(left: np.ndarray, right: np.ndarray, allowed: np.ndarray | N
     return out
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for pairing a table with itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def blocked(vectors: DataFrame, name: str) -> DataFrame:
+    """Number the windows of each port (and variant) and cut them into blocks of BLOCK."""
+    group = [c for c in ("variant", "port") if c in vectors.columns]
+    numbered = window_ordinals(vectors, group, ["timewindow"], "day", "_at")
+    return numbered.withColumn(name, F.floor((F.col("_at") - 1) / BLOCK)).drop("_at")
+
+
 def _block_pairs(scored: DataFrame, training: DataFrame, keys: list[str], grid: list[tuple] | None, mask: str) -> DataFrame:
-    """(keys, g, log_sum) per training day. Without a grid, the training rows carry their own bandwidths.
+    """(keys, g, log_sum) per training block. Without a grid, the training rows carry their own bandwidths.
 
     ``mask``: 'none' uses all pairs, 'fold' pairs of different folds, 'other' all but the window itself.
     """
-    days = training.select("port", F.col("day").alias("block")).distinct()
-    groups = [c for c in ("variant", "day", "port") if c in keys]
-    targets = scored.join(days, "port")
-    # Training days meet each scored day of their port once.
-    copies = training.withColumn("block", F.col("day")).drop("day", "variant").join(
-        scored.select(*groups).distinct(), "port")
+    window_id = F.unix_date("day").cast("long") * 100000 + F.col("timewindow")
+    left = blocked(scored, "a").withColumn("_id", window_id)
+    right = blocked(training, "b").withColumn("_id", window_id).drop("day", "timewindow", "variant")
+    groups = [c for c in ("variant", "port", "a") if c in left.columns]
+    # Every block is sent once to each block of the other side on its port.
+    targets = left.join(fresh(right.select("port", "b").distinct()), "port")
+    copies = right.join(fresh(left.select(*groups).distinct()), "port")
     carried = [f for f in scored.schema.fields if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", g int, log_sum double"
 
     def reduce_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({**{k: left[k].iloc[:0] for k in keys}, "g": np.int32([]), "log_sum": np.float64([])})
-        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         allowed = None
-        if mask == "fold":
-            allowed = left["fold"].to_numpy()[:, None] != right["fold"].to_numpy()[None, :]
-        elif mask == "other":
-            same_day = left["day"].iloc[0] == right["block"].iloc[0]
-            allowed = (left["timewindow"].to_numpy()[:, None] != right["timewindow"].to_numpy()[None, :]) | (not same_day)
+        if mask != "none":
+            column = "fold" if mask == "fold" else "_id"
+            allowed = left[column].to_numpy()[:, None] != right[column].to_numpy()[None, :]
         steps = grid if grid is not None else [tuple(right["h"].iloc[0])]
-        sums = log_kernel_sums(a, b, allowed, steps)
+        sums = log_kernel_sums(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), allowed, steps)
         out = left[keys].loc[left.index.repeat(len(steps))].reset_index(drop=True)
         out["g"] = np.tile(np.arange(len(steps), dtype=np.int32), len(left))
         out["log_sum"] = sums.ravel()
         return out[np.isfinite(out["log_sum"])]
 
-    by = [*groups, "block"]
-    return targets.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(reduce_blocks, schema)
+    by = [*groups, "b"]
+    return targets.groupBy(*by).cogroup(fresh(copies).groupBy(*by)).applyInPandas(reduce_blocks, schema)
 
 
 def _log_sum_exp(parts: DataFrame, keys: list[str]) -> DataFrame:
