@@ -41,9 +41,9 @@ def remap_internal_dst(trace: DataFrame, p: Params) -> DataFrame:
 
 
 def relative_time(trace: DataFrame) -> DataFrame:
-    """ts relative to the first record of the variant."""
+    """ts relative to the first record of the variant (one row per named variant is broadcast)."""
     first = trace.groupBy("variant").agg(F.min("ts").alias("_first_ts"))
-    return trace.join(first, "variant").withColumn("ts", F.col("ts") - F.col("_first_ts")).drop("_first_ts")
+    return trace.join(F.broadcast(first), "variant").withColumn("ts", F.col("ts") - F.col("_first_ts")).drop("_first_ts")
 
 
 def prepare_attack(trace: DataFrame, p: Params) -> DataFrame:

@@ -8,8 +8,6 @@ before it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +24,8 @@ def running_totals(
 ) -> DataFrame:
     """Add running sums (current row included) in ``order``.
 
-    ``totals`` maps an output name to (group columns, value). ``order`` must be a total order within each
-    group for the result to be unique. The range partitions are checkpointed because the partition number is
+    ``totals`` maps an output name to (group columns, value); group columns must not be NULL. ``order`` must be
+    a total order within each group for the result to be unique. The range partitions are checkpointed because the partition number is
     used twice and a recomputed sample could move the borders.
     """
     spark = df.sparkSession
@@ -45,17 +43,14 @@ def running_totals(
         inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         earlier = W.partitionBy(*(list(group) or [F.lit(0)])).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
         # One row per (group, range partition): small next to the data.
-        part_sums = tagged.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in columns.items()])
-        shifts = part_sums.select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_shift_{n}") for n in columns],
-        )
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        shifts = tagged.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in columns.items()]).select(
+            *keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_shift_{n}") for n in columns])
+        # The window already placed the rows by these keys, so the join moves only the shifts.
         result = (
             result.withColumns({n: F.sum(v).over(inside) for n, v in columns.items()})
-            .join(shifts, same, "left")
+            .join(shifts, keys)
             .withColumns({n: F.col(n) + F.col(f"_shift_{n}") for n in columns})
-            .drop(*[f"_k_{k}" for k in keys], *[f"_shift_{n}" for n in columns])
+            .drop(*[f"_shift_{n}" for n in columns])
         )
     return result.drop(_PART)
 
