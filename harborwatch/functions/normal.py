@@ -29,7 +29,7 @@ def horner(x: Column, highest_first: list) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    """P(Z <= z), accurate to about 1e-15 (continued fraction beyond the rational range)."""
+    """P(Z <= z), within 1e-15 (continued fraction beyond the rational range)."""
     a = F.least(F.abs(z), F.lit(38.0))
     density = F.exp(-a * a / 2)
     rational = density * horner(a, HART_NUMERATOR) / horner(a, HART_DENOMINATOR)
