@@ -14,6 +14,7 @@ from harborwatch.operators.kde import with_folds
 from harborwatch.operators.ordering import window_ordinals
 from harborwatch.operators.vectors import blocked, fresh, scaled_vectors
 from harborwatch.schema import MODEL_FEATURES, Params
+from harborwatch.session import spread
 
 TREES = 50
 SAMPLE = 100
@@ -102,7 +103,7 @@ def _grow(drawn: DataFrame, widths: dict[int, int], seed: str) -> DataFrame:
             grown.append({"port": port, "model": model, "tree": int(tree), **nodes})
         return pd.DataFrame(grown)
 
-    return drawn.groupBy("port", "model").applyInPandas(grow_model, TREE_SCHEMA)
+    return spread(drawn, "port", "model").groupBy("port", "model").applyInPandas(grow_model, TREE_SCHEMA)
 
 
 def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str], sample: int) -> DataFrame:
@@ -125,7 +126,8 @@ def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str], sample:
             return left[keys].iloc[:0].assign(model=np.int32([]), score=np.float64([]))
         return pd.concat(parts)
 
-    return rows.groupBy(*groups).cogroup(fresh(forest).groupBy(*groups)).applyInPandas(score, schema)
+    pairs = spread(rows, *groups).groupBy(*groups).cogroup(spread(fresh(forest), *groups).groupBy(*groups))
+    return pairs.applyInPandas(score, schema)
 
 
 def iforest_search(features: DataFrame, scaler: DataFrame, p: Params, columns: list[str] = MODEL_FEATURES,

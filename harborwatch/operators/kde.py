@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from harborwatch.functions.normal import SQRT_2PI, horner, normal_cdf
 from harborwatch.operators.ordering import window_ordinals
 from harborwatch.operators.scaling import scaled_long
-from harborwatch.schema import MODEL_FEATURES, Params
+from harborwatch.schema import MODEL_FEATURES
+from harborwatch.session import spread
 
 TERMS = 14
 # Bandwidth candidates: 50 even steps over [0, 1] without 0, which is no kernel.
@@ -35,14 +36,19 @@ DEEP_SHIFT = 650.0
 
 
 def kde_support(values: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
-    """Boxes of the training values. ``values`` has keys, z and bandwidth.
+    """Boxes of the training values. ``values`` has keys, z in [0, 1] and bandwidth.
 
     Output: keys, bandwidth, centre, n_box, n (all values of the key), terms[14], moments[14].
     """
     weight = F.lit(1.0) if weight is None else weight
     h = F.col("bandwidth")
-    checked = F.when(h >= MIN_BANDWIDTH * (1 - 1e-9), h).otherwise(
-        F.raise_error(F.lit("bandwidth below the candidate grid")).cast("double"))
+    slack = 1e-9
+    checked = (
+        F.when(h < MIN_BANDWIDTH - slack, F.raise_error(F.lit("bandwidth below the candidate grid")).cast("double"))
+        .when((F.col("z") < -slack) | (F.col("z") > 1 + slack),
+              F.raise_error(F.lit("training value outside the fitted scale")).cast("double"))
+        .otherwise(h)
+    )
     boxed = (
         values.withColumn("_w", weight).withColumn("bandwidth", checked)
         .withColumn("centre", (F.floor(F.col("z") / (h * h)) + 0.5) * h * h)
@@ -83,14 +89,16 @@ def _bounded(support: DataFrame) -> DataFrame:
 
 def kde_score(targets: DataFrame, support: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature, density) for long rows (keys, feature, z); keys contain port."""
-    contributions = targets.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
+    spaced = spread(targets, *keys, "feature")
+    contributions = spaced.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
     norm = F.col("n") * F.col("bandwidth") * SQRT_2PI
     return contributions.groupBy(*keys, "feature").agg(F.sum(kernel_sum() / norm).alias("density"))
 
 
 def kde_pairs(targets: DataFrame, support: DataFrame, keys: list[str]) -> DataFrame:
     """Unnormalised kernel sum and number of training values behind it, per scored value."""
-    contributions = targets.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
+    spaced = spread(targets, *keys, "feature")
+    contributions = spaced.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
     return contributions.groupBy(*keys, "feature").agg(
         F.sum(kernel_sum()).alias("kernel_sum"), F.sum("n_box").cast("long").alias("pairs"))
 
@@ -108,7 +116,8 @@ def kde_ccdf(targets: DataFrame, support: DataFrame, keys: list[str]) -> DataFra
                 powers[j] = powers[j] + F.col("moments")[k] * float(c)
     slope = F.when(s * s < 1500, F.exp(-s * s / 2) / SQRT_2PI * horner(s, list(reversed(powers)))).otherwise(0.0)
     below = F.col("n_box") * normal_cdf(s) - slope
-    joined = targets.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
+    spaced = spread(targets, *keys, "feature")
+    joined = spaced.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
     cdf = joined.groupBy(*keys, "feature").agg(F.sum(below / F.col("n")).alias("cdf"))
     return cdf.select(*keys, "feature", F.when(F.col("cdf") > 1, 0.0).otherwise(1 - F.col("cdf")).alias("tail"))
 
@@ -138,10 +147,11 @@ def bandwidth_scores(
     support = kde_support(values.select("*", grid), ["port", "feature", "fold"], F.col("copies")).select(
         "port", "feature", (1 - F.col("fold")).alias("fold"), "bandwidth", "centre", "n", "terms")
 
-    joined = values.join(support, ["port", "feature", "fold"]).withColumn("_s", _distance())
-    e = -F.col("_s") * F.col("_s") / 2
-    near = F.when(e >= DEEP, F.exp(e) * _box_sum(F.col("_s"))).otherwise(0.0)
-    deep = F.when(e < DEEP, F.exp(e + DEEP_SHIFT) * _box_sum(F.col("_s"))).otherwise(0.0)
+    keys = ["port", "feature", "fold"]
+    joined = spread(values, *keys).join(spread(support, *keys), keys).withColumn("_s", _distance())
+    joined = joined.withColumns({"_e": -F.col("_s") * F.col("_s") / 2, "_p": _box_sum(F.col("_s"))})
+    near = F.when(F.col("_e") >= DEEP, F.exp("_e") * F.col("_p")).otherwise(0.0)
+    deep = F.when(F.col("_e") < DEEP, F.exp(F.col("_e") + DEEP_SHIFT) * F.col("_p")).otherwise(0.0)
     sums = joined.groupBy("port", "feature", "fold", "z", "copies", "bandwidth", "n").agg(
         F.sum(near).alias("near"), F.sum(deep).alias("deep"))
     total = F.col("near") + F.col("deep") * math.exp(-DEEP_SHIFT)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from harborwatch.operators.kde import BANDWIDTHS, with_folds
 from harborwatch.operators.ordering import window_ordinals
 from harborwatch.schema import MODEL_FEATURES
+from harborwatch.session import spread
 
 BLOCK = 1024
 LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
@@ -107,7 +108,8 @@ def _block_pairs(scored: DataFrame, training: DataFrame, keys: list[str], grid:
         return out[np.isfinite(out["log_sum"])]
 
     by = [*groups, "b"]
-    return targets.groupBy(*by).cogroup(fresh(copies).groupBy(*by)).applyInPandas(reduce_blocks, schema)
+    pairs = spread(targets, *by).groupBy(*by).cogroup(spread(fresh(copies), *by).groupBy(*by))
+    return pairs.applyInPandas(reduce_blocks, schema)
 
 
 def _log_sum_exp(parts: DataFrame, keys: list[str]) -> DataFrame:

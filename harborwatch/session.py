@@ -36,3 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into the full number of shuffle partitions.
+
+    Adaptive execution merges partitions by size in bytes; this keeps rows apart that are few in bytes but
+    costly to evaluate.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
