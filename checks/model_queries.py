@@ -469,8 +469,6 @@ def detect_searched_bandwidth(spark, sf_dir):
     """Training, scoring and thresholding with bandwidths searched per (port, feature) on one-minute windows."""
     train, test = st.train_60(spark, sf_dir), st.scored_ports(spark, sf_dir)
     m = training.train(train, x.PARAMS_60)
-    m = training.Models(*[st.stage(spark, sf_dir, f"cv-{n}", lambda t=t: t) for n, t in
-                          (("scaler", m.scaler), ("bandwidths", m.bandwidths), ("support", m.support))])
     percentiles = training.training_percentiles(training.training_scores(train, m))
     return detection.detection_counts(test, detection.test_scores(test, m), percentiles, PERCENTILE,
                                       list(x.PARAMS_60.model_ports))

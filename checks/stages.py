@@ -15,6 +15,7 @@ from harborwatch.plans.training import Models
 from harborwatch.session import work_path
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_MODELS: dict[tuple[str, str], Models] = {}
 BANDWIDTH = 0.1
 
 
@@ -49,9 +50,10 @@ def test_60(spark, sf_dir):
 
 
 def models(spark, sf_dir) -> Models:
-    m = training.train(train_60(spark, sf_dir), x.PARAMS_60, bandwidth=BANDWIDTH)
-    return Models(*[stage(spark, sf_dir, n, lambda t=t: t) for n, t in
-                    (("scaler", m.scaler), ("bandwidths", m.bandwidths), ("support", m.support))])
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = training.train(train_60(spark, sf_dir), x.PARAMS_60, bandwidth=BANDWIDTH)
+    return _MODELS[key]
 
 
 def scored_ports(spark, sf_dir):

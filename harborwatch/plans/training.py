@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.operators import ensemble, features, kde, ranking, scaling
 from harborwatch.schema import MODEL_FEATURES, Params
+from harborwatch.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -29,13 +30,17 @@ def training_features(conns: DataFrame, p: Params, base_day: date, last_day: dat
 
 
 def train(table: DataFrame, p: Params, columns: list[str] = MODEL_FEATURES, bandwidth: float | None = None) -> Models:
-    """Scaler, bandwidths (searched unless given) and kernel boxes of every (port, feature)."""
-    scaler = scaling.scaler_fit(table, p, columns)
+    """Scaler, bandwidths (searched unless given) and kernel boxes of every (port, feature).
+
+    Like any fit this runs now: the three tables are of bounded size and are checkpointed, so that scoring does
+    not repeat the search.
+    """
+    scaler = cut_lineage(scaling.scaler_fit(table, p, columns))
     if bandwidth is None:
-        bandwidths = kde.kde_bandwidth_cv(table, scaler, columns)
+        bandwidths = cut_lineage(kde.kde_bandwidth_cv(table, scaler, columns))
     else:
         bandwidths = kde.fixed_bandwidth(scaler, bandwidth)
-    return Models(scaler, bandwidths, kde.kde_fit(table, scaler, bandwidths, columns))
+    return Models(scaler, bandwidths, cut_lineage(kde.kde_fit(table, scaler, bandwidths, columns)))
 
 
 def training_scores(table: DataFrame, models: Models, importance: DataFrame | None = None,
