@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.functions import fields as f
 from harborwatch.operators import features as ft
-from harborwatch.operators.history import history_list
+from harborwatch.operators.history import history_by_day_port, history_list
 from harborwatch.operators.ordering import ordinals, running_totals
 from harborwatch.schema import FEATURES, Params
 
@@ -161,38 +161,33 @@ def _per_variant(rows: DataFrame, variants: list[str]) -> DataFrame:
 
 
 def _overlay_peers(
-    background: DataFrame, placed: DataFrame, variants: list[str], merge_day: date, p: Params, base_day: date
+    background: DataFrame, placed: DataFrame, known: DataFrame, variants: list[str], p: Params, base_day: date
 ) -> DataFrame:
-    """Peer counts of background and attack together, per (variant, window, port).
+    """Peer counts of the merge day's background and attack together, per (variant, window, port).
 
     Background addresses are new by the background rule; attack addresses are new when no background day up
-    to and including the merge day has seen them on the port. Both sources collapse to distinct addresses per
-    window before they are repeated for variants and ports.
+    to and including the merge day has seen them on the port. ``known`` holds the addresses of earlier days,
+    reduced to one row per (port, address) whatever the number of days and variants.
     """
-    today = F.col("day") == F.lit(merge_day)
-    seen = _per_variant(ft.window_peers(ft.history_only(background, ~today)), variants).withColumn(
-        "bg_seq", F.col("timewindow").cast("long"))
+    past = known.groupBy("port", F.col("ext_ip").alias("ip")).agg(
+        F.max(F.col("day") == F.lit(base_day)).alias("in_base")).withColumn("external", F.lit(True))
+    # Both sources collapse to distinct addresses per window before they are repeated for variants and ports.
+    seen = _per_variant(ft.window_peers(background), variants).withColumn("bg_seq", F.col("timewindow").cast("long"))
     window = ["variant", "day", "timewindow", "seq"]
     hits = overlay_all_ports(ft.window_peers(placed, window), p).withColumnRenamed("seq", "attack_seq")
     both = seen.unionByName(hits, allowMissingColumns=True).groupBy(
         "variant", "day", "timewindow", "port", "external", "ip",
     ).agg(F.min("bg_seq").alias("bg_seq"), F.min("attack_seq").alias("attack_seq"))
 
-    sightings = W.partitionBy("variant", "port", "external", "ip")
-    on_day = W.partitionBy("variant", "port", "external", "ip", "day")
-    from_bg = F.col("bg_seq").isNotNull()
-    if p.history_mode == "base_day":
-        known = F.max((F.col("day") == F.lit(base_day)) & from_bg).over(sightings)
-    else:
-        known = F.coalesce(F.min(F.when(from_bg, F.col("day"))).over(sightings) < F.col("day"), F.lit(False))
-    flagged = both.withColumns({
-        "bg_known": known, "bg_sightings": F.count("bg_seq").over(sightings),
-    }).withColumns({
-        "bg_first": F.min("bg_seq").over(on_day), "attack_first": F.min("attack_seq").over(on_day),
-    }).filter(today)
-    bg_new = F.coalesce((F.col("bg_seq") == F.col("bg_first")) & ~F.col("bg_known"), F.lit(False))
-    attack_new = F.coalesce((F.col("attack_seq") == F.col("attack_first")) & (F.col("bg_sightings") == 0), F.lit(False))
-    return flagged.groupBy("variant", "day", "timewindow", "port").agg(
+    today = W.partitionBy("variant", "port", "external", "ip")
+    marked = both.join(past, ["port", "external", "ip"], "left").withColumns({
+        "bg_first": F.min("bg_seq").over(today), "attack_first": F.min("attack_seq").over(today)})
+    earlier = F.col("in_base").isNotNull()
+    bg_known = F.coalesce("in_base", F.lit(False)) if p.history_mode == "base_day" else earlier
+    bg_new = F.coalesce(F.col("bg_seq") == F.col("bg_first"), F.lit(False)) & ~bg_known
+    attack_new = (F.coalesce(F.col("attack_seq") == F.col("attack_first"), F.lit(False))
+                  & ~earlier & F.col("bg_first").isNull())
+    return marked.groupBy("variant", "day", "timewindow", "port").agg(
         F.count_if(F.col("external")).alias("external_ips"),
         (F.count_if(F.col("external") & bg_new) + F.count_if(F.col("external") & attack_new)).alias("new_external_ips"),
         F.count_if(~F.col("external")).alias("internal_ips"),
@@ -201,24 +196,29 @@ def _overlay_peers(
 
 def merge_overlay(
     conns: DataFrame, trace: DataFrame, mapping: DataFrame, variants: list[str], merge_day: date, p: Params,
-    base_day: date,
+    base_day: date, known: DataFrame | None = None,
 ) -> DataFrame:
     """Labelled, dense feature rows of the merge day, one set per variant, with the attack on every port.
 
     Adding records and aggregating once equals continuing the background accumulators with the attack.
+    ``known`` is a stored history (day, port, ext_ip); without it the earlier days are read from ``conns``.
     """
     start, _ = f.day_bounds(base_day, p.report_tz)
-    _, end = f.day_bounds(merge_day, p.report_tz)
-    background = ft.profiled_connections(conns.filter((F.col("ts") >= start) & (F.col("ts") < end)), p)
+    dawn, dusk = f.day_bounds(merge_day, p.report_tz)
+    background = ft.profiled_connections(conns.filter((F.col("ts") >= dawn) & (F.col("ts") < dusk)), p)
+    if known is None:
+        earlier = conns.filter((F.col("ts") >= start) & (F.col("ts") < dawn))
+        known = history_by_day_port(ft.profiled_connections(earlier, p))
+    else:
+        known = known.filter((F.col("day") >= F.lit(base_day)) & (F.col("day") < F.lit(merge_day)))
     placed = place_attack(trace.filter(F.col("variant").isin(variants)), mapping, merge_day, p)
     key = ["variant", "day", "timewindow", "port"]
     values = [*key, *ft.MEASURES, "conn_state"]
 
-    today = _per_variant(background.filter(F.col("day") == F.lit(merge_day)), variants)
+    today = _per_variant(background, variants)
     stats = ft.traffic_statistics(today.select(*values).unionByName(overlay_all_ports(placed, p).select(*values)), key)
-    peers = _overlay_peers(background, placed, variants, merge_day, p, base_day)
-    spark = conns.sparkSession
-    days = _per_variant(spark.range(1).select(F.lit(merge_day).alias("day")), variants)
+    peers = _overlay_peers(background, placed, known, variants, p, base_day)
+    days = _per_variant(conns.sparkSession.range(1).select(F.lit(merge_day).alias("day")), variants)
     dense = ft.densify(stats.join(peers, key), days, p, keys=("variant", "day"))
     return label_windows(dense, placed).select(*key, *FEATURES, "label")
 

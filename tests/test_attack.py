@@ -135,6 +135,11 @@ def test_overlay_equals_continuing_the_accumulators(spark, mode):
     mapping = spark.createDataFrame([(day(3), "192.168.1.114", "147.32.9.9"), (day(2), "192.168.1.114", "x")],
                                     "day date, attacker_ip string, int_ip string")
     got = at.merge_overlay(conns, trace, mapping, ["w"], day(3), p, day(1)).collect()
+    stored = hs.history_by_day_port(ft.profiled_connections(conns, p))
+    today = ft.day_filter(conns, day(3), p)
+    again = at.merge_overlay(today, trace, mapping, ["w"], day(3), p, day(1), known=stored).collect()
+    counts = lambda rows: sorted((r.timewindow, r.port, r.external_ips, r.new_external_ips, r.num_conns) for r in rows)
+    assert counts(again) == counts(got)
     assert len(got) == p.tw_per_day * len(p.ports)
 
     state = defaultdict(Accumulator)
