@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harborwatch.schema import MODEL_FEATURES, Params
 
@@ -41,7 +40,7 @@ FROM (SELECT event_id, cast(event_id AS string) AS uid, {epoch} AS ts,
 """
 
 ATTACK_SQL = """
-SELECT cast(event_id AS string) AS uid, {relative} AS ts,
+SELECT CASE WHEN event_id IS NOT NULL THEN 'wannacry' END AS variant, cast(event_id AS string) AS uid, {relative} AS ts,
        CASE WHEN event_id % 10 = 9 THEN '192.168.1.50' ELSE '192.168.1.114' END AS orig_h,
        CASE WHEN event_id % 10 = 9 OR event_id % 3 = 0 THEN concat('192.168.1.', cast(event_id % 7 AS string))
             ELSE concat('198.51.', cast(event_id % 9 AS string), '.', cast(event_id % 61 AS string)) END AS resp_h,
@@ -70,8 +69,7 @@ def attack_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events again, replayed as one short attack trace."""
     micros = "unix_micros(cast(ts AS timestamp))"
     relative = f"cast({micros} - {EPOCH * 1000000} AS double) / {SPEEDUP}e6"
-    trace = spark.sql(ATTACK_SQL.format(events="{events}", relative=relative), events=events(spark, sf_dir))
-    return trace.withColumn("variant", F.lit("wannacry"))
+    return spark.sql(ATTACK_SQL.format(events="{events}", relative=relative), events=events(spark, sf_dir))
 
 
 def importance(spark: SparkSession, ports=Params().ports) -> DataFrame:

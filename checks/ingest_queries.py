@@ -128,13 +128,13 @@ def scan_importance(spark, sf_dir):
 
 
 @query("sink_importance", q.with_(q.features(3600), f"""
-    SELECT port, feature, round(weight / (1 + max(weight) OVER ()), 4) AS weight
+    SELECT port, feature, round(weight / (1 + max(weight) OVER (PARTITION BY port)), 4) AS weight
     FROM ({STATE_SHARE.format(long=q.long("features", "port"))}) w"""))
 def sink_importance(spark, sf_dir):
     path = work_path(spark, "importance")
     weights = _state_weights(spark, sf_dir)
-    top = weights.agg(F.max("weight").alias("top"))
-    shares = weights.join(F.broadcast(top)).select("port", "feature", F.round(F.col("weight") / (1 + F.col("top")), 4).alias("weight"))
+    top = weights.groupBy("port").agg(F.max("weight").alias("top"))
+    shares = weights.join(top, "port").select("port", "feature", F.round(F.col("weight") / (1 + F.col("top")), 4).alias("weight"))
     tables.sink_importance(shares, path)
     return tables.scan_importance(spark, path).select("port", "feature", "weight")
 

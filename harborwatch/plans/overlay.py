@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from harborwatch.operators import attack, features, history
 from harborwatch.schema import THINNING, Params
@@ -26,11 +25,12 @@ def attacker_mapping(conns: DataFrame, merge_day: date, p: Params) -> DataFrame:
 
 
 def labelled_day(conns: DataFrame, trace: DataFrame, variants: list[str], merge_day: date, p: Params,
-                 base_day: date) -> DataFrame:
+                 base_day: date, known: DataFrame | None = None) -> DataFrame:
+    """With a stored history (``known``) only the merge day of ``conns`` is read."""
     mapping = attacker_mapping(conns, merge_day, p)
-    return attack.merge_overlay(conns, trace, mapping, variants, merge_day, p, base_day)
+    return attack.merge_overlay(conns, trace, mapping, variants, merge_day, p, base_day, known)
 
 
 def redirected_variants(prepared: DataFrame, known: DataFrame, p: Params, factors: list[int] = THINNING) -> DataFrame:
     """Traces that contact addresses already in the history, per port and factor."""
-    return attack.history_variant(prepared, known, factors, p).select(F.col("*"))
+    return attack.history_variant(prepared, known, factors, p)
