@@ -171,11 +171,11 @@ _FACTORS = ", ".join(f"({n})" for n in FACTORS)
 
 
 @query("thin_variant", q.with_(_COUNTED, f"""
-    SELECT cast(n AS varchar) || 'wannacry' AS variant, uid, orig_h, resp_h, round(ts, 6) AS ts
+    SELECT cast(n AS varchar) || 'wannacry' AS variant, uid, orig_h, resp_h, ts
     FROM counted CROSS JOIN (VALUES {_FACTORS}) f(n) WHERE nth % n = 0"""))
 def thin_variant(spark, sf_dir):
     thinned = attack.thin_variant(prepared(spark, sf_dir), FACTORS)
-    return rounded(thinned.select("variant", "uid", "orig_h", "resp_h", "ts"))
+    return thinned.select("variant", "uid", "orig_h", "resp_h", "ts")
 
 
 _LISTED = [*q.oriented(60), ("listed", """
@@ -218,6 +218,16 @@ def overlay_all_ports(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_distinct("ext_ip").alias("ips"))
 
 
+@query("past_midnight_rows", q.with_(q.attack_raw(), f"""
+    SELECT 'wannacry' AS variant, count(*) AS dropped_rows
+    FROM (SELECT (ts - (SELECT min(ts) FROM attack_raw)) * {x.SPEEDUP} AS ts FROM attack_raw) a
+    WHERE cast(floor(ts) AS bigint) % 86400 >= 43200"""))
+def past_midnight_rows(spark, sf_dir):
+    """The trace at its original pace: 30 days, half of them after midnight of the merge day."""
+    slow = attack.relative_time(x.attack_raw(spark, sf_dir)).withColumn("ts", F.col("ts") * x.SPEEDUP)
+    return attack.past_midnight_rows(attack.attack_window(slow, P), P)
+
+
 _ATTACK_WINDOWS = [*q.placed(60), ("attack_windows", f"""
     SELECT timewindow, count(DISTINCT ext_ip) AS external_ips, count(DISTINCT int_ip) AS internal_ips, {q.traffic_aggregates()}
     FROM placed GROUP BY timewindow""")]

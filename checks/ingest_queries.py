@@ -77,11 +77,11 @@ def scan_attack_log(spark, sf_dir):
     return conn_log.scan_attack_log(spark, path).select(*CONN_COLS.split(", "))
 
 
-@query("scan_prepared", q.with_(q.attack(), f"SELECT 'wannacry' AS variant, {CONN_COLS.replace(' ts,', ' round(ts, 6) AS ts,')} FROM attack"))
+@query("scan_prepared", q.with_(q.attack(), f"SELECT 'wannacry' AS variant, {CONN_COLS} FROM attack"))
 def scan_prepared(spark, sf_dir):
     path = work_path(spark, "prepared")
     conn_log.sink_prepared(prepared(spark, sf_dir), path)
-    return rounded(conn_log.scan_prepared(spark, path).select("variant", *CONN_COLS.split(", ")))
+    return conn_log.scan_prepared(spark, path).select("variant", *CONN_COLS.split(", "))
 
 
 def prepared(spark, sf_dir):
@@ -265,9 +265,9 @@ def attack_row_filter(spark, sf_dir):
 
 
 @query("relative_time", q.with_(q.attack_raw(), """
-    SELECT uid, round(ts - (SELECT min(ts) FROM attack_raw), 6) AS ts FROM attack_raw"""))
+    SELECT uid, ts - (SELECT min(ts) FROM attack_raw) AS ts FROM attack_raw"""))
 def relative_time(spark, sf_dir):
-    return rounded(attack.relative_time(x.attack_raw(spark, sf_dir)).select("uid", "ts"))
+    return attack.relative_time(x.attack_raw(spark, sf_dir)).select("uid", "ts")
 
 
 @query("failed_flag", q.with_(q.conn(), "SELECT uid, coalesce(conn_state NOT IN ('S1', 'SF'), false) AS failed FROM conn"))
@@ -297,13 +297,13 @@ def epoch_datetime(spark, sf_dir):
 
 
 @query("apply_time_offset", q.with_(q.attack(), """
-    SELECT uid, round(ts + 0.5 * hi, 6) AS ts FROM attack, (SELECT max(ts) AS hi FROM attack) m WHERE ts + 0.5 * hi <= hi"""))
+    SELECT uid, ts + 0.5e0 * hi AS ts FROM attack, (SELECT max(ts) AS hi FROM attack) m WHERE ts + 0.5e0 * hi <= hi"""))
 def apply_time_offset(spark, sf_dir):
     rows = prepared(spark, sf_dir)
     span = rows.groupBy("variant").agg(F.max("ts").alias("end"))
     moved = rows.join(F.broadcast(span), "variant").withColumn(
         "ts", f.apply_time_offset(F.col("ts"), F.lit(0.0), F.col("end"), 0.5))
-    return rounded(moved.filter(F.col("ts").isNotNull()).select("uid", "ts"))
+    return moved.filter(F.col("ts").isNotNull()).select("uid", "ts")
 
 
 @query("interval_to_utc", """

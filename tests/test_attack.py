@@ -87,42 +87,32 @@ def test_prepared_trace_survives_its_text_form(spark, tmp_path):
     assert header.split("\t")[:3] == ["ts", "uid", "id.orig_h"] and len(header.split("\t")) == 21
 
 
-class Accumulator:
-    """Sets, counters and continued min/max/mean/variance, as mergeable state of one window."""
+class Window:
+    """Everything one window has seen, kept record by record."""
 
     def __init__(self):
-        self.ext, self.int, self.new, self.n, self.failed, self.zero = set(), set(), 0, 0, 0, 0
-        self.stats = {m: [float("inf"), -1.0, 0, 0.0, 0.0] for m in MEASURES}
-        self.states = defaultdict(int)
+        self.records, self.ext, self.int, self.new = [], set(), set(), 0
 
     def add(self, r, inside, outside, is_new):
+        self.records.append(r)
         self.ext.add(outside)
         self.int.add(inside)
         self.new += is_new
-        self.n += 1
-        self.states[r["conn_state"]] += 1
-        self.failed += r["conn_state"] not in (None, "S1", "SF")
-        self.zero += r["resp_bytes"] == 0
-        for m in MEASURES:
-            x = r[m]
-            if x is not None:
-                low, high, n, total, var = self.stats[m]
-                n, total = n + 1, total + x
-                if n > 1:
-                    var += ((x - (total - x) / (n - 1)) * (x - total / n) - var) / n
-                self.stats[m] = [min(low, x), max(high, x), n, total, var]
 
     def row(self):
+        states = [r["conn_state"] for r in self.records]
         out = {"external_ips": len(self.ext), "internal_ips": len(self.int), "new_external_ips": self.new,
-               "num_conns": self.n, "failed_conn_count": self.failed, "zero_resp_bytes_count": self.zero}
-        out |= {f"{s}_count": self.states[s] for s in CONNECTION_STATES}
-        for m, (low, high, n, total, var) in self.stats.items():
-            out |= dict(zip((f"min_{m}", f"max_{m}", f"mean_{m}", f"variance_{m}"), (low, high, total / n, var) if n else (0,) * 4))
+               "num_conns": len(self.records), "failed_conn_count": sum(s not in (None, "S1", "SF") for s in states),
+               "zero_resp_bytes_count": sum(r["resp_bytes"] == 0 for r in self.records)}
+        out |= {f"{s}_count": states.count(s) for s in CONNECTION_STATES}
+        for m in MEASURES:
+            v = np.array([r[m] for r in self.records if r[m] is not None] or [0.0])
+            out |= {f"min_{m}": v.min(), f"max_{m}": v.max(), f"mean_{m}": v.mean(), f"variance_{m}": v.var()}
         return out
 
 
 @pytest.mark.parametrize("mode", ["base_day", "cumulative"])
-def test_overlay_equals_continuing_the_accumulators(spark, mode):
+def test_overlay_matches_a_record_loop(spark, mode):
     p = Params(tw_seconds=600, history_mode=mode, attackers=("192.168.1.114",))
     bg = random_rows(600, seed=21)
     bg += [{**r, "uid": "n" + r["uid"], "ts": DAY0 + 2 * 86400 + 43200 + i} for i, r in enumerate(bg[:60])]
@@ -142,7 +132,7 @@ def test_overlay_equals_continuing_the_accumulators(spark, mode):
     assert counts(again) == counts(got)
     assert len(got) == p.tw_per_day * len(p.ports)
 
-    state = defaultdict(Accumulator)
+    state = defaultdict(Window)
     seen = defaultdict(set)      # per port: every background address up to the merge day
     base = defaultdict(set)
     earlier = defaultdict(set)
