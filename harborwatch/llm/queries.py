@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborwatch.llm import line_runs, packing, repetition
+from harborwatch.llm import line_runs, near_dedup, packing, repetition
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = line_runs.drop_shared(documents(spark, sf_dir).select("doc_id", "text"))
     return rest.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -25,5 +29,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op9_line_runs, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op4_near_dedup, op9_line_runs, op10_packing)}
 ORACLES: dict[str, str] = {}
