@@ -145,11 +145,11 @@ def profiles(training: DataFrame, size: int = PROFILE) -> list[tuple[str, int, i
     counted = training.select("lang", "text").filter("text is not null and lang is not null").mapInArrow(
         _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = counted.withColumn("rank", place - 1).filter(F.col("rank") < size)
+    best = counted.withColumn("place", place).filter(F.col("place") <= size)
     rows = best.limit(LANGUAGES * size + 1).collect()
     if len(rows) > LANGUAGES * size:
         raise ValueError(f"more than {LANGUAGES} languages")
-    return sorted((r["lang"], r["gram"], r["rank"]) for r in rows)
+    return sorted((r["lang"], r["gram"], r["place"] - 1) for r in rows)
 
 
 def distances(texts: list[str | None], gram_ids: np.ndarray, ranks: np.ndarray, size: int) -> tuple[np.ndarray, ...]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborwatch.llm import balance, line_runs, near_dedup, packing, repetition
+from harborwatch.llm import balance, language, line_runs, near_dedup, packing, pu_quality, repetition
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +20,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pu_quality.score(docs, pu_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = balance.copies(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(documents(spark, sf_dir))
+
+
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = line_runs.drop_shared(documents(spark, sf_dir).select("doc_id", "text"))
     return rest.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -34,5 +43,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op4_near_dedup, op7_balance, op9_line_runs, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_repetition, op4_near_dedup, op5_pu_quality, op7_balance, op8_language, op9_line_runs, op10_packing)}
 ORACLES: dict[str, str] = {}
