@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborwatch.llm import balance, language, line_runs, near_dedup, packing, pu_quality, repetition
+from harborwatch.llm import balance, common, fixity, html_text, language, line_runs, near_dedup, packing, pu_quality, repetition, threshold_search
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
+def op3_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(documents(spark, sf_dir), size=3, percent=85)
 
@@ -25,6 +34,15 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, pu_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived twice; the second copy is damaged by a rule, and the audit must find where."""
+    segments = fixity.write_segments(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    replica = common.materialise(fixity.damaged_copy(segments), "replica")
+    height = fixity.height_of(segments)
+    trees = [fixity.tree(s, height) for s in (segments, replica)]
+    return fixity.located(segments, fixity.audit(*trees))
+
+
 def op7_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = balance.copies(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -44,5 +62,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repetition, op4_near_dedup, op5_pu_quality, op7_balance, op8_language, op9_line_runs, op10_packing)}
-ORACLES: dict[str, str] = {}
+    op1_repetition, op2_html_text, op3_threshold_search, op4_near_dedup, op5_pu_quality, op6_fixity, op7_balance, op8_language,
+    op9_line_runs, op10_packing)}
+ORACLES: dict[str, str] = {"op3_threshold_search": threshold_search.ORACLE}
