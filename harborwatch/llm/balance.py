@@ -71,11 +71,16 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
     return levels.withColumn("target", target).select("key", "source_size", "docs", "target")
 
 
+def _relative_size() -> Column:
+    """Size over the mean size of the source; 0 in a source without words."""
+    return F.coalesce(F.try_divide(F.col("size") * F.col("docs"), F.col("source_size")), F.lit(0.0))
+
+
 def _newton(cells: DataFrame, goal: DataFrame) -> DataFrame:
     """(key, source_size, docs, target, lam): the multipliers of all sources, one bounded pass over the cells a step."""
     state = materialise(goal.withColumns({
         "lam": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "open": F.col("target") > 0}), "dual")
-    x = F.col("size") * F.col("docs") / F.col("source_size")
+    x = _relative_size()
     tilt = F.exp(F.least(F.col("lam") * x, F.lit(2.0)))
     tokens = F.col("n") * F.col("size")
     for _ in range(NEWTON_STEPS):
@@ -89,8 +94,9 @@ def _newton(cells: DataFrame, goal: DataFrame) -> DataFrame:
         done = F.abs(F.col("taken") - F.col("target")) <= CLOSE * F.col("target")
         low = F.when(over, F.col("low")).otherwise(F.greatest("low", "lam"))
         high = F.when(over, F.least("high", "lam")).otherwise(F.col("high"))
-        step = F.col("lam") + F.ln(F.col("target") / F.col("taken")) * F.col("taken") / F.col("slope")
-        inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
+        step = F.col("lam") + F.try_divide(
+            F.ln(F.try_divide(F.col("target"), F.col("taken"))) * F.col("taken"), F.col("slope"))
+        inside = F.coalesce((F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")), F.lit(False))
         # Outside the bracket: its middle, or twice as far where one side is still open.
         middle = (F.when(F.col("high") == float("inf"), F.greatest(F.col("low") * 2, F.lit(1.0)))
                   .when(F.col("low") == float("-inf"), F.least(F.col("high") * 2, F.lit(-1.0)))
@@ -112,7 +118,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     solved = _newton(cells, materialise(targets(by_source, weights), "targets"))
 
-    x = F.col("size") * F.col("docs") / F.col("source_size")
+    x = _relative_size()
     rate = F.when((F.col("target") > 0) & (F.col("size") > 0),
                   F.least(F.exp(F.least(F.col("lam") * x, F.lit(2.0))), F.lit(float(MOST)))).otherwise(1.0)
     rated = cells.join(solved, "key").withColumn("rate", rate).withColumns({
