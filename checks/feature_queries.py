@@ -247,7 +247,7 @@ def propagation_rate(spark, sf_dir):
 
 def test_day(spark, sf_dir, p=x.PARAMS_OVERLAY):
     return overlay_plan.labelled_day(
-        x.conn(spark, sf_dir), prepared(spark, sf_dir), ["wannacry"], x.TEST_DAY, p, x.BASE_DAY)
+        x.conn(spark, sf_dir), prepared(spark, sf_dir), ["wannacry"], x.TEST_DAY, p, x.BASE_DAY).features
 
 
 @query("merge_overlay", q.with_(q.overlay(60), q.rounded_features("variant, day, timewindow, port", "test", label=True)))

@@ -509,14 +509,14 @@ _STEPS = [*_SCORES, ("steps", """
     WHERE step = 1 OR step = steps OR stp <> next_tp OR sfp <> next_fp
     UNION ALL SELECT DISTINCT port, cast(NULL AS double), 0e0, 0e0 FROM steps"""))
 def roc_points(spark, sf_dir):
-    return rounded(evaluation.roc_points(st.scores(spark, sf_dir)))
+    return rounded(evaluation.roc_points(st.scores(spark, sf_dir), ["port"]))
 
 
 @query("pr_points", q.with_(_STEPS, """
     SELECT port, round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / pos, 6) AS recall FROM steps WHERE tp - stp < pos
     UNION ALL SELECT DISTINCT port, cast(NULL AS double), 1e0, 0e0 FROM steps"""))
 def pr_points(spark, sf_dir):
-    return rounded(evaluation.pr_points(st.scores(spark, sf_dir)))
+    return rounded(evaluation.pr_points(st.scores(spark, sf_dir), ["port"]))
 
 
 @query("auc", q.with_(_STEPS, """
@@ -524,7 +524,39 @@ def pr_points(spark, sf_dir):
            round(sum(stp / pos * (tp / (tp + fp) + CASE WHEN step = 1 THEN 1 ELSE (tp - stp) / nullif(tp - stp + fp - sfp, 0) END) / 2), 6) AS pr_auc
     FROM steps GROUP BY port"""))
 def auc(spark, sf_dir):
-    return rounded(evaluation.auc(st.scores(spark, sf_dir)))
+    return rounded(evaluation.auc(st.scores(spark, sf_dir), ["port"]))
+
+
+def _two_variants(spark, sf_dir):
+    """The windows of the test day as two variants, even and odd."""
+    return st.scores(spark, sf_dir).withColumn("variant", F.when(F.col("timewindow") % 2 == 0, "even").otherwise("odd"))
+
+
+_DAY = "variant, day, port"
+_STEPS_BY_DAY = [*_SCORES, ("steps", f"""
+    SELECT *, sum(stp) OVER w AS tp, sum(sfp) OVER w AS fp, row_number() OVER w AS step, lead(stp) OVER w AS next_tp,
+           lead(sfp) OVER w AS next_fp, nullif(sum(stp) OVER (PARTITION BY {_DAY}), 0) AS pos,
+           nullif(sum(sfp) OVER (PARTITION BY {_DAY}), 0) AS neg, count(*) OVER (PARTITION BY {_DAY}) AS steps
+    FROM (SELECT CASE WHEN timewindow % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, day, port, score,
+                 cast(sum(CASE WHEN label THEN 1 ELSE 0 END) AS double) AS stp,
+                 cast(sum(CASE WHEN label THEN 0 ELSE 1 END) AS double) AS sfp FROM scores GROUP BY ALL) s
+    WINDOW w AS (PARTITION BY {_DAY} ORDER BY score)""")]
+
+
+@query("roc_points_by_day", q.with_(_STEPS_BY_DAY, f"""
+    SELECT {_DAY}, round(score, 6) AS threshold, round(fp / neg, 6) AS fpr, round(tp / pos, 6) AS tpr FROM steps
+    WHERE step = 1 OR step = steps OR stp <> next_tp OR sfp <> next_fp
+    UNION ALL SELECT DISTINCT {_DAY}, cast(NULL AS double), 0e0, 0e0 FROM steps"""))
+def roc_points_by_day(spark, sf_dir):
+    return rounded(evaluation.roc_points(_two_variants(spark, sf_dir)))
+
+
+@query("auc_by_day", q.with_(_STEPS_BY_DAY, f"""
+    SELECT {_DAY}, round(sum(sfp / neg * (tp - stp + tp) / 2 / pos), 6) AS roc_auc,
+           round(sum(stp / pos * (tp / (tp + fp) + CASE WHEN step = 1 THEN 1 ELSE (tp - stp) / nullif(tp - stp + fp - sfp, 0) END) / 2), 6) AS pr_auc
+    FROM steps GROUP BY {_DAY}"""))
+def auc_by_day(spark, sf_dir):
+    return rounded(evaluation.auc(_two_variants(spark, sf_dir)))
 
 
 RELATIVE = [i / 20 for i in range(21)]
@@ -542,7 +574,7 @@ _RATES = """round(fp / cast(fp + tn AS double), 6) AS fpr, round(tp / cast(tp +
 
 @query("threshold_sweep", q.with_(_SWEEP, f"SELECT port, t, round(threshold, 6) AS threshold, tn, fp, fn, tp, {_RATES} FROM swept"))
 def threshold_sweep(spark, sf_dir):
-    return rounded(evaluation.threshold_sweep(st.scores(spark, sf_dir), RELATIVE))
+    return rounded(evaluation.threshold_sweep(st.scores(spark, sf_dir), RELATIVE, ["port"]))
 
 
 @query("sweep_curves", q.with_(_SWEEP, f"""
@@ -550,7 +582,7 @@ def threshold_sweep(spark, sf_dir):
     UNION ALL SELECT port, 'pr', t, precision, recall FROM (SELECT *, {_RATES} FROM swept) r
     UNION ALL SELECT port, 'roc', cast(NULL AS double), 0e0, 0e0 FROM edges UNION ALL SELECT port, 'pr', cast(NULL AS double), 1e0, 0e0 FROM edges"""))
 def sweep_curves(spark, sf_dir):
-    return rounded(evaluation.sweep_curves(evaluation.threshold_sweep(st.scores(spark, sf_dir), RELATIVE)))
+    return rounded(evaluation.sweep_curves(evaluation.threshold_sweep(st.scores(spark, sf_dir), RELATIVE, ["port"]), ["port"]))
 
 
 @query("adaptive_thresholds", q.with_([*_SCORES, ("e0", """
@@ -567,7 +599,7 @@ def sweep_curves(spark, sf_dir):
     FROM cuts c JOIN scores s ON s.port = c.port GROUP BY c.port, threshold
     UNION ALL SELECT port, cast(NULL AS double), 1e0, 1e0 FROM e2"""))
 def adaptive_thresholds(spark, sf_dir):
-    return rounded(evaluation.adaptive_roc(st.scores(spark, sf_dir)))
+    return rounded(evaluation.adaptive_roc(st.scores(spark, sf_dir), ["port"]))
 
 
 @query("sort_importance_desc", q.with_([*q.features(3600)], f"""

@@ -85,11 +85,18 @@ def in_cidr(number: str, cidr: str) -> str:
 
 
 def random_ip(seed: str, src: str, dst: str) -> str:
-    candidates = [f"cast(('0x' || substr(md5(concat_ws('|', '{seed}', {src}, {dst}, '{i}')), 1, 8)) AS bigint)" for i in range(8)]
-    blocked = lambda c: " OR ".join(in_cidr(c, r) for r in NON_GLOBAL_RANGES)
-    picks = ", ".join(f"CASE WHEN NOT ({blocked(c)}) THEN {c} END" for c in candidates)
-    number = f"coalesce({picks}, 16777216 + {candidates[-1]} % 16777216)"
-    return ip_text(number)
+    """The n-th of all global addresses, in order; the ranges are counted from the blocked ones in between."""
+    place = f"cast(('0x' || substr(md5(concat_ws('|', '{seed}', {src}, {dst})), 1, 15)) AS bigint)"
+    bounds = sorted(tuple(sum(int(o) << s for o, s in zip(r.split("/")[0].split("."), (24, 16, 8, 0))) + extra
+                          for extra in (0, 1 << (32 - int(r.split("/")[1])))) for r in NON_GLOBAL_RANGES)
+    steps, begin, total = [], 0, 0
+    for low, after in [*bounds, (1 << 32, 1 << 32)]:
+        if low > begin:
+            steps.append((total, begin))
+            total += low - begin
+        begin = max(begin, after)
+    cases = " ".join(f"WHEN n >= {least} THEN n - {least} + {first}" for least, first in reversed(steps))
+    return f"(SELECT {ip_text('g')} FROM (SELECT CASE {cases} END AS g FROM (SELECT {place} % {total} AS n)))"
 
 
 def ip_text(number: str) -> str:

@@ -17,7 +17,22 @@ NON_GLOBAL_RANGES = [
     "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
     "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 ]
-PUBLIC_IP_TRIES = 8
+
+
+def _global_ranges() -> list[tuple[int, int]]:
+    """(first address, addresses in all earlier ranges) of the global ranges, in order; the last entry has the total."""
+    blocked = sorted((int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, NON_GLOBAL_RANGES))
+    ranges, begin, total = [], 0, 0
+    for low, high in [*blocked, (1 << 32, 1 << 32)]:
+        if low > begin:
+            ranges.append((begin, total))
+            total += low - begin
+        begin = max(begin, high + 1)
+    return [*ranges, (1 << 32, total)]
+
+
+GLOBAL_RANGES = _global_ranges()
+GLOBAL_ADDRESSES = GLOBAL_RANGES[-1][1]
 
 
 # --- text ------------------------------------------------------------------
@@ -73,17 +88,20 @@ def is_global(number: Column) -> Column:
 def random_public_ip(seed: str, *keys: Column) -> Column:
     """Stable pseudo-random global IPv4 address of the key columns.
 
-    The i-th candidate is the top 32 bits of md5(seed, keys, i); the first global one is taken. When
-    all candidates fail, the last one is moved into 1.0.0.0/8, which is global.
+    60 bits of md5(seed, keys) choose one of all global addresses in order, each with the same chance.
     """
-    def candidate(i: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(seed), *keys, i.cast("string")))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-
-    tries = F.transform(F.sequence(F.lit(0), F.lit(PUBLIC_IP_TRIES - 1)), candidate)
-    fallback = F.lit(1 << 24) + candidate(F.lit(PUBLIC_IP_TRIES - 1)) % F.lit(1 << 24)
-    number = F.coalesce(F.get(F.filter(tries, is_global), F.lit(0)), fallback)
-    return F.get(F.transform(F.array(number), ip_text), F.lit(0))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *keys))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(GLOBAL_ADDRESSES)
+
+    def address(i: Column) -> Column:
+        number = i + GLOBAL_RANGES[0][0]
+        for first, earlier in GLOBAL_RANGES[1:-1]:
+            number = F.when(i >= earlier, i - earlier + first).otherwise(number)
+        return number
+
+    # Arrays of one entry: each step is evaluated once.
+    number = F.transform(F.array(place), address)
+    return F.get(F.transform(number, ip_text), F.lit(0))
 
 
 def seeded_order(seed: str, *keys: Column) -> Column:

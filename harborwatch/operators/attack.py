@@ -13,6 +13,7 @@ from harborwatch.operators import features as ft
 from harborwatch.operators.history import history_by_day_port, history_list
 from harborwatch.operators.ordering import ordinals, running_totals
 from harborwatch.schema import FEATURES, Params
+from harborwatch.session import cut_lineage
 
 # Thinned trace columns that identify a record's place in the trace.
 TRACE_ORDER = ["ts", "uid"]
@@ -69,7 +70,8 @@ def cycle_history_ip(records: DataFrame, history: DataFrame, ordinal: str) -> Da
 
     Every (port, position) exists once, so a long trace may be split freely on the record side.
     """
-    lengths = history.groupBy("port").agg(F.count(F.lit(1)).alias("_length"))
+    # One row per port.
+    lengths = F.broadcast(history.groupBy("port").agg(F.count(F.lit(1)).alias("_length")))
     listed = history_list(history).select("port", F.col("position").alias("_position"),
                                           F.col("ext_ip").alias("cycled_ip"))
     return (
@@ -129,11 +131,15 @@ def map_attackers(hosts: DataFrame, chosen: DataFrame, p: Params) -> DataFrame:
 
 
 def place_attack(trace: DataFrame, mapping: DataFrame, merge_day: date, p: Params) -> DataFrame:
-    """Attack records on the merge day, seen as coming from the mapped background hosts."""
+    """Attack records on the merge day, seen as coming from the mapped background hosts.
+
+    Fails when a source of the trace has no host on that day.
+    """
     placed = attack_window(trace, p).filter(F.col("timewindow") < p.tw_per_day)
     hosts = mapping.filter(F.col("day") == F.lit(merge_day)).select(F.col("attacker_ip").alias("orig_h"), "int_ip")
-    return placed.join(F.broadcast(hosts), "orig_h").select(
-        "variant", F.lit(merge_day).alias("day"), "timewindow", "seq", "int_ip",
+    host = F.coalesce("int_ip", F.raise_error(F.concat(F.lit("no background host for attacker "), "orig_h")).cast("string"))
+    return placed.join(F.broadcast(hosts), "orig_h", "left").select(
+        "variant", F.lit(merge_day).alias("day"), "timewindow", "seq", host.alias("int_ip"),
         F.col("resp_h").alias("ext_ip"), *ft.MEASURES, "conn_state")
 
 
@@ -205,13 +211,14 @@ def merge_overlay(
     """
     start, _ = f.day_bounds(base_day, p.report_tz)
     dawn, dusk = f.day_bounds(merge_day, p.report_tz)
-    background = ft.profiled_connections(conns.filter((F.col("ts") >= dawn) & (F.col("ts") < dusk)), p)
+    background = ft.profiled_connections(ft.between(conns, dawn, dusk, p), p)
     if known is None:
-        earlier = conns.filter((F.col("ts") >= start) & (F.col("ts") < dawn))
+        earlier = ft.between(conns, start, dawn, p)
         known = history_by_day_port(ft.profiled_connections(earlier, p))
     else:
         known = known.filter((F.col("day") >= F.lit(base_day)) & (F.col("day") < F.lit(merge_day)))
-    placed = place_attack(trace.filter(F.col("variant").isin(variants)), mapping, merge_day, p)
+    # Used for statistics, peers and labels: mapped and placed once.
+    placed = cut_lineage(place_attack(trace.filter(F.col("variant").isin(variants)), mapping, merge_day, p))
     key = ["variant", "day", "timewindow", "port"]
     values = [*key, *ft.MEASURES, "conn_state"]
 

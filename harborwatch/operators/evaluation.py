@@ -1,6 +1,7 @@
 """Thresholding at a training percentile, confusion counts, ROC and precision-recall curves.
 
-Low scores are anomalous: a window is flagged when its score is at or below the threshold.
+Low scores are anomalous: a window is flagged when its score is at or below the threshold. Curves and sweeps are made per
+test day, variant and port (the columns that are there) unless a group is given.
 """
 
 from __future__ import annotations
@@ -78,11 +79,13 @@ def detect(features: DataFrame, scores: DataFrame, percentiles: DataFrame, perce
 
 # --- curves ----------------------------------------------------------------------
 
-def score_steps(scores: DataFrame, group: list[str]) -> DataFrame:
+def score_steps(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Per distinct score, ascending: hits at the score and running totals (previous and current).
 
-    Equal scores collapse first; totals then run over spread range partitions.
+    Equal scores collapse first; totals then run over spread range partitions. ROC points, precision-recall points and
+    areas of the same group can share one result.
     """
+    group = group or day_group(scores)
     steps = scores.groupBy(*group, "score").agg(
         F.count_if("label").alias("step_tp"), F.count_if(~F.col("label")).alias("step_fp"))
     one = F.lit(1).cast("long")
@@ -109,12 +112,15 @@ def _pr(steps: DataFrame) -> DataFrame:
     })
 
 
-def roc_points(scores: DataFrame, group: list[str] = ["port"], drop_collinear: bool = True) -> DataFrame:
+def roc_points(
+    scores: DataFrame, group: list[str] | None = None, drop_collinear: bool = True, steps: DataFrame | None = None
+) -> DataFrame:
     """(group, threshold, fpr, tpr), starting at (0, 0) with a NULL threshold.
 
     A point is collinear when the next step adds the same hits as its own; the first and last step stay.
     """
-    steps = score_steps(scores, group)
+    group = group or day_group(scores)
+    steps = score_steps(scores, group) if steps is None else steps
     if drop_collinear:
         following = steps.select(*group, (F.col("step") - 1).alias("step"), F.col("step_tp").alias("_next_tp"),
                                  F.col("step_fp").alias("_next_fp"))
@@ -127,9 +133,12 @@ def roc_points(scores: DataFrame, group: list[str] = ["port"], drop_collinear: b
     return points.unionByName(origin)
 
 
-def pr_points(scores: DataFrame, group: list[str] = ["port"], stop_at_full_recall: bool = True) -> DataFrame:
+def pr_points(
+    scores: DataFrame, group: list[str] | None = None, stop_at_full_recall: bool = True, steps: DataFrame | None = None
+) -> DataFrame:
     """(group, threshold, precision, recall), ending at (1, 0) with a NULL threshold."""
-    steps = score_steps(scores, group)
+    group = group or day_group(scores)
+    steps = score_steps(scores, group) if steps is None else steps
     if stop_at_full_recall:
         steps = steps.filter(F.col("prev_tp") < F.col("pos"))
     points = _pr(steps).select(*group, F.col("score").alias("threshold"), F.col("y").alias("precision"),
@@ -144,12 +153,13 @@ def _trapezoids(points: DataFrame, group: list[str], name: str) -> DataFrame:
     return points.groupBy(*group).agg(F.sum(width * height).alias(name))
 
 
-def auc(scores: DataFrame, group: list[str] = ["port"]) -> DataFrame:
+def auc(scores: DataFrame, group: list[str] | None = None, steps: DataFrame | None = None) -> DataFrame:
     """Trapezoid areas under the ROC and the precision-recall curve.
 
     Each step knows its predecessor from the running totals, so the areas are plain sums.
     """
-    steps = score_steps(scores, group)
+    group = group or day_group(scores)
+    steps = score_steps(scores, group) if steps is None else steps
     return _trapezoids(_roc(steps), group, "roc_auc").join(_trapezoids(_pr(steps), group, "pr_auc"), group)
 
 
@@ -173,8 +183,9 @@ def _sweep(scores: DataFrame, group: list[str], thresholds: DataFrame, strict: b
         *group, "threshold", (F.col("neg") - F.col("fp")).alias("tn"), "fp", (F.col("pos") - F.col("tp")).alias("fn"), "tp"))
 
 
-def threshold_sweep(scores: DataFrame, relative: list[float], group: list[str] = ["port"]) -> DataFrame:
+def threshold_sweep(scores: DataFrame, relative: list[float], group: list[str] | None = None) -> DataFrame:
     """Counts and rates for scores <= min + t * (max - min), for each t."""
+    group = group or day_group(scores)
     edges = scores.groupBy(*group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     ts = sorted(relative)
     cuts = F.array(*[F.col("lo") + t * (F.col("hi") - F.col("lo")) for t in ts])
@@ -184,8 +195,9 @@ def threshold_sweep(scores: DataFrame, relative: list[float], group: list[str] =
     return swept.withColumn("_i", F.row_number().over(index)).withColumn("t", F.element_at(names, F.col("_i"))).drop("_i")
 
 
-def sweep_curves(swept: DataFrame, group: list[str] = ["port"]) -> DataFrame:
+def sweep_curves(swept: DataFrame, group: list[str] | None = None) -> DataFrame:
     """ROC list from (0, 0) and precision-recall list from (1, 0), as rows (group, curve, t, a, b)."""
+    group = group or day_group(swept)
     start = swept.select(*group).distinct()
     none = F.lit(None).cast("double").alias("t")
 
@@ -196,11 +208,12 @@ def sweep_curves(swept: DataFrame, group: list[str] = ["port"]) -> DataFrame:
     return curve("roc", "fpr", "tpr", 0.0, 0.0).unionByName(curve("pr", "precision", "recall", 1.0, 0.0))
 
 
-def adaptive_thresholds(scores: DataFrame, group: list[str] = ["port"], steps: int = 100, nudge: float = 1e-5) -> DataFrame:
+def adaptive_thresholds(scores: DataFrame, group: list[str] | None = None, steps: int = 100, nudge: float = 1e-5) -> DataFrame:
     """(group, cuts): three evenly cut segments min..first attack..last attack..max.
 
     Segments that would be empty are widened by ``nudge``.
     """
+    group = group or day_group(scores)
     attack = F.when(F.col("label"), F.col("score"))
     e = scores.groupBy(*group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
                                    F.min(attack).alias("first"), F.max(attack).alias("last"))
@@ -216,8 +229,9 @@ def adaptive_thresholds(scores: DataFrame, group: list[str] = ["port"], steps: i
     return e.select(*group, F.concat(segment("lo", "first"), segment("first", "last"), segment("last", "hi")).alias("cuts"))
 
 
-def adaptive_roc(scores: DataFrame, group: list[str] = ["port"]) -> DataFrame:
+def adaptive_roc(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
     """fpr and tpr of ``score < threshold`` at the adaptive thresholds, closed by (1, 1)."""
+    group = group or day_group(scores)
     cuts = adaptive_thresholds(scores, group)
     swept = _sweep(scores, group, cuts, strict=True).select(*group, "threshold", "fpr", "tpr")
     end = cuts.select(*group, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,8 +29,21 @@ def drop_ipv6(conns: DataFrame, p: Params) -> DataFrame:
 
 def day_filter(conns: DataFrame, day: date, p: Params, days: int = 1) -> DataFrame:
     """Rows of a local day, as a plain range on ``ts`` so that the file scan can use it."""
-    start, end = f.day_bounds(day, p.report_tz, days)
-    return conns.filter((F.col("ts") >= start) & (F.col("ts") < end))
+    return between(conns, *f.day_bounds(day, p.report_tz, days), p)
+
+
+def between(conns: DataFrame, start: float | None, end: float, p: Params) -> DataFrame:
+    """Rows of [start, end) seconds; in a day-split table also the range of its ``day`` folders, which are then not listed."""
+    inside = F.col("ts") < end
+    if start is not None:
+        inside = inside & (F.col("ts") >= start)
+    if "day" not in conns.columns:
+        return conns.filter(inside)
+    local = lambda ts: datetime.fromtimestamp(ts, ZoneInfo(p.report_tz)).date()
+    inside = inside & (F.col("day") <= F.lit(local(end - 1e-6)))
+    if start is not None:
+        inside = inside & (F.col("day") >= F.lit(local(start)))
+    return conns.filter(inside)
 
 
 def with_time_window(conns: DataFrame, p: Params) -> DataFrame:

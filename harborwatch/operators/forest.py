@@ -38,7 +38,7 @@ def average_path(n: np.ndarray) -> np.ndarray:
 
 
 def grow_tree(x: np.ndarray, n_features: int, rng: np.random.Generator) -> dict[str, list]:
-    """Random splits of at most SAMPLE rows until single points, equal points or the depth limit."""
+    """Random splits of the drawn rows until single points, equal points or the depth limit."""
     usable = rng.permutation(x.shape[1])[:n_features]
     depth_limit = math.ceil(math.log2(max(len(x), 2)))
     tree: dict[str, list] = {k: [] for k in ("feature", "cut", "left", "right", "size")}
@@ -80,14 +80,14 @@ def path_lengths(tree: dict, x: np.ndarray) -> np.ndarray:
 
 
 def bootstrap(vectors: DataFrame, models: DataFrame, p: Params, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """(port, model, tree, draw, v): rows drawn with replacement.
+    """(port, model, tree, draw, v): rows drawn with replacement, min(sample, n) per tree.
 
     ``vectors``: (port, position 1..n, v); ``models``: (port, model, first, n) says which positions a model may
     draw. Each draw hashes to a position and fetches it by an equi-join, so no port is gathered.
     """
     draws = models.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(sample - 1))).alias("draw"))
+    ).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(sample), F.col("n")).cast("int") - 1)).alias("draw"))
     position = F.col("first") + F.pmod(F.xxhash64(F.lit(p.seed), "port", "model", "tree", "draw"), F.col("n"))
     return draws.select("port", "model", "tree", "draw", position.alias("position")).join(vectors, ["port", "position"])
 
@@ -106,8 +106,11 @@ def _grow(drawn: DataFrame, widths: dict[int, int], seed: str) -> DataFrame:
     return spread(drawn, "port", "model").groupBy("port", "model").applyInPandas(grow_model, TREE_SCHEMA)
 
 
-def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str], sample: int) -> DataFrame:
-    """(keys, model, score): -2^(-mean path / c(sample)), on blocks of a port's windows."""
+def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, model, score): -2^(-mean path / c(rows of a tree)), on blocks of a port's windows.
+
+    The rows a tree was grown from are the size of its root; trees of a single row score -0.5 everywhere.
+    """
     rows = blocked(vectors, "block")
     groups = [c for c in ("variant", "port", "block") if c in rows.columns]
     carried = [f for f in vectors.schema.fields if f.name in keys]
@@ -121,7 +124,9 @@ def _score_blocks(vectors: DataFrame, trees: DataFrame, keys: list[str], sample:
             x = np.stack(left["v"].to_numpy())
             for model, group in right.groupby("model"):
                 depth = np.mean([path_lengths(t, x) for t in group.to_dict("records")], axis=0)
-                parts.append(left[keys].assign(model=np.int32(model), score=-np.exp2(-depth / average_path(sample))))
+                usual = float(average_path(group["size"].iloc[0][0]))
+                ratio = depth / usual if usual > 0 else np.ones(len(x))
+                parts.append(left[keys].assign(model=np.int32(model), score=-np.exp2(-ratio)))
         if not parts:
             return left[keys].iloc[:0].assign(model=np.int32([]), score=np.float64([]))
         return pd.concat(parts)
@@ -146,7 +151,7 @@ def iforest_search(features: DataFrame, scaler: DataFrame, p: Params, columns: l
         F.when(in_second, F.col("n1")).otherwise(F.col("n0")).alias("n")).filter(F.col("n") > 0)
     widths = {2 * i + f: c for i, c in enumerate(candidates) for f in (0, 1)}
     grown = _grow(bootstrap(numbered, models, p, trees, sample), widths, p.seed)
-    scored = _score_blocks(folded, grown, keys, sample).filter(F.col("model") % 2 != F.col("fold"))
+    scored = _score_blocks(folded, grown, keys).filter(F.col("model") % 2 != F.col("fold"))
     width = F.element_at(F.array(*[F.lit(c) for c in candidates]), (F.floor(F.col("model") / 2) + 1).cast("int"))
     per_fold = scored.groupBy("port", "fold", width.alias("max_features")).agg(F.avg("score").alias("score"))
     means = per_fold.groupBy("port", "max_features").agg(F.avg("score").alias("score"))
@@ -176,11 +181,11 @@ def iforest_fit(features: DataFrame, scaler: DataFrame, p: Params, columns: list
 
 
 def iforest_score(features: DataFrame, scaler: DataFrame, trees: DataFrame, columns: list[str] = MODEL_FEATURES,
-                  sample: int = SAMPLE, clip: bool = False) -> DataFrame:
+                  clip: bool = False) -> DataFrame:
     """Anomaly score per window in [-1, 0): lower is more anomalous."""
     keys = [c for c in ("variant", "day", "timewindow", "port", "label") if c in features.columns]
     vectors = scaled_vectors(features, scaler, keys, columns, clip)
-    return _score_blocks(vectors, trees, keys, sample).drop("model")
+    return _score_blocks(vectors, trees, keys).drop("model")
 
 
 def iforest_ensemble(features: DataFrame, train: DataFrame, scaler: DataFrame, p: Params,
@@ -200,6 +205,6 @@ def iforest_ensemble(features: DataFrame, train: DataFrame, scaler: DataFrame, p
     # Point the split of model i at column i of the full vector.
     placed = grown.withColumn("feature", F.transform("feature", lambda f: F.when(f >= 0, F.col("model")).otherwise(f)))
     keys = [c for c in ("variant", "day", "timewindow", "port", "label") if c in features.columns]
-    scored = _score_blocks(scaled_vectors(features, scaler, keys, columns, clip=True), placed, keys, sample)
+    scored = _score_blocks(scaled_vectors(features, scaler, keys, columns, clip=True), placed, keys)
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("model") + 1)
     return scored.select(*keys, name.alias("feature"), F.col("score").alias("density"))

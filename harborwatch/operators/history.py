@@ -75,10 +75,12 @@ def choose_subnets(sizes: DataFrame, p: Params, min_hosts: int | None = None, k:
     eligible = eligible_subnets(sizes, p, len(p.attackers) if min_hosts is None else min_hosts)
     # A /16 network has at most 256 subnets, so a day is a small group.
     w = W.partitionBy("day")
-    ranked = eligible.withColumns({
+    counted = eligible.withColumns({
         "choice": F.row_number().over(w.orderBy(f.seeded_order(p.seed, F.col("subnet24")), "subnet24")),
         "available": F.count(F.lit(1)).over(w),
     })
+    # A day without any eligible subnet has a row too, so that it fails instead of vanishing.
+    ranked = sizes.select("day").distinct().join(counted, "day", "left").select(*counted.columns)
     enough = F.when(F.col("available") >= k, F.col("choice")).otherwise(
         F.raise_error(F.lit("too few eligible subnets")).cast("int"))
     return ranked.withColumn("choice", enough).filter(F.col("choice") <= k).drop("available")

@@ -5,9 +5,11 @@ box is kept as the power sums of the offsets d = (x - centre) / h:
 
     sum exp(-(s - d)^2 / 2) = exp(-s^2 / 2) * sum_j s^j * [sum exp(-d^2 / 2) d^j / j!],   s = (z - centre) / h
 
-For z and x in [0, 1] we have |s*d| <= 0.5, so the first 14 terms leave a relative error below 1e-15: the
-result is the exact sum to double precision. The number of boxes is at most 1/h^2 + 1 (2,402 at the smallest
-bandwidth) whatever the number of training windows, so fitting and scoring are linear in the data.
+A box is min(h*h, h / REACH) wide. For x in [0, 1] and any z within REACH bandwidths of a centre we have |s*d| <= 0.5,
+so the first 14 terms leave a relative error below 1e-15: the result is the exact sum to double precision, also for
+scored values off the fitted scale; beyond REACH bandwidths the kernel is below the smallest double. The number of boxes
+is at most max(1/h^2, REACH/h) + 1 (2,402 at the smallest bandwidth) whatever the number of training windows, so fitting
+and scoring are linear in the data.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ from harborwatch.functions.normal import SQRT_2PI, horner, normal_cdf
 from harborwatch.operators.ordering import window_ordinals
 from harborwatch.operators.scaling import scaled_long
 from harborwatch.schema import MODEL_FEATURES
-from harborwatch.session import spread
+from harborwatch.session import cut_lineage, spread
 
 TERMS = 14
+# exp(-REACH^2 / 2) is 0 as a double.
+REACH = 39
 # Bandwidth candidates: 50 even steps over [0, 1] without 0, which is no kernel.
 GRID_STEPS = 49
 BANDWIDTHS = [i / GRID_STEPS for i in range(1, GRID_STEPS + 1)]
 MIN_BANDWIDTH = BANDWIDTHS[0]
 # exp() of anything below is handled in a second sum that is shifted by DEEP_SHIFT.
 DEEP = -600.0
+# Boxes of about 200 bytes that a search may send to every task, and the salts of its values beyond that.
+BROADCAST_BOXES = 600_000
+SALTS = 32
 DEEP_SHIFT = 650.0
 
 
@@ -51,7 +58,8 @@ def kde_support(values: DataFrame, keys: list[str], weight: Column | None = None
     )
     boxed = (
         values.withColumn("_w", weight).withColumn("bandwidth", checked)
-        .withColumn("centre", (F.floor(F.col("z") / (h * h)) + 0.5) * h * h)
+        .withColumn("_width", F.least(h * h, h / REACH))
+        .withColumn("centre", (F.floor(F.col("z") / F.col("_width")) + 0.5) * F.col("_width"))
         .withColumn("_d", (F.col("z") - F.col("centre")) / h)
         .withColumn("_g", F.exp(-F.col("_d") * F.col("_d") / 2) * F.col("_w"))
         .withColumn("_d2", F.col("_d") * F.col("_d"))
@@ -91,26 +99,16 @@ def kernel_sum() -> Column:
     return F.when(s * s < 1500, F.exp(-s * s / 2) * _box_sum(s)).otherwise(0.0)
 
 
-def _bounded(support: DataFrame) -> DataFrame:
-    """Broadcast hint: at most 2,402 boxes of 30 doubles per (port, feature) at the smallest bandwidth.
-
-    For 5 ports and 35 features that is below 110 MB, and a fifth of it with the bounded scaler.
-    """
-    return F.broadcast(support)
-
-
 def kde_score(targets: DataFrame, support: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature, density) for long rows (keys, feature, z); keys contain port."""
-    spaced = spread(targets, *keys, "feature")
-    contributions = spaced.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
+    contributions = _meet(targets, support, ["port", "feature"]).withColumn("_s", _distance())
     norm = F.col("n") * F.col("bandwidth") * SQRT_2PI
     return contributions.groupBy(*keys, "feature").agg(F.sum(kernel_sum() / norm).alias("density"))
 
 
 def kde_pairs(targets: DataFrame, support: DataFrame, keys: list[str]) -> DataFrame:
     """Unnormalised kernel sum and number of training values behind it, per scored value."""
-    spaced = spread(targets, *keys, "feature")
-    contributions = spaced.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
+    contributions = _meet(targets, support, ["port", "feature"]).withColumn("_s", _distance())
     return contributions.groupBy(*keys, "feature").agg(
         F.sum(kernel_sum()).alias("kernel_sum"), F.sum("n_box").cast("long").alias("pairs"))
 
@@ -128,8 +126,7 @@ def kde_ccdf(targets: DataFrame, support: DataFrame, keys: list[str]) -> DataFra
                 powers[j] = powers[j] + F.col("moments")[k] * float(c)
     slope = F.when(s * s < 1500, F.exp(-s * s / 2) / SQRT_2PI * horner(s, list(reversed(powers)))).otherwise(0.0)
     below = F.col("n_box") * normal_cdf(s) - slope
-    spaced = spread(targets, *keys, "feature")
-    joined = spaced.join(_bounded(support), ["port", "feature"]).withColumn("_s", _distance())
+    joined = _meet(targets, support, ["port", "feature"]).withColumn("_s", _distance())
     cdf = joined.groupBy(*keys, "feature").agg(F.sum(below / F.col("n")).alias("cdf"))
     return cdf.select(*keys, "feature", F.when(F.col("cdf") > 1, 0.0).otherwise(1 - F.col("cdf")).alias("tail"))
 
@@ -154,13 +151,14 @@ def bandwidth_scores(
     shifted second sum, so no point is lost to underflow.
     """
     folded = scaled_long(with_folds(features), scaler, ["port", "fold"], columns)
-    values = folded.groupBy("port", "feature", "fold", "z").agg(F.count(F.lit(1)).cast("double").alias("copies"))
+    values = cut_lineage(
+        folded.groupBy("port", "feature", "fold", "z").agg(F.count(F.lit(1)).cast("double").alias("copies")))
     grid = F.explode(F.array(*[F.lit(h) for h in candidates])).alias("bandwidth")
     support = kde_support(values.select("*", grid), ["port", "feature", "fold"], F.col("copies")).select(
         "port", "feature", (1 - F.col("fold")).alias("fold"), "bandwidth", "centre", "n", "terms")
 
     keys = ["port", "feature", "fold"]
-    joined = spread(values, *keys).join(spread(support, *keys), keys).withColumn("_s", _distance())
+    joined = _meet(values, cut_lineage(support), keys).withColumn("_s", _distance())
     joined = joined.withColumns({"_e": -F.col("_s") * F.col("_s") / 2, "_p": _box_sum(F.col("_s"))})
     near = F.when(F.col("_e") >= DEEP, F.exp("_e") * F.col("_p")).otherwise(0.0)
     deep = F.when(F.col("_e") < DEEP, F.exp(F.col("_e") + DEEP_SHIFT) * F.col("_p")).otherwise(0.0)
@@ -174,6 +172,18 @@ def bandwidth_scores(
     return per_fold.groupBy("port", "feature", "bandwidth").agg(F.avg("score").alias("score"))
 
 
+def _meet(values: DataFrame, support: DataFrame, keys: list[str]) -> DataFrame:
+    """Every value with all boxes of its keys, values spread over all cores whatever their keys.
+
+    The boxes go to every task where their number allows; else they are repeated for each salt of the values.
+    """
+    if support.count() <= BROADCAST_BOXES:
+        return spread(values, *keys, "z").join(F.broadcast(support), keys)
+    salted = values.withColumn("_salt", F.pmod(F.xxhash64("z"), F.lit(SALTS)).cast("int"))
+    repeated = support.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread(salted, *keys, "_salt").join(spread(repeated, *keys, "_salt"), [*keys, "_salt"]).drop("_salt")
+
+
 def kde_bandwidth_cv(
     features: DataFrame, scaler: DataFrame, columns: list[str] = MODEL_FEATURES, candidates: list[float] = BANDWIDTHS
 ) -> DataFrame:

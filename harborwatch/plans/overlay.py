@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from harborwatch.operators import attack, features, history
 from harborwatch.schema import THINNING, Params
+from harborwatch.session import cut_lineage
+
+
+class LabelledDay(NamedTuple):
+    features: DataFrame
+    dropped: DataFrame
 
 
 def prepared_variants(raw_trace: DataFrame, p: Params, factors: list[int] = THINNING) -> DataFrame:
@@ -25,10 +33,17 @@ def attacker_mapping(conns: DataFrame, merge_day: date, p: Params) -> DataFrame:
 
 
 def labelled_day(conns: DataFrame, trace: DataFrame, variants: list[str], merge_day: date, p: Params,
-                 base_day: date, known: DataFrame | None = None) -> DataFrame:
-    """With a stored history (``known``) only the merge day of ``conns`` is read."""
-    mapping = attacker_mapping(conns, merge_day, p)
-    return attack.merge_overlay(conns, trace, mapping, variants, merge_day, p, base_day, known)
+                 base_day: date, known: DataFrame | None = None) -> LabelledDay:
+    """With a stored history (``known``) only the merge day of ``conns`` is read.
+
+    ``dropped`` counts, per variant, the attack records that fall behind the merge day and are in no window.
+    """
+    # At most one row per attacker; read by every use of the trace.
+    mapping = cut_lineage(attacker_mapping(conns, merge_day, p))
+    chosen = trace.filter(F.col("variant").isin(variants))
+    return LabelledDay(
+        attack.merge_overlay(conns, chosen, mapping, variants, merge_day, p, base_day, known),
+        attack.past_midnight_rows(attack.attack_window(chosen, p), p))
 
 
 def redirected_variants(prepared: DataFrame, known: DataFrame, p: Params, factors: list[int] = THINNING) -> DataFrame:

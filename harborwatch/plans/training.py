@@ -20,12 +20,13 @@ class Models:
     scaler: DataFrame
     bandwidths: DataFrame
     support: DataFrame
+    clip: bool = True
 
 
 def training_features(conns: DataFrame, p: Params, base_day: date, last_day: date) -> DataFrame:
     """Sparse features of the days after ``base_day`` up to ``last_day``, for the modelled ports."""
     _, end = features.f.day_bounds(last_day, p.report_tz)
-    table = features.window_features(conns.filter(F.col("ts") < end), p, base_day)
+    table = features.window_features(features.between(conns, None, end, p), p, base_day)
     return table.filter(F.col("port").isin(list(p.model_ports)))
 
 
@@ -40,12 +41,12 @@ def train(table: DataFrame, p: Params, columns: list[str] = MODEL_FEATURES, band
         bandwidths = cut_lineage(kde.kde_bandwidth_cv(table, scaler, columns))
     else:
         bandwidths = kde.fixed_bandwidth(scaler, bandwidth)
-    return Models(scaler, bandwidths, cut_lineage(kde.kde_fit(table, scaler, bandwidths, columns)))
+    return Models(scaler, bandwidths, cut_lineage(kde.kde_fit(table, scaler, bandwidths, columns)), p.scaler_bounded)
 
 
 def training_scores(table: DataFrame, models: Models, importance: DataFrame | None = None,
                     columns: list[str] = MODEL_FEATURES) -> DataFrame:
-    return ensemble.ensemble_scores(table, models.scaler, models.support, importance, columns)
+    return ensemble.ensemble_scores(table, models.scaler, models.support, importance, columns, models.clip)
 
 
 def training_percentiles(scores: DataFrame) -> DataFrame:

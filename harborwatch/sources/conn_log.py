@@ -39,15 +39,20 @@ def scan_attack_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_conn_lines(spark.read.text(path), ATTACK_FIELDS, drop_last=False)
 
 
-def split_by_day(conns: DataFrame, p: Params, path: str, fmt: str = "parquet", shift_ts: bool = False) -> None:
+def split_by_day(
+    conns: DataFrame, p: Params, path: str, fmt: str = "parquet", shift_ts: bool = False, files_per_day: int = 16
+) -> None:
     """Monitored rows, one partition per local day.
 
-    ``shift_ts`` stores the local wall clock as ts; readers of such a table must use the UTC zone.
+    Only the days present in ``conns`` are replaced. A day is written by ``files_per_day`` tasks. ``shift_ts`` stores
+    the local wall clock as ts; readers of such a table must use the UTC zone.
     """
     with_day = port_prefilter(conns, p).withColumn("day", f.local_day(F.col("ts"), p.report_tz))
     if shift_ts:
         with_day = with_day.withColumn("ts", f.local_wallclock(F.col("ts"), p.report_tz))
-    writer = with_day.write.mode("overwrite").partitionBy("day")
+    salt = F.pmod(F.xxhash64("ts", "orig_h", "resp_h"), F.lit(files_per_day))
+    dealt = with_day.repartition("day", salt)
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "-").csv(path)
     else:
@@ -65,13 +70,13 @@ def scan_day(spark: SparkSession, path: str, days: list[str] | None = None, fmt:
 
 
 def sink_prepared(trace: DataFrame, path: str) -> None:
-    """Tab-separated trace with header, in the fixed field order, one folder per variant."""
+    """Tab-separated trace with header, in the fixed field order, one folder per variant; other variants stay."""
     columns = [
         (F.col(column_name(n)) if column_name(n) in trace.columns else F.lit(None)).cast("string").alias(n)
         for n in ATTACK_FIELDS
     ]
-    (trace.select("variant", *columns).write.mode("overwrite").partitionBy("variant")
-     .option("sep", "\t").option("header", True).option("nullValue", "-").csv(path))
+    (trace.select("variant", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("variant").option("sep", "\t").option("header", True).option("nullValue", "-").csv(path))
 
 
 def scan_prepared(spark: SparkSession, path: str) -> DataFrame:

@@ -49,15 +49,15 @@ def scan_subnet_hosts(spark: SparkSession, path: str) -> DataFrame:
 def sink_importance(importance: DataFrame, path: str) -> None:
     """``feature weight`` lines per port, largest first. At most one line per feature and port."""
     lines = importance.select("port", "weight", "feature", F.concat_ws(
-        " ", F.rpad("feature", 24, " "), F.format_number("weight", 4)).alias("value"))
+        " ", F.rpad("feature", 24, " "), F.format_string("%.4f", "weight")).alias("value"))
     ordered = lines.repartition("port").sortWithinPartitions("port", F.desc("weight"), "feature")
     ordered.select("port", "value").write.mode("overwrite").partitionBy("port").text(path)
 
 
 def scan_importance(spark: SparkSession, path: str) -> DataFrame:
-    """Reads ``port22.csv`` style files and ``port=22`` folders; the last number of the path names the port."""
+    """Reads ``port22.csv`` style files and ``port=22`` folders; the file name, or the folder of a part file, names the port."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        "value", F.regexp_extract(F.col("_metadata.file_path"), r"port=?(\d+)", 1).cast("int").alias("port"))
+        "value", F.regexp_extract(F.col("_metadata.file_path"), r"port=?(\d+)[^/]*(?:/part-[^/]*)?$", 1).cast("int").alias("port"))
     parts = F.split(F.trim("value"), r"\s+")
     return lines.filter(F.trim("value") != "").select(
         "port", parts[0].alias("feature"), parts[1].cast("double").alias("weight"))

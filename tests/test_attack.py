@@ -172,8 +172,8 @@ def test_variants_are_overlaid_side_by_side(spark):
     conns = conn_frame(spark, random_rows(300, seed=30))
     trace = trace_frame(spark, [{"ts": i * 60.0, "resp_h": f"198.51.0.{i}"} for i in range(40)])
     variants = overlay.prepared_variants(trace, p, [4])
-    both = overlay.labelled_day(conns, variants, ["w", "4w"], day(3), p, day(1))
-    alone = overlay.labelled_day(conns, variants, ["4w"], day(3), p, day(1))
+    both = overlay.labelled_day(conns, variants, ["w", "4w"], day(3), p, day(1)).features
+    alone = overlay.labelled_day(conns, variants, ["4w"], day(3), p, day(1)).features
     assert both.count() == 2 * 24 * 5
     pick = lambda df: sorted(map(str, df.filter("variant = '4w'").collect()))
     assert pick(both) == pick(alone)
@@ -196,6 +196,32 @@ def test_propagation_rate_counts_active_windows_only(spark):
     assert (r.ips_per_window, r.active_windows) == (1.5, 2)
 
 
+def test_attacker_without_a_host_fails(spark):
+    trace = trace_frame(spark, [{"ts": 0.0, "resp_h": "a"}])
+    nobody = spark.createDataFrame([(day(2), "192.168.1.114", "147.32.9.9")], "day date, attacker_ip string, int_ip string")
+    with pytest.raises(Exception, match="no background host for attacker"):
+        at.place_attack(trace, nobody, day(3), P).collect()
+
+
+def test_rows_behind_the_merge_day_are_counted(spark):
+    p = Params(tw_seconds=3600, attackers=("192.168.1.114",))
+    conns = conn_frame(spark, random_rows(300, seed=30))
+    trace = trace_frame(spark, [{"ts": i * 3600.0, "resp_h": f"198.51.0.{i}"} for i in range(20)])
+    merged = overlay.labelled_day(conns, trace, ["w"], day(3), p, day(1))
+    assert [tuple(r) for r in merged.dropped.collect()] == [("w", 8)]
+    assert merged.features.filter("port = 22 and label").count() == 12
+
+
+def test_day_split_table_is_pruned(spark, tmp_path):
+    rows = conn_frame(spark, random_rows(200, seed=3))
+    conn_log.split_by_day(rows, P, str(tmp_path / "t"))
+    table = conn_log.scan_day(spark, str(tmp_path / "t"))
+    one = ft.day_filter(table, day(2), P)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert one.count() == ft.day_filter(ft.port_prefilter(rows, P), day(2), P).count() > 0
+
+
 def test_history_list_has_each_position_once(spark):
     rows = ft.profiled_connections(conn_frame(spark, random_rows(500, seed=9)), P)
     listed = hs.history_list(hs.history_by_day_port(rows))

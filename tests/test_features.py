@@ -212,6 +212,10 @@ def test_choosing_more_subnets_than_there_are_fails(spark):
     assert hs.choose_subnets(sizes, P, k=2).count() == 2
     with pytest.raises(Exception, match="too few eligible subnets"):
         hs.choose_subnets(sizes, P, k=3).collect()
+    second = sizes.unionByName(hs.subnet_sizes(spark.createDataFrame(
+        [(day(2), "8.8.8.", "8.8.8.8")], "day date, subnet24 string, int_ip string")))
+    with pytest.raises(Exception, match="too few eligible subnets"):
+        hs.choose_subnets(second, P, min_hosts=1).collect()
 
 
 def test_local_zone_moves_day_and_window(spark):

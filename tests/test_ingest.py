@@ -100,6 +100,35 @@ def test_address_helpers(spark):
     assert all(k == v[1] for k, v in got.items())
 
 
+def test_later_ingests_keep_earlier_days_and_variants(spark, tmp_path):
+    for n in (0, 1):
+        conn_log.split_by_day(conn_frame(spark, [{"ts": DAY0 + n * 86400 + i} for i in range(5)]), P, str(tmp_path / "days"))
+    days = conn_log.scan_day(spark, str(tmp_path / "days")).groupBy("day").count().collect()
+    assert sorted((r.day.day, r["count"]) for r in days) == [(1, 5), (2, 5)]
+    for name in ("a", "b"):
+        conn_log.sink_prepared(conn_frame(spark, [{}]).withColumn("variant", F.lit(name)), str(tmp_path / "traces"))
+    assert {r.variant for r in conn_log.scan_prepared(spark, str(tmp_path / "traces")).collect()} == {"a", "b"}
+
+
+def test_importance_path_and_large_weights(spark, tmp_path):
+    folder = tmp_path / "report2024" / "port9"
+    folder.mkdir(parents=True)
+    (folder / "port22.csv").write_text("num_conns 0.5\n")
+    assert [r.port for r in tables.scan_importance(spark, str(folder)).collect()] == [22]
+    table = spark.createDataFrame([(80, "num_conns", 12345.5)], "port int, feature string, weight double")
+    tables.sink_importance(table, str(tmp_path / "port3out"))
+    assert [tuple(r) for r in tables.scan_importance(spark, str(tmp_path / "port3out")).collect()] == [(80, "num_conns", 12345.5)]
+
+
+def test_random_public_ip_covers_all_ranges_evenly(spark):
+    assert f.GLOBAL_ADDRESSES == (1 << 32) - sum(
+        n.num_addresses for n in f.ipaddress.collapse_addresses(map(f.ipaddress.ip_network, f.NON_GLOBAL_RANGES)))
+    low = spark.range(20000).select(f.ip_number(f.random_public_ip("s", F.col("id").cast("string"))).alias("n"))
+    share = low.filter("n < 2147483648").count() / 20000
+    below = sum(b - a for a, b in ((g, g + n - e) for (g, e), (_, n) in zip(f.GLOBAL_RANGES, f.GLOBAL_RANGES[1:])) if a < 1 << 31)
+    assert abs(share - below / f.GLOBAL_ADDRESSES) < 0.02
+
+
 def test_random_public_ip_is_stable_and_global(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("s"))
     ip = f.random_public_ip("7", F.col("s"), F.lit("192.168.1.1"))

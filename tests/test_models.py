@@ -81,7 +81,7 @@ def test_density_equals_the_pairwise_sum_over_the_whole_range(spark, h):
     x = np.concatenate([rng.random(400) ** 3, np.zeros(300), [1.0]])
     targets = np.concatenate([np.linspace(0, 1, 60), rng.random(40)])
     support = support_of(spark, x, h)
-    assert support.count() <= 1 / h**2 + 2
+    assert support.count() <= max(1 / h**2, kde.REACH / h) + 2
     assert score(spark, targets, support) == pytest.approx(gauss(targets, x, h), rel=1e-12)
 
 
@@ -93,6 +93,26 @@ def test_far_tail_keeps_its_relative_size(spark):
     assert got == pytest.approx(want, rel=1e-10)
 
 
+@pytest.mark.parametrize("h", [1 / 49, 0.03, 0.2, 1.0])
+def test_density_off_the_fitted_scale(spark, h):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.random(11), [0.0, 1.0]])
+    targets = np.concatenate([np.linspace(-3, 20, 70), [1 + 30 * h, -20 * h]])
+    got, want = score(spark, targets, support_of(spark, x, h)), gauss(targets, x, h)
+    big = want > 1e-280
+    assert got[big] == pytest.approx(want[big], rel=1e-10) and (got >= 0).all() and (got[~big] < 1e-270).all()
+
+
+def test_search_with_boxes_repeated_for_salts(spark, monkeypatch):
+    table = windows(spark, n_days=3, per_day=15, seed=21)
+    scaler = scaling.scaler_fit(table, P)
+    pick = lambda: sorted(map(tuple, kde.kde_bandwidth_cv(table, scaler, CONTINUOUS).collect()))
+    sent = pick()
+    monkeypatch.setattr(kde, "BROADCAST_BOXES", 0)
+    for a, b in zip(sent, pick(), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-12)
+
+
 def test_density_integrates_to_one(spark):
     rng = np.random.default_rng(2)
     grid = np.linspace(-1, 2, 1501)
@@ -298,7 +318,7 @@ def test_forest_scores(spark, monkeypatch):
     assert len(stored) == 40
     again = forest.iforest_fit(train, scaler, P, max_features=16, trees=20, sample=50).collect()
     assert sorted(map(str, stored)) == sorted(map(str, again))
-    scores = {(r.day, r.timewindow, r.port): r.score for r in forest.iforest_score(test, scaler, trees, sample=50).collect()}
+    scores = {(r.day, r.timewindow, r.port): r.score for r in forest.iforest_score(test, scaler, trees).collect()}
     assert len(scores) == 61 and all(-1 <= s < 0 for s in scores.values())
     assert min((s, k) for k, s in scores.items() if k[2] == 22)[1] == (day(9), 0, 22)
     x = matrix(train, MODEL_FEATURES, 22)
@@ -307,6 +327,20 @@ def test_forest_scores(spark, monkeypatch):
     assert scores[(day(9), 0, 22)] == pytest.approx(-2 ** (-depth / float(forest.average_path(np.array([50]))[0])))
 
 
+def test_forest_of_a_port_with_few_windows(spark):
+    rows = [(day(1 + i), i, 22, {"num_conns": i, "external_ips": 5 - i}, False) for i in range(4)]
+    train = feature_frame(spark, rows)
+    scaler = scaling.scaler_fit(train, P)
+    trees = forest.iforest_fit(train, scaler, P, max_features=35, trees=8)
+    grown = trees.collect()
+    assert {r["size"][0] for r in grown} == {4}
+    assert max(len(r["size"]) for r in grown) <= 7
+    scores = [r.score for r in forest.iforest_score(train, scaler, trees).collect()]
+    assert len(scores) == 4 and all(-1 <= s < 0 for s in scores)
+    lone = forest.iforest_fit(train.limit(1), scaler, P, max_features=35, trees=3)
+    assert [r.score for r in forest.iforest_score(train.limit(1), scaler, lone).collect()] == [-0.5]
+
+
 def test_forest_search_and_single_feature_forests(spark):
     train = windows(spark, seed=16)
     scaler = scaling.scaler_fit(train, P)
