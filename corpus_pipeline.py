@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = line_runs.drop_shared(docs)
-    changed = F.col("n_dropped") > 0
+    rest = line_runs.drop_shared(docs, counts=("_n_lines", "_n_dropped"))
+    changed = F.col("_n_dropped") > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rest = rest.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -284,9 +284,12 @@ def _extract_batches(batches: Iterator[pa.RecordBatch], forest: boosting.Forest
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> boosting.Forest | None:
     """Trees from the sampled pages; the sample is all that reaches the driver."""
-    few = pages.select("page_id", "html").filter(F.length("html").between(1, SAMPLE_CHARS)).orderBy(
-        F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
-    return learn([r["html"] for r in few.collect()])
+    short = pages.select("page_id", "html", F.xxhash64("page_id", "html").alias("h")).filter(
+        F.length("html").between(1, SAMPLE_CHARS))
+    # First the least hashes, then the pages that have them; at most ``sample`` hashes are sent to the tasks.
+    least = short.select("h").distinct().orderBy("h").limit(sample)
+    few = short.join(F.broadcast(least), "h").dropDuplicates(["h"]).orderBy("h")
+    return learn([r["html"] for r in few.select("h", "html").collect()])
 
 
 def main_text(pages: DataFrame, forest: boosting.Forest | None) -> DataFrame:

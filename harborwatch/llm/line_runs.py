@@ -126,7 +126,9 @@ class LineRuns:
         return self._merged(runs) if len(runs) > 1 else runs[0]
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], least: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _rewrite(
+    batches: Iterator[pa.RecordBatch], least: int, names: list[str], counts: tuple[str, str]
+) -> Iterator[pa.RecordBatch]:
     """Last two columns: text and the keys that go."""
     for batch in batches:
         texts, n_lines, n_dropped = [], [], []
@@ -144,25 +146,26 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int, names: list[str]) ->
             n_dropped.append(len(lines) - len(left))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
-             pa.array(n_dropped, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
+             pa.array(n_dropped, pa.int64())], [*names, "text", *counts])
 
 
-def _without(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFrame:
-    """``docs`` with the keys of ``drops`` (key, doc) taken out; adds n_lines and n_dropped."""
+def _without(docs: DataFrame, drops: DataFrame, min_chars: int, counts: tuple[str, str]) -> DataFrame:
+    """``docs`` with the keys of ``drops`` (key, doc) taken out; adds the two counts."""
     common.ship(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     lists = drops.groupBy("doc").agg(F.collect_list("key").alias("_drops"))
     joined = docs.withColumn("_doc", _doc()).join(lists.withColumnRenamed("doc", "_doc"), "_doc", "left")
     picked = joined.select(*others, "text", "_drops")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields)
-    return picked.mapInArrow(lambda batches: _rewrite(batches, min_chars, others),
-                             f"{own}, text string, n_lines long, n_dropped long")
+    return picked.mapInArrow(lambda batches: _rewrite(batches, min_chars, others, counts),
+                             f"{own}, text string, `{counts[0]}` long, `{counts[1]}` long")
 
 
 def drop_shared(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """All columns of ``docs``, the text without shared lines, n_lines (before) and n_dropped."""
+    """All columns of ``docs``, the text without shared lines, and ``counts``: lines before, and lines dropped."""
     spark = docs.sparkSession
     arrived = postings(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
     path = work_path(spark, "line-postings")
@@ -173,13 +176,13 @@ def drop_shared(
         store.add(pairs.filter(F.col("batch") == i).drop("batch"))
     shared = store.totals().filter(F.col("n_docs") >= min_docs).select("key", "max_doc")
     drops = pairs.join(shared, "key").filter(F.col("doc") < F.col("max_doc")).select("key", "doc")
-    return _without(docs, drops.distinct(), min_chars)
+    return _without(docs, drops.distinct(), min_chars, counts)
 
 
 def drop_seen(batch: DataFrame, store: LineRuns, min_chars: int = MIN_CHARS) -> DataFrame:
     """The batch without lines that earlier batches hold; the store then knows the batch's own lines."""
     pairs = common.materialise(postings(batch, min_chars).distinct(), "line-postings")
     known = pairs.join(store.unseen(pairs), ["key", "doc"], "left_anti") if store.runs() else pairs.limit(0)
-    result = common.materialise(_without(batch, known, min_chars), "line-batch")
+    result = common.materialise(_without(batch, known, min_chars, ("n_lines", "n_dropped")), "line-batch")
     store.add(pairs)
     return result

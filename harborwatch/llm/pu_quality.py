@@ -163,19 +163,25 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
                 mean, scale, w, bias = model
                 score = 1 / (1 + np.exp(-np.clip((x - mean) / scale, -8, 8).astype(np.float64) @ w - bias))
             yield pa.RecordBatch.from_arrays(
-                [c.slice(chunk.first, len(x)) for c in rest] + [pa.array(score)], [*batch.schema.names[:-1], "score"])
+                [c.slice(chunk.first, len(x)) for c in rest] + [pa.array(score)], [*batch.schema.names[:-1], "_score"])
 
 
-def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, held_out, score and predicted of every row."""
+def _scored(docs: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, _held_out and _score of every row."""
     common.ship(docs.sparkSession)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    rows = docs.select(*keep, held_out().alias("held_out"), F.col("text").alias("_text")).mapInArrow(
-        lambda batches: _score(batches, model), f"{own}, held_out boolean, score double")
-    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.select(*keep, held_out().alias("_held_out"), F.col("text").alias("_text")).mapInArrow(
+        lambda batches: _score(batches, model), f"{own}, _held_out boolean, _score double")
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row."""
+    return _scored(docs, model, ("doc_id",)).select(
+        "doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of at least the threshold, columns as they are."""
-    model = learn(docs, labels)
-    return score(docs, model, tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    scored = _scored(docs, learn(docs, labels), tuple(docs.columns))
+    return scored.filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
