@@ -28,12 +28,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node in ``links`` (u, v), component being the least node reached.
 
-    Each step is written, so lineage stays short; a node with very many links is one aggregated row and a join that
-    adaptive execution splits. The number of steps grows with the logarithm of the longest path.
+    ``known`` (node, component) is an earlier result that the links extend. Each step is written, so lineage stays short;
+    a node with very many links is one aggregated row and a join that adaptive execution splits. The number of steps grows
+    with the logarithm of the longest path.
     """
+    if known is not None:
+        links = links.select("u", "v").unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
     edges = materialise(links.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
     before = None
     while (state := _state(edges)) != before:

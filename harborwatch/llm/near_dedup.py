@@ -6,14 +6,17 @@
    each class ordered by how few classes share the (coordinate, value) pair, posting the first K - M + 1 is therefore
    enough (prefix); pairs that occur once are skipped, and a class whose prefix holds nothing else has no partner at all.
    Values that a common passage puts into thousands of documents fall behind the prefix.
-3. A posting list is not expanded into pairs. First its members are matched with leaders drawn from the list, then
-   collisions of whole signatures are counted, and pairs of at least M collisions are confirmed on full shingle sets;
-   confirmed links give components. Lists whose members are all in one component are done. Three such rounds leave few
-   lists; of these, every pair of members in different components is counted (in blocks of bounded size), so that no
-   link between components is left out.
-
-A pair at the required similarity s has a binomial number of collisions; M is chosen so that fewer than M occur with a
-probability below ``MISS`` (1e-6). That is the only way to lose a link; what is confirmed is exact.
+3. Collisions of whole signatures are counted inside posting lists: members against leaders drawn from the list, then, in
+   lists that still hold several groups, members outside the largest group against all others. Only members of different
+   groups are counted, and a task returns the collisions that join groups, not all of them. The result is the components
+   of the graph of all pairs with at least M collisions.
+4. Links lie inside these components. Their texts are brought together in blocks of bounded size (a component of any size
+   is split) and compared by full shingle sets, again only where two members are not joined yet: in large components first
+   with drawn leaders, then members outside the largest group with all others.
+
+So no list or component is expanded into pairs, and no link between different groups is left out. A pair at the required
+similarity s has a binomial number of collisions; M is chosen so that fewer than M occur with a probability below ``MISS``
+(1e-6). That is the only way to lose a link; what joins documents in the end is exact.
 
 Null or empty texts have no shingles and no links; they stay. A text of fewer than w words is one shingle. Rows with
 equal doc_id are one node. A null doc_id takes no part and stays. Empty tables give empty results; further columns are
@@ -23,7 +26,7 @@ ignored here and kept by ``drop_near_copies``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,11 @@ from harborwatch.llm.components import components
 COORDINATES = 40
 #: Chance that a pair at the required similarity has too few collisions.
 MISS = 1e-6
-#: Leaders that a posting list may have in one round.
+#: Leaders that a posting list or a component may have in one round.
 LEADERS = 6
-ROUNDS = 2
-#: Members of a posting list that one task holds on either side.
-BLOCK = 1024
+#: Members of a posting list that one task holds on either side, and texts of a component.
+LIST_BLOCK = 1024
+TEXT_BLOCK = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -158,76 +161,129 @@ def leader_pairs(lists: DataFrame, matches: int, leaders: int, turn: int) -> Dat
         lambda batches: _collide(batches, matches), "u long, v long").distinct()
 
 
-def _cross(table: pa.Table, matches: int) -> pa.Table:
-    """Pairs of one block with different labels and enough collisions."""
+def _joining(one: np.ndarray, two: np.ndarray, group: np.ndarray, met: Callable[[int, np.ndarray], np.ndarray]) -> list:
+    """Edges (i, j), i of ``one`` and j of ``two``, that join different groups; as few as it takes. ``met`` tells which
+    of the given rows belong with row i. ``group`` is changed."""
+    edges = []
+    for i in one:
+        others = two[group[two] != group[i]]
+        if len(others):
+            others = others[met(i, others)]
+            joined, first = np.unique(group[others], return_index=True)
+            if len(joined):
+                edges += [(i, others[k]) for k in first]
+                group[np.isin(group, joined)] = group[i]
+    return edges
+
+
+def _edge_table(node: np.ndarray, edges: list) -> pa.Table:
+    i, j = np.array(edges, np.int64).reshape(-1, 2).T
+    return pa.table({"u": node[i], "v": node[j]})
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+    return node, np.unique(label, return_inverse=True)[1], np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _collisions(table: pa.Table, matches: int) -> pa.Table:
+    """Joining edges by collisions of signatures, in one block of a list."""
+    node, group, one, two = _sides(table)
     sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    hits = np.zeros((len(one), len(two)), np.uint8)
-    for k in range(COORDINATES):
-        hits += sign[one, k][:, None] == sign[two, k][None, :]
-    hits[label[one][:, None] == label[two][None, :]] = 0
-    i, j = np.nonzero(hits >= matches)
-    a, b = node[one[i]], node[two[j]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return pa.table({"u": pairs[0], "v": pairs[1]})
+    return _edge_table(node, _joining(one, two, group, lambda i, rows: (sign[rows] == sign[i]).sum(axis=1) >= matches))
+
+
+def _links(table: pa.Table, size: int, percent: int) -> pa.Table:
+    """Joining edges by similarity of full shingle sets, in one block of a component."""
+    node, group, one, two = _sides(table)
+    sets = []
+    for chunk in common.text_chunks(table.column("text")):
+        of, h = shingles(chunk, size)
+        cut = np.searchsorted(of, np.arange(len(chunk.offsets)))
+        sets += [h[cut[k]: cut[k + 1]] for k in range(len(chunk.offsets) - 1)]
+    n = np.array([len(s) for s in sets])
+    first = np.append(0, np.cumsum(n))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(flat) + 1, bool)
+
+    def similar(i: int, rows: np.ndarray) -> np.ndarray:
+        own = flat[first[i]: first[i + 1]]
+        mark[own] = True
+        both = np.diff(np.append(0, np.cumsum(mark[flat]))[first])[rows]
+        mark[own] = False
+        return (n[rows] > 0) & (100 * both >= percent * (n[rows] + n[i] - both))
+
+    return _edge_table(node, _joining(one, two, group, similar))
+
+
+def with_rest(rows: DataFrame, key: str) -> DataFrame:
+    """``rest``: not of the largest group of its ``key``. Keys with a single group go, and so do lists of two."""
+    counts = rows.groupBy(key, "label").agg(F.count("node").alias("n"))
+    sizes = counts.groupBy(key).agg(
+        F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"),
+    ).filter("all > 2 and most < all")
+    return rows.join(sizes.select(key, "main"), key).withColumn("rest", F.col("label") != F.col("main")).drop("main")
 
 
-def remaining_pairs(lists: DataFrame, matches: int) -> DataFrame:
-    """(u, v): all pairs of a list in different components with enough collisions, but for lists of two.
+def in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows copied to the blocks (kind, i, j) of their ``key`` in which they are compared, with their side there.
 
-    Members outside the largest component of a list are set against all members, in blocks.
+    Every member of ``rest`` meets every member of the key. Kind 0 sets a block of the rest (side 0) against a block of
+    the others (1); kind 1 sets two blocks of the rest against each other, or one against itself (side 2).
     """
-    counts = lists.groupBy("token", "label").agg(F.count("node").alias("n"))
-    sizes = counts.groupBy("token").agg(
-        F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"),
-    ).filter("all > 2 and most < all")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sized = lists.join(sizes, "token").withColumns({
-        "rest": F.col("label") != F.col("main"), "in_rest": blocks(F.col("all") - F.col("most")),
-        "in_main": blocks(F.col("most"))})
-    draw = F.xxhash64("node")
-    own = F.pmod(draw, F.when(F.col("rest"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
-    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    sizes = rows.groupBy(key).agg(F.count_if("rest").alias("in_rest"), F.count_if(~F.col("rest")).alias("in_main"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    sized = rows.join(sizes.select(key, blocks("in_rest").alias("in_rest"), blocks("in_main").alias("in_main")), key)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
+    numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(
+        F.array().cast("array<int>"))
     entry = lambda kind, i, j, side: F.struct(
         F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    own_col = F.col("own")
-    # Kind 0: a block of the rest against a block of the largest component. Kind 1: two blocks of the rest (side 2: both).
-    with_main = F.transform(numbers(F.col("in_main")), lambda j: entry(0, own_col, j, F.lit(0)))
-    with_rest = F.transform(numbers(F.col("in_rest")), lambda j: entry(
-        1, F.least(own_col, j), F.greatest(own_col, j),
-        F.when(own_col == j, 2).when(own_col < j, 0).otherwise(1)))
-    from_main = F.transform(numbers(F.col("in_rest")), lambda i: entry(0, i, own_col, F.lit(1)))
+    mine = F.col("own")
+    with_main = F.transform(numbers("in_main"), lambda j: entry(0, mine, j, F.lit(0)))
+    with_rest_ = F.transform(numbers("in_rest"), lambda j: entry(
+        1, F.least(mine, j), F.greatest(mine, j), F.when(mine == j, 2).when(mine < j, 0).otherwise(1)))
+    from_main = F.transform(numbers("in_rest"), lambda i: entry(0, i, mine, F.lit(1)))
     placed = sized.withColumn("own", own).withColumn(
-        "b", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(from_main)))
-    return placed.select("token", "b.*", "node", "label", "sign").groupBy("token", "kind", "i", "j").applyInArrow(
-        lambda table: _cross(table, matches), "u long, v long").distinct()
+        "b", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest_)).otherwise(from_main)))
+    return placed.select("*", "b.*").drop("in_rest", "in_main", "own", "b", "rest")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk in common.text_chunks(batch.column(1)):
-            rows = len(chunk.offsets) - 1
-            of, h = shingles(chunk, size)
-            cut = np.searchsorted(of, np.arange(rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(chunk.first, rows),
-                 pa.array([h[cut[i]: cut[i + 1]].tobytes() for i in range(rows)], pa.binary())], ["node", "set"])
+def remaining_collisions(lists: DataFrame, matches: int) -> DataFrame:
+    """(u, v): collisions that join the groups of each list, lists of two excepted (a leader has met the other)."""
+    return in_blocks(with_rest(lists, "token"), "token", LIST_BLOCK).groupBy("token", "kind", "i", "j").applyInArrow(
+        lambda table: _collisions(table, matches), "u long, v long")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                good.append(False)
-                continue
-            both = np.sort(np.concatenate([a, b]))
-            common_ones = int((both[1:] == both[:-1]).sum())
-            good.append(100 * common_ones >= percent * (len(both) - common_ones))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+def collision_components(posted: DataFrame, matches: int) -> DataFrame:
+    """(node, component): components of the graph of all pairs with enough collisions; nodes without any are left out."""
+    labels = None
+    for turn in range(3):
+        own = F.col("node") if labels is None else F.coalesce("component", "node")
+        lists = (posted if labels is None else posted.join(labels, "node", "left")).select(
+            "token", "node", own.alias("label"), "sign")
+        if turn < 2:
+            found = leader_pairs(lists, matches, LEADERS if turn else 1, turn)
+        else:
+            found = remaining_collisions(lists, matches)
+        labels = components(found, labels)
+    return labels
+
+
+def links_within(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) by exact similarity. ``members`` (node, family, text): links lie within families."""
+    families = members.groupBy("family").agg(F.count("node").alias("n"))
+    small = F.col("n") <= TEXT_BLOCK
+    # Leaders: LEADERS of a large family on average, by hash.
+    leader = F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < LEADERS
+    first = members.join(families, "family").select(
+        "family", "node", F.col("node").alias("label"), "text", (small | leader).alias("rest"), small.alias("small"))
+    compare = lambda blocks: blocks.groupBy("family", "kind", "i", "j").applyInArrow(
+        lambda table: _links(table, size, percent), "u long, v long")
+    labels = components(compare(in_blocks(first.drop("small"), "family", TEXT_BLOCK)), None)
+    large = first.filter("not small").select("family", "node", "text").join(labels, "node", "left").select(
+        "family", "node", F.coalesce("component", "node").alias("label"), "text")
+    return components(compare(in_blocks(with_rest(large, "family"), "family", TEXT_BLOCK)), labels)
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -238,36 +294,11 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = common.materialise(
         filled.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.max("sign").alias("sign")), "classes")
     posted = common.materialise(prefix_postings(classes, matches), "postings")
-
-    ids = posted.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
-    sets = common.materialise(
-        texts.mapInArrow(lambda batches: _sets(batches, size), "node long, set binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(
-            sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        return both.select("u", "v", "a", "b").mapInArrow(
-            lambda batches: _confirm(batches, percent), "u long, v long").distinct()
-
-    labels, tried = None, None
-    for turn in range(ROUNDS + 2):
-        own = F.col("node") if labels is None else F.coalesce("component", "node")
-        lists = (posted if labels is None else posted.join(labels, "node", "left")).select(
-            "token", "node", own.alias("label"), "sign")
-        if turn <= ROUNDS:
-            pairs = leader_pairs(lists, matches, 1 if turn == 0 else LEADERS, turn)
-        else:
-            pairs = remaining_pairs(lists, matches)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = common.materialise(pairs, "pairs")
-        found = common.materialise(confirmed(pairs), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if labels is not None:
-            found = found.unionByName(
-                labels.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v"))
-        labels = components(found)
+    families = collision_components(posted, matches)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    members = common.materialise(
+        texts.join(families.withColumnRenamed("component", "family"), "node"), "families")
+    labels = links_within(members, size, percent)
 
     members = known.join(classes.select("high", "low", "node"), ["high", "low"], "left").join(labels, "node", "left")
     part = F.col("n_shingles") > 0
