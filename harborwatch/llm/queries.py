@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborwatch.llm import balance, common, fixity, html_text, language, line_runs, near_dedup, packing, pu_quality, repetition, threshold_search
+from harborwatch.llm import (
+    balance, common, fixity, html_text, language, line_runs, near_dedup, oracles, packing, pu_quality, repetition,
+    threshold_search,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +67,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_repetition, op2_html_text, op3_threshold_search, op4_near_dedup, op5_pu_quality, op6_fixity, op7_balance, op8_language,
     op9_line_runs, op10_packing)}
-ORACLES: dict[str, str] = {"op3_threshold_search": threshold_search.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_repetition": oracles.repeats(), "op3_threshold_search": threshold_search.ORACLE,
+    "op4_near_dedup": oracles.near_copies(3, 85), "op9_line_runs": oracles.shared_lines()}
