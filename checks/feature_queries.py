@@ -10,7 +10,7 @@ from checks.ingest_queries import mapping, oriented, placed, prepared, training_
 from checks.registry import query, rounded
 from harborwatch.operators import attack, features, history
 from harborwatch.plans import overlay as overlay_plan
-from harborwatch.schema import FEATURES, THINNING, Params
+from harborwatch.schema import FEATURES, Params, THINNING
 
 P = x.PARAMS_60
 KEY = "day, timewindow, port"
@@ -255,6 +255,30 @@ def merge_overlay(spark, sf_dir):
     return rounded(test_day(spark, sf_dir))
 
 
+def _thinned(n: int) -> str:
+    """The overlay with every n-th record of each source, its time counted from the first record kept."""
+    ctes = []
+    for name, body in q.overlay(60):
+        if name == "attack":
+            ctes += [("whole", body), ("attack", f"""
+                SELECT * EXCLUDE (ts, nth), ts - min(ts) OVER () AS ts FROM (
+                  SELECT *, row_number() OVER (PARTITION BY orig_h ORDER BY ts, uid) AS nth FROM whole) w WHERE nth % {n} = 0""")]
+        else:
+            ctes.append((name, body.replace("'wannacry' AS variant", f"'{n}wannacry' AS variant")))
+    return q.with_(ctes, q.rounded_features("variant, day, timewindow, port", "test", label=True))
+
+
+@query("merge_overlay_variants", " UNION ALL ".join(f"SELECT * FROM ({one}) v" for one in (
+    q.with_(q.overlay(60), q.rounded_features("variant, day, timewindow, port", "test", label=True)),
+    *map(_thinned, THINNING))))
+def merge_overlay_variants(spark, sf_dir):
+    """The prepared trace and all its thinned versions on one background day."""
+    p = x.PARAMS_OVERLAY
+    trace = overlay_plan.prepared_variants(x.attack_raw(spark, sf_dir), p)
+    names = ["wannacry", *[f"{n}wannacry" for n in THINNING]]
+    return rounded(overlay_plan.labelled_day(x.conn(spark, sf_dir), trace, names, x.TEST_DAY, p, x.BASE_DAY).features)
+
+
 @query("label_windows", q.with_(q.overlay(60), "SELECT timewindow, port, label FROM test"))
 def label_windows(spark, sf_dir):
     return test_day(spark, sf_dir).select("timewindow", "port", "label")

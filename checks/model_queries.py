@@ -100,6 +100,22 @@ _FOLDS = [*q.train(14400), ("folded", """
                 SELECT port, feature, fold, h, sum(ll) AS score FROM held_out GROUP BY ALL) f GROUP BY port, feature, h""")]
 
 
+@query("kde_bandwidth_cv_60s")
+def kde_bandwidth_cv_60s(spark, sf_dir):
+    """The search at the default grain; its sums over pairs take minutes in SQL, so the same SQL is kept at a coarser one."""
+    train = st.train_60(spark, sf_dir)
+    return rounded(kde.kde_bandwidth_cv(train, scaling.scaler_fit(train, x.PARAMS_60)))
+
+
+@query("detect_weighted")
+def detect_weighted(spark, sf_dir):
+    """Weighted training scores -> percentiles -> weighted detection."""
+    counts = detection.weighted_detection(
+        st.test_60(spark, sf_dir), st.train_60(spark, sf_dir), st.models(spark, sf_dir), x.importance(spark), 10.0,
+        list(x.PARAMS_60.model_ports))
+    return rounded(counts)
+
+
 def _cv_inputs(spark, sf_dir):
     train = st.train(spark, sf_dir, P_DAYPART)
     return train, scaling.scaler_fit(train, P_DAYPART)

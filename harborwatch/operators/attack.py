@@ -206,7 +206,7 @@ def merge_overlay(
 ) -> DataFrame:
     """Labelled, dense feature rows of the merge day, one set per variant, with the attack on every port.
 
-    Adding records and aggregating once equals continuing the background accumulators with the attack.
+    Merging the statistics of both equals continuing the background accumulators with the attack.
     ``known`` is a stored history (day, port, ext_ip); without it the earlier days are read from ``conns``.
     """
     start, _ = f.day_bounds(base_day, p.report_tz)
@@ -220,10 +220,11 @@ def merge_overlay(
     # Used for statistics, peers and labels: mapped and placed once.
     placed = cut_lineage(place_attack(trace.filter(F.col("variant").isin(variants)), mapping, merge_day, p))
     key = ["variant", "day", "timewindow", "port"]
-    values = [*key, *ft.MEASURES, "conn_state"]
 
-    today = _per_variant(background, variants)
-    stats = ft.traffic_statistics(today.select(*values).unionByName(overlay_all_ports(placed, p).select(*values)), key)
+    # Records are aggregated once; only window rows are repeated for variants and ports.
+    stats = ft.merge_traffic(
+        _per_variant(ft.traffic_partials(background), variants),
+        overlay_all_ports(ft.traffic_partials(placed, ["variant", "day", "timewindow"]), p), key)
     peers = _overlay_peers(background, placed, known, variants, p, base_day)
     days = _per_variant(conns.sparkSession.range(1).select(F.lit(merge_day).alias("day")), variants)
     dense = ft.densify(stats.join(peers, key), days, p, keys=("variant", "day"))

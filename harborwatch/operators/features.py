@@ -109,6 +109,33 @@ def traffic_statistics(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
         F.count(F.lit(1)).alias("num_conns"), *measure_statistics(), *state_counts(), *outcome_counts())
 
 
+def traffic_partials(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Mergeable form of ``traffic_statistics``: counts, and per measure number, mean, squared deviations, min, max."""
+    measures = [F.struct(
+        F.count(m).alias("n"), F.avg(m).alias("mean"), (F.var_pop(m) * F.count(m)).alias("m2"),
+        F.min(m).alias("low"), F.max(m).alias("high")).alias(m) for m in MEASURES]
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("num_conns"), *state_counts(), *outcome_counts(), *measures)
+
+
+def merge_traffic(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Statistics of two sets of records from their partials; a key may be on one side only."""
+    counters = [c for c in a.columns if c not in key and c not in MEASURES]
+    sides = [t.select(*key, F.struct(*counters, *MEASURES).alias(name)) for t, name in ((a, "_a"), (b, "_b"))]
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = [(zero(F.col(f"_a.{c}")) + zero(F.col(f"_b.{c}"))).alias(c) for c in counters]
+    for m in MEASURES:
+        x, y = ({f: F.col(f"{s}.{m}")[f] for f in ("n", "mean", "m2", "low", "high")} for s in ("_a", "_b"))
+        nx, ny = zero(x["n"]), zero(y["n"])
+        n = F.nullif(nx + ny, F.lit(0))
+        gap = zero(x["mean"]) - zero(y["mean"])
+        mean = zero(x["mean"]) * (nx / n) + zero(y["mean"]) * (ny / n)
+        m2 = zero(x["m2"]) + zero(y["m2"]) + gap * gap * (nx / n) * ny
+        out += [zero(v).cast("double").alias(f"{name}_{m}") for name, v in (
+            ("min", F.least(x["low"], y["low"])), ("max", F.greatest(x["high"], y["high"])), ("mean", mean),
+            ("variance", m2 / n))]
+    return sides[0].join(sides[1], key, "full").select(*key, *out)
+
+
 # --- peers: distinct and newly seen addresses ----------------------------------
 
 def window_peers(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
