@@ -38,18 +38,17 @@ cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM lists),
 lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS place
           FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM cut) u
           WHERE regexp_matches(line, '{_WORDS}')),
-l AS (SELECT doc_id, count(*) AS n_lines, count_if(place > 1) AS n_dup_lines, cast(sum(length(line)) AS bigint) AS line_chars,
+l AS (SELECT doc_id, count_if(place > 1) AS n_dup_lines, cast(sum(length(line)) AS bigint) AS line_chars,
              cast(sum(CASE WHEN place > 1 THEN length(line) ELSE 0 END) AS bigint) AS dup_line_chars FROM lines GROUP BY doc_id),
 s AS (SELECT doc_id, count(*) AS n_words, cast(sum(size) AS bigint) AS word_chars FROM words GROUP BY doc_id),
 m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
              length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
              coalesce(c{repetition.WINDOW}.in_repeat, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
-             coalesce(n_lines, 0) AS n_lines, coalesce(line_chars, 0) AS line_chars, {coverage}
+             coalesce(line_chars, 0) AS line_chars, {coverage}
       FROM lists d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id {joins}),
 b AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed
       FROM m)
-SELECT {columns}, base_failed, NOT base_failed AND n_dup_lines <= {repetition.MAX_DUP_LINES}e0 * n_lines
-       AND dup_line_chars <= {repetition.MAX_DUP_LINE_CHARS}e0 * line_chars AND {good} AS kept
+SELECT {columns}, base_failed, NOT base_failed AND dup_line_chars <= {repetition.MAX_DUP_LINE_CHARS}e0 * line_chars AND {good} AS kept
 FROM b"""
 
 

@@ -24,7 +24,7 @@ WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Largest share of a text's word characters that may lie inside n-grams said again, by n.
 MAX_COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-MAX_DUP_LINES = 0.30
+#: The same for characters in lines said again.
 MAX_DUP_LINE_CHARS = 0.20
 SYMBOLS = b"#*$%&|<>"
 
@@ -91,7 +91,6 @@ def measure(chunk: common.Chunk) -> dict[str, np.ndarray]:
     keys = common.mixed(common.span_hash(prefix, start, end) + np.uint64(31) * (end - start).astype(np.uint64))
     out["n_dup_lines"], copy = _later_copies(of, keys, n_texts)
     out["dup_line_chars"] = np.bincount(of[copy], (chars[end] - chars[start])[copy], n_texts).astype(np.int64)
-    out["n_lines"] = np.bincount(of, minlength=n_texts)
     out["line_chars"] = np.bincount(of, chars[end] - chars[start], n_texts).astype(np.int64)
 
     n = len(w.start)
@@ -117,8 +116,7 @@ def measure(chunk: common.Chunk) -> dict[str, np.ndarray]:
 
 def verdicts(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     m["base_failed"] = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-    good = ~m["base_failed"] & (m["n_dup_lines"] <= MAX_DUP_LINES * m["n_lines"])
-    good &= m["dup_line_chars"] <= MAX_DUP_LINE_CHARS * m["line_chars"]
+    good = ~m["base_failed"] & (m["dup_line_chars"] <= MAX_DUP_LINE_CHARS * m["line_chars"])
     for n, most in MAX_COVERAGE.items():
         good &= m[f"dup_{n}gram_chars"] <= most * m["word_chars"]
     m["kept"] = good
