@@ -296,8 +296,9 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     posted = common.materialise(prefix_postings(classes, matches), "postings")
     families = collision_components(posted, matches)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # A sort-merge join at every size: the nodes with collisions grow with the documents.
     members = common.materialise(
-        texts.join(families.withColumnRenamed("component", "family"), "node"), "families")
+        texts.join(families.withColumnRenamed("component", "family").hint("merge"), "node"), "families")
     labels = links_within(members, size, percent)
 
     members = known.join(classes.select("high", "low", "node"), ["high", "low"], "left").join(labels, "node", "left")
@@ -310,7 +311,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """All columns of ``docs``: of every component the document with the least id, once; texts without words stay."""
     gone = near_copies(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
     empty = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
-    once = rest.filter(~empty).dropDuplicates(["doc_id"])
-    return once.unionByName(rest.filter(empty)).select(*docs.columns)
+    # Rows without words or id are never copies of each other; the join's partitioning serves the last step too.
+    own = F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    rest = docs.withColumn("_own", own).join(gone.hint("merge"), "doc_id", "left_anti")
+    return rest.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
