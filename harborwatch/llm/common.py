@@ -38,7 +38,10 @@ def ship(spark: SparkSession) -> None:
 
     Where the folder is not shared, the package must be given with ``--py-files``.
     """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
