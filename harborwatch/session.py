@@ -11,14 +11,15 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """Folder every executor can reach, taken from ``spark.checkpoint.dir``. Work tables stay there after a job.
 
     Only a local master may fall back to a folder of this machine.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="harborwatch-")
     spark.conf.set(CHECKPOINT_CONF, root)
