@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as x
 from checks import sql as q
 from checks import stages as st
+from checks.feature_queries import test_day
 from checks.ingest_queries import window_features
 from checks.registry import query, rounded
 from harborwatch.operators import ensemble, evaluation, forest, importance, kde, ranking, scaling, vectors
@@ -236,6 +237,21 @@ def kde_ccdf(spark, sf_dir):
     return tails.select("timewindow", "port", F.round("normalized_score", 6).alias("normalized_score"))
 
 
+@query("ranked_report_weighted", q.with_([*_TEST_Z, *q.importance(), ("tail_v", "SELECT DISTINCT port, feature, z FROM test_z"), ("tails", f"""
+    SELECT v.port, v.feature, v.z, sum(s.w * ({q.normal_cdf(f'((v.z - s.z) / {H})')})) / max(n.n) AS cdf
+    FROM tail_v v JOIN support s ON v.port = s.port AND v.feature = s.feature JOIN sizes_train n ON n.port = v.port
+    GROUP BY v.port, v.feature, v.z""")], """
+    SELECT t.timewindow, t.port, round(sum(i.weight * CASE WHEN cdf > 1 THEN 0 ELSE 1 - cdf END) / sum(i.weight), 6) AS normalized_score
+    FROM test_z t JOIN tails d ON t.port = d.port AND t.feature = d.feature AND t.z = d.z
+    JOIN importance i ON i.port = t.port AND i.feature = t.feature GROUP BY t.timewindow, t.port"""))
+def ranked_report_weighted(spark, sf_dir):
+    """Weighted scores, ranked, with the weighted tail probability of every window."""
+    m, weights = st.models(spark, sf_dir), x.importance(spark)
+    ranked = ranking.rank_scores(detection.test_scores(st.scored_ports(spark, sf_dir), m, weights))
+    tails = ensemble.ensemble_tails(ranked, st.scored_ports(spark, sf_dir), m.scaler, m.support, weights)
+    return tails.select("timewindow", "port", F.round("normalized_score", 6).alias("normalized_score"))
+
+
 # --- whole-vector densities and forests ----------------------------------------------------
 
 _VECTOR = [*q.train(3600), ("day30", f"SELECT * FROM features WHERE day = DATE '2024-01-30' AND port IN {q.MODEL_PORTS}"),
@@ -345,6 +361,29 @@ def rf_importance(spark, sf_dir):
     return importance.rf_importance(st.test_60(spark, sf_dir), list(x.PARAMS_60.ports))
 
 
+def _labelled_hours(spark, sf_dir):
+    p = Params(tw_seconds=3600, attackers=x.PARAMS_OVERLAY.attackers)
+    day = st.stage(spark, sf_dir, "test-3600", lambda: test_day(spark, sf_dir, p))
+    return day.filter(F.col("port").isin(list(p.model_ports)))
+
+
+@query("joint_density_evaluation")
+def joint_density_evaluation(spark, sf_dir):
+    """Areas under the curves of the joint density of all features, on labelled hours."""
+    train, scaler = _forest_inputs(spark, sf_dir)
+    bandwidths = scaler.select("port").distinct().withColumn("h", F.array(F.lit(VECTOR_H)))
+    scored = vectors.vector_kde_score(_labelled_hours(spark, sf_dir), train, scaler, bandwidths)
+    return rounded(evaluation.auc(scored.withColumn("score", F.col("log_density"))))
+
+
+@query("iforest_evaluation")
+def iforest_evaluation(spark, sf_dir):
+    """Areas under the curves of the isolation forest, on labelled hours."""
+    train, scaler = _forest_inputs(spark, sf_dir)
+    trees = forest.iforest_fit(train, scaler, x.PARAMS_3600, max_features=16)
+    return rounded(evaluation.auc(forest.iforest_score(_labelled_hours(spark, sf_dir), scaler, trees)))
+
+
 # --- ranking and percentiles ------------------------------------------------------------------
 
 _RANKED = [*_SCORES, ("ranked", """
