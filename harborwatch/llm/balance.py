@@ -16,8 +16,9 @@ documents of equal size is by hash of the id, so reruns agree.
 
 A source or a size that holds a third of all rows is counted by partial aggregation and spread over ``SALTS`` groups for
 the choice. Null or empty text: size 0, one copy, no words. Null source: a source of its own. An empty table gives an
-empty result. Rows with equal ids are documents of their own, chosen in an arbitrary order among equals. A target of 0
-(a source without words) leaves its documents as they are.
+empty result. Rows with equal ids are documents of their own, chosen in an arbitrary order among equals; ``mix`` numbers the
+rows, so each is taken as often as its own decision says. Rows without an id come after the others of their size and are
+spread by row. A target of 0 (a source without words) leaves its documents as they are.
 """
 
 from __future__ import annotations
@@ -42,11 +43,17 @@ def text_size() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, which holds once the result is written."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size, salt): ``key`` is the source, with null told apart from every string."""
+    """(doc_id, _row, key, size, salt): ``key`` is the source, with null told apart from every string."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    return docs.select("doc_id", key.alias("key"), text_size().alias("size")).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("_row"), F.lit(SALTS)) + SALTS).otherwise(
+        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    return docs.select("doc_id", "_row", key.alias("key"), text_size().alias("size")).withColumn("salt", salt.cast("int"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -109,8 +116,8 @@ def _newton(cells: DataFrame, goal: DataFrame) -> DataFrame:
     return state.drop("low", "high", "open")
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) of every row of ``docs``."""
+def _decided(docs: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(doc_id, _row, size, source_size, target, copies) of every row of ``docs``, which has numbers."""
     rows = materialise(sized(docs), "sizes")
     groups = materialise(rows.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "groups")
     cells = materialise(groups.groupBy("key", "size").agg(F.sum("n").alias("n")), "cells")
@@ -134,14 +141,20 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     passed = lambda at: F.floor(F.col("start") + at * F.col("part") + half)
     extra = counted.withColumn("extra", passed(F.col("before") + F.col("n")) - passed(F.col("before")))
     chosen = rows.withColumn("place", F.row_number().over(
-        W.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")))
+        W.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "_row")))
     number = F.col("base") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
     return chosen.join(extra.drop("docs"), ["key", "size", "salt"]).select(
-        "doc_id", "size", "source_size", "target", number.cast("long").alias("copies"))
+        "doc_id", "_row", "size", "source_size", "target", number.cast("long").alias("copies"))
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, size, source_size, target, copies) of every row of ``docs``."""
+    return _decided(numbered(docs), weights).drop("_row")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """All columns of ``docs``, every row as often as the mix takes it. Rows that share an id are taken alike."""
-    often = copies(docs, weights).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(often.filter("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """All columns of ``docs``, every row as often as the mix takes it."""
+    rows = materialise(numbered(docs), "mix-rows")
+    often = _decided(rows, weights).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    taken = rows.join(often, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)

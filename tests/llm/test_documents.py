@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from harborwatch.llm import balance, components, language, line_runs, near_dedup, packing, pu_quality, repetition
 from tests.llm import brute
-from tests.llm.conftest import EDGES
+from tests.llm.conftest import DOCS, EDGES
 
 
 def test_repetition_equals_plain_counts(docs, edges):
@@ -170,6 +170,20 @@ def test_mix_edges(edges, empty):
     assert balance.mix(edges).filter("doc_id is null").count() <= 3
 
 
+def test_mix_decides_row_by_row(spark):
+    """Rows without an id or with a repeated one meet the targets like all others."""
+    rows = [(None if i % 3 == 0 else i % 40, " ".join(["w"] * (1 + i % 7)), "en", f"s{min(i % 10, 2)}", i) for i in range(600)]
+    frame = spark.createDataFrame(rows, DOCS)
+    mixed = balance.mix(frame).withColumn("size", balance.text_size())
+    assert mixed.drop("size").subtract(frame).count() == 0
+    often = [r["count"] for r in mixed.groupBy("n_chars").count().collect()]
+    assert max(often) <= 3 and len(often) < len(rows)
+    size = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("s0", "s1", "s2")}
+    taken = {r["source"]: r["taken"] for r in mixed.groupBy("source").agg(F.sum("size").alias("taken")).collect()}
+    want = brute.targets(size)
+    assert all(abs(taken[s] - want[s]) <= 7 for s in size), (taken, want)
+
+
 def test_mix_runs_no_python(docs):
     for frame in (balance.copies(docs), balance.mix(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
