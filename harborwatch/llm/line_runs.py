@@ -16,8 +16,10 @@ counts (and each loses or keeps its lines alike); a null doc_id counts as one do
 gives an empty result; further columns pass through.
 
 A key that a third of all documents holds is one row per task after partial aggregation, and one row in a run; the
-join of postings with runs is split by adaptive execution on the side of the postings. What meets in one group is the
-drops of one document, bounded by its own lines.
+join of postings with runs is split by adaptive execution on the side of the postings. Counts go by doc_id, drops by doc_id
+and hash of the text: what meets in one group is the drops of one text, bounded by its own lines, however many rows share
+its id or have none. Whether a line goes depends on its key and the doc_id only, so texts of one id with equal hashes
+would still lose the right lines.
 """
 
 from __future__ import annotations
@@ -58,23 +60,30 @@ def line_keys(text: str, least: int) -> tuple[list[bytes], list[bytes | None]]:
 
 def _postings(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids, parts, keys = [], [], []
+        for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found = set(line_keys(text.as_py() or "", least)[1]) - {None}
             ids += [doc] * len(found)
+            parts += [part] * len(found)
             keys += found
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(parts, pa.int64())], ["key", "doc", "part"])
 
 
 def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
+def _part() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, doc): distinct keys of each row."""
+    """(key, doc, part): distinct keys of each row."""
     common.ship(docs.sparkSession)
-    return docs.select(_doc().alias("doc"), "text").mapInArrow(
-        lambda batches: _postings(batches, min_chars), "key binary, doc long")
+    return docs.select(_doc().alias("doc"), _part().alias("part"), "text").mapInArrow(
+        lambda batches: _postings(batches, min_chars), "key binary, doc long, part long")
 
 
 class LineRuns:
@@ -150,11 +159,13 @@ def _rewrite(
 
 
 def _without(docs: DataFrame, drops: DataFrame, min_chars: int, counts: tuple[str, str]) -> DataFrame:
-    """``docs`` with the keys of ``drops`` (key, doc) taken out; adds the two counts."""
+    """``docs`` with the keys of ``drops`` (key, doc, part) taken out; adds the two counts."""
     common.ship(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
-    lists = drops.groupBy("doc").agg(F.collect_list("key").alias("_drops"))
-    joined = docs.withColumn("_doc", _doc()).join(lists.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    lists = drops.groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part")).agg(F.collect_list("key").alias("_drops"))
+    # Written first, so that adaptive execution can split the join where a text is repeated in very many rows.
+    lists = common.materialise(lists, "line-drops")
+    joined = docs.withColumns({"_doc": _doc(), "_part": _part()}).join(lists, ["_doc", "_part"], "left")
     picked = joined.select(*others, "text", "_drops")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields)
     return picked.mapInArrow(lambda batches: _rewrite(batches, min_chars, others, counts),
@@ -175,7 +186,7 @@ def drop_shared(
     for i in range(batches):
         store.add(pairs.filter(F.col("batch") == i).drop("batch"))
     shared = store.totals().filter(F.col("n_docs") >= min_docs).select("key", "max_doc")
-    drops = pairs.join(shared, "key").filter(F.col("doc") < F.col("max_doc")).select("key", "doc")
+    drops = pairs.join(shared, "key").filter(F.col("doc") < F.col("max_doc")).select("key", "doc", "part")
     return _without(docs, drops.distinct(), min_chars, counts)
 
 

@@ -50,6 +50,21 @@ def test_shared_lines_edges(edges, empty):
     assert line_runs.drop_shared(empty).count() == 0
 
 
+def test_drops_are_gathered_by_text(spark, monkeypatch):
+    """However many rows have no id or the same one, a list of drops has the lines of one text at most."""
+    line = "this is line number {} of the shared ones".format
+    rows = [(None if i % 2 else 7, f"{line(2 * i)}\nown {i}\n{line(2 * i + 1)}") for i in range(40)]
+    rows += [(100 + k, "\n".join(line(j) for j in range(80))) for k in range(3)]
+    seen = []
+    without = line_runs._without
+    monkeypatch.setattr(line_runs, "_without", lambda docs, drops, *rest: seen.append(drops) or without(docs, drops, *rest))
+    got = line_runs.drop_shared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] in (None, 7)) == sorted(f"own {i}" for i in range(40))
+    assert {r["doc_id"]: r["n_dropped"] for r in got if (r["doc_id"] or 0) >= 100} == {100: 80, 101: 80, 102: 0}
+    lists = seen[0].groupBy([c for c in seen[0].columns if c != "key"]).count().filter("doc < 100").collect()
+    assert [r["count"] for r in lists] == [2] * 40
+
+
 def test_runs_are_compacted_and_drop_seen_lines(spark):
     store = line_runs.LineRuns(spark, fan_in=3)
     seen = set()
