@@ -18,6 +18,8 @@ So no list or component is expanded into pairs, and no link between different gr
 similarity s has a binomial number of collisions; M is chosen so that fewer than M occur with a probability below ``MISS``
 (1e-6). That is the only way to lose a link; what joins documents in the end is exact.
 
+Of each class one text is compared, however many rows repeat it, and texts of one doc_id are spread over the blocks.
+
 Null or empty texts have no shingles and no links; they stay. A text of fewer than w words is one shingle. Rows with
 equal doc_id are one node. A null doc_id takes no part and stays. Empty tables give empty results; further columns are
 ignored here and kept by ``drop_near_copies``.
@@ -104,21 +106,22 @@ def signatures(of: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray,
 
 def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in common.text_chunks(batch.column(1)):
+        for chunk in common.text_chunks(batch.column(2)):
             rows = len(chunk.offsets) - 1
             n, high, low, sign = signatures(*shingles(chunk, size), rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(chunk.first, rows), pa.array(n), pa.array(high.view(np.int64)),
-                 pa.array(low.view(np.int64)), pa.array([s.tobytes() for s in sign], pa.binary())],
-                ["doc_id", "n_shingles", "high", "low", "sign"])
+                [batch.column(0).slice(chunk.first, rows), batch.column(1).slice(chunk.first, rows), pa.array(n),
+                 pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
+                 pa.array([s.tobytes() for s in sign], pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "high", "low", "sign"])
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, high, low, sign) of every row."""
+    """(doc_id, text_hash, n_shingles, high, low, sign) of every row."""
     common.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         lambda batches: _features(batches, size),
-        "doc_id long, n_shingles long, high long, low long, sign binary")
+        "doc_id long, text_hash long, n_shingles long, high long, low long, sign binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +228,18 @@ def with_rest(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes.select(key, "main"), key).withColumn("rest", F.col("label") != F.col("main")).drop("main")
 
 
-def in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, block: int, spread: tuple[str, ...] = ("node",)) -> DataFrame:
     """Rows copied to the blocks (kind, i, j) of their ``key`` in which they are compared, with their side there.
 
+    They are dealt to the blocks by hash of the ``spread`` columns.
+
     Every member of ``rest`` meets every member of the key. Kind 0 sets a block of the rest (side 0) against a block of
     the others (1); kind 1 sets two blocks of the rest against each other, or one against itself (side 2).
     """
     sizes = rows.groupBy(key).agg(F.count_if("rest").alias("in_rest"), F.count_if(~F.col("rest")).alias("in_main"))
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     sized = rows.join(sizes.select(key, blocks("in_rest").alias("in_rest"), blocks("in_main").alias("in_main")), key)
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
+    own = F.pmod(F.xxhash64(*spread), F.when(F.col("rest"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
     numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(
         F.array().cast("array<int>"))
     entry = lambda kind, i, j, side: F.struct(
@@ -275,15 +280,16 @@ def links_within(members: DataFrame, size: int, percent: int) -> DataFrame:
     families = members.groupBy("family").agg(F.count("node").alias("n"))
     small = F.col("n") <= TEXT_BLOCK
     # Leaders: LEADERS of a large family on average, by hash.
-    leader = F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < LEADERS
+    leader = F.pmod(F.xxhash64("node", "text", F.lit(3)), F.col("n")) < LEADERS
     first = members.join(families, "family").select(
         "family", "node", F.col("node").alias("label"), "text", (small | leader).alias("rest"), small.alias("small"))
-    compare = lambda blocks: blocks.groupBy("family", "kind", "i", "j").applyInArrow(
+    compare = lambda placed: placed.groupBy("family", "kind", "i", "j").applyInArrow(
         lambda table: _links(table, size, percent), "u long, v long")
-    labels = components(compare(in_blocks(first.drop("small"), "family", TEXT_BLOCK)), None)
+    blocks = lambda rows: in_blocks(rows, "family", TEXT_BLOCK, ("node", "text"))
+    labels = components(compare(blocks(first.drop("small"))), None)
     large = first.filter("not small").select("family", "node", "text").join(labels, "node", "left").select(
         "family", "node", F.coalesce("component", "node").alias("label"), "text")
-    return components(compare(in_blocks(with_rest(large, "family"), "family", TEXT_BLOCK)), labels)
+    return components(compare(blocks(with_rest(large, "family"))), labels)
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -291,14 +297,19 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     matches = least_matches(percent)
     known = common.materialise(features(docs, size), "signatures")
     filled = known.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    least = F.min(F.struct("doc_id", "text_hash"))
     classes = common.materialise(
-        filled.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.max("sign").alias("sign")), "classes")
+        filled.groupBy("high", "low").agg(least.alias("least"), F.max("sign").alias("sign")).select(
+            "high", "low", F.col("least.doc_id").alias("node"), F.col("least.text_hash").alias("text_hash"), "sign"), "classes")
     posted = common.materialise(prefix_postings(classes, matches), "postings")
     families = collision_components(posted, matches)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # One text of each class: repeated rows collapse before they are shuffled.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("text_hash"), "text").filter(
+        F.col("node").isNotNull()).dropDuplicates(["node", "text_hash"])
+    own = classes.select("node", "text_hash").join(families.withColumnRenamed("component", "family"), "node")
     # A sort-merge join at every size: the nodes with collisions grow with the documents.
     members = common.materialise(
-        texts.join(families.withColumnRenamed("component", "family").hint("merge"), "node"), "families")
+        texts.join(own.hint("merge"), ["node", "text_hash"]).select("node", "text", "family"), "families")
     labels = links_within(members, size, percent)
 
     members = known.join(classes.select("high", "low", "node"), ["high", "low"], "left").join(labels, "node", "left")

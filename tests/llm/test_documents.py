@@ -133,6 +133,31 @@ def test_large_family_is_split_into_blocks(spark, monkeypatch):
     assert {d: got.get(d, d) for d, _ in rows} == want and len(set(want.values())) not in (1, 60)
 
 
+def test_repeated_rows_are_one_text_of_their_family(spark, monkeypatch):
+    words = [f"w{j}" for j in range(100)]
+    rows = [(1, " ".join(words))] * 50 + [(2, " ".join(words[:98] + ["x", "y"]))] * 30 + [(3, "a b c d e f g")] * 5
+    seen = []
+    within = near_dedup.links_within
+    monkeypatch.setattr(near_dedup, "links_within", lambda members, *rest: seen.append(members) or within(members, *rest))
+    got = near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1)] * 50 + [(2, 1)] * 30 + [(3, 3)] * 5
+    assert sorted(r["node"] for r in seen[0].collect()) == [1, 2]
+
+
+def test_texts_of_one_id_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 8)
+    blocks = []
+    placed = near_dedup.in_blocks
+    monkeypatch.setattr(near_dedup, "in_blocks", lambda *given: blocks.append(placed(*given)) or blocks[-1])
+    words = [f"w{j}" for j in range(100)]
+    rows = [(1 if i < 90 else i, 0, " ".join(words[:99] + [f"x{i}"])) for i in range(100)]
+    members = spark.createDataFrame(rows, "node long, family long, text string")
+    got = {r["node"]: r["component"] for r in near_dedup.links_within(members, 5, 80).collect()}
+    assert got == {n: 1 for n in (1, *range(90, 100))}
+    sizes = blocks[0].groupBy("family", "kind", "i", "j").count().collect()
+    assert max(r["count"] for r in sizes) <= 40
+
+
 def test_near_copies_edges(edges, empty):
     got = near_dedup.near_copies(edges).collect()
     assert len(got) == len(EDGES)
