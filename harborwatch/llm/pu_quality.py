@@ -14,8 +14,9 @@ are made by the executors; the driver gets ``WIDTH`` numbers for each. Scoring s
 Features use nothing but the text.
 
 Null text counts as empty and is scored like it. Null ids are not held out, not sampled, and scored. Labels that
-contradict each other for an id count as good if any does. Without a positive the score is the prior of 0.5 for every
-row. Repeated rows get equal scores; further columns are ignored.
+contradict each other for an id count as good if any does. Positives are drawn among the marks whose text is there. Of a
+repeated id one text is in the sample. Without a positive there is no model: the score is 0.5 for every row, and
+``accept`` keeps all rows. Repeated rows get equal scores; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,10 +141,13 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not good:
         return None
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out() & F.col("doc_id").isNotNull())
-    chosen = _least_hash(by_id.filter("good").select("doc_id"), positives).withColumn("positive", F.lit(True)).unionByName(
+    there = by_id.filter("good").select("doc_id").join(ids.distinct(), "doc_id", "left_semi")
+    chosen = _least_hash(there, positives).withColumn("positive", F.lit(True)).unionByName(
         _least_hash(ids, unlabelled).withColumn("positive", F.lit(False)))
     # At most positives + unlabelled ids: a bounded broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # One text of each, whatever the number of its rows.
+    texts = texts.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.select("positive", "text").mapInArrow(_describe_batches, "positive boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     known = np.asarray(rows["positive"].to_pylist(), bool)
@@ -182,6 +186,9 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of at least the threshold, columns as they are."""
-    scored = _scored(docs, learn(docs, labels), tuple(docs.columns))
+    """The rows of ``docs`` with a score of at least the threshold, columns as they are; all rows without a model."""
+    model = learn(docs, labels)
+    if model is None:
+        return docs
+    scored = _scored(docs, model, tuple(docs.columns))
     return scored.filter(F.col("_score") >= THRESHOLD).select(*docs.columns)

@@ -272,6 +272,23 @@ def test_quality(spark, docs, edges, empty, rows):
     assert pu_quality.score(empty, model).count() == 0
 
 
+def test_quality_without_positives_and_with_repeated_rows(spark, docs, rows, monkeypatch):
+    labels = [(r[0], int(r[0] < 130), 0) for r in rows if r[0] % 2 or r[0] >= 130]
+    schema = "doc_id long, quality int, toxic int"
+    strangers = spark.createDataFrame([(10_000 + i, 1, 0) for i in range(50)], schema)
+    assert pu_quality.learn(docs, strangers) is None
+    assert pu_quality.accept(docs, strangers).count() == len(rows)
+    known = spark.createDataFrame(labels, schema)
+    # A draw of few positives takes them from the documents, not from marks without one.
+    assert pu_quality.learn(docs, known.union(strangers), positives=3) is not None
+    given = []
+    fit = pu_quality.fit
+    monkeypatch.setattr(pu_quality, "fit", lambda p, u, prior: given.append((len(p), len(u))) or fit(p, u, prior))
+    pu_quality.learn(docs, known)
+    pu_quality.learn(docs.union(docs).union(docs), known)
+    assert given[0] == given[1]
+
+
 def test_non_negative_risk_separates_without_negatives():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (3000, 4)), rng.normal(-1, 1, (600, 4))
