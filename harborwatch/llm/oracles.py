@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harborwatch.llm import line_runs, repetition
+from harborwatch.llm import interleave, line_runs, repetition, variants
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,3 +82,58 @@ marked AS (SELECT l.*, k.top IS NOT NULL AND l.doc_id <> k.top AS gone FROM line
 SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+#: Table of the reflected polynomial, and the checksum of a text ``{0}`` beside it.
+_CRC_TABLE = """crc_steps AS (
+  SELECT range AS i, range::BIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crc_of FROM crc_steps WHERE k = 8)"""
+_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::BIGINT),
+  lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255)::INT + 1]), 4294967295::BIGINT), 4294967295)"""
+
+
+def interleaved() -> str:
+    n = interleave.SHARDS
+    digits = interleave._HASH_BITS // 4
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+rows AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS stratum, strlen(text) + 16 AS size,
+                {_CRC.format("text")} AS text_crc32
+         FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) d, crc_table),
+shuffled AS (SELECT *, ('0x' || substr(md5('{interleave.SEED}:' || doc_id || ':' || text_crc32), 1, {digits}))::BIGINT AS mix FROM rows),
+paced AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id, text_crc32) - 1)
+                    / (2 * count(*) OVER (PARTITION BY stratum)) AS pace FROM shuffled),
+placed AS (SELECT *, row_number() OVER (ORDER BY pace, stratum, mix, doc_id, text_crc32) - 1 AS place,
+                  count(*) OVER () AS total FROM paced),
+dealt AS (SELECT *, place * {n} // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM dealt"""
+
+
+def spelling_variants() -> str:
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS times FROM found GROUP BY ALL),
+hashed AS (SELECT run, times, {_CRC.format("doc_id || ':' || run")} AS h FROM low, crc_table),
+spelt AS (SELECT times, CASE WHEN h % {variants.LOSS} = 0
+                             THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+          FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= {variants.LEAST_LETTERS}
+          GROUP BY word HAVING sum(times) >= {variants.LEAST_COUNT}),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+         UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS most
+         FROM near JOIN words ON words.word = near.near GROUP BY near.word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+                 CASE WHEN most >= {variants.RATIO} * words.n THEN near END AS form,
+                 CASE WHEN most >= {variants.RATIO} * words.n THEN most END AS form_n
+          FROM words LEFT JOIN best ON best.word = words.word),
+steps AS (SELECT word, word AS at FROM forms UNION ALL SELECT steps.word, forms.form FROM steps JOIN forms ON forms.word = steps.at
+          WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, steps.at AS root, forms.n, forms.n_near, forms.form_n
+FROM steps JOIN forms AS ends ON ends.word = steps.at AND ends.form IS NULL JOIN forms ON forms.word = steps.word"""

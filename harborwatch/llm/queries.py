@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborwatch.llm import (
-    balance, common, fixity, html_text, language, line_runs, near_dedup, oracles, packing, pu_quality, repetition,
-    threshold_search,
+    alignment, balance, common, fixity, html_text, interleave, language, line_runs, near_dedup, oracles, packing, pu_quality,
+    repetition, threshold_search, variants,
 )
 
 
@@ -64,9 +64,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op11_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.assign(documents(spark, sf_dir))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_aligned(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repetition, op2_html_text, op3_threshold_search, op4_near_dedup, op5_pu_quality, op6_fixity, op7_balance, op8_language,
-    op9_line_runs, op10_packing)}
+    op9_line_runs, op10_packing, op11_interleave, op12_variants, op13_alignment)}
 ORACLES: dict[str, str] = {
     "op1_repetition": oracles.repeats(), "op3_threshold_search": threshold_search.ORACLE,
-    "op4_near_dedup": oracles.near_copies(3, 85), "op9_line_runs": oracles.shared_lines()}
+    "op4_near_dedup": oracles.near_copies(3, 85), "op9_line_runs": oracles.shared_lines(),
+    "op11_interleave": oracles.interleaved(), "op12_variants": oracles.spelling_variants()}
