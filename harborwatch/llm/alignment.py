@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
-import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,35 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm import common
-from harborwatch.llm.packing import _OTHER_SPACE, _UNITS
+from harborwatch.llm.packing import _OTHER_SPACE
 
 VOCABULARY_A, RANKS_A, MODEL_B = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
-#: Windows and units that a worker remembers; each memory is emptied when full.
-MEMO_WINDOWS = 600_000
-MEMO_UNITS = 400_000
+BLOCK_BYTES = 4 << 20
+#: Windows that a worker remembers; the memory is emptied when full.
+MEMO_WINDOWS = 200_000
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _SPACE_MARK = "▁"
 _loaded: dict[tuple, "Pair"] = {}
 
 
-class Units(dict):
-    """unit of text -> its ids, as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MEMO_UNITS:
-            self.clear()
-        ids = np.asarray(self.encode(unit), "<u4").tobytes()
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
-
-
 def byte_level(token: str) -> bytes:
     """Bytes of an entry of a byte-level vocabulary: printable Latin-1 stands for itself, the other bytes, in order, for the
     code points from 256 on."""
@@ -80,32 +65,37 @@ class _A:
 
     def __init__(self, vocabulary: str, ranks: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        special = self.tokenizer.get_added_tokens_decoder()
-        entries = self.tokenizer.get_vocab()
-        self.bytes = [b""] * (max(entries.values()) + 1)
-        for token, i in entries.items():
-            self.bytes[i] = token.encode() if i in special else byte_level(token)
+
+        self.vocabulary, self.tokenizer = vocabulary, None
+        with open(vocabulary, encoding="utf-8") as file:
+            read = json.load(file)
+        entries = {i: byte_level(token) for token, i in read["model"]["vocab"].items()
+                   if i not in {t["id"] for t in read["added_tokens"]}}
+        entries |= {t["id"]: t["content"].encode() for t in read["added_tokens"]}
+        self.bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
         with open(ranks, "rb") as lines:
             by_bytes = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens={})
-        self.units = Units(bpe.encode_ordinary)
+        self.ranked = bpe.encode_ordinary
+
+    def whole(self, text: str) -> list[int]:
+        """By the library that reads the vocabulary file itself; loaded with the first text that needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the text with a space before it. Units are cut where the pattern of the vocabulary cuts in any case."""
-        text = " " + text
-        if _OTHER_SPACE(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.units.__getitem__, _UNITS(text)))
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.tokenizer = Tokenizer.from_file(self.vocabulary)
+            self.tokenizer.encode_special_tokens = True
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of the text with a space before it. The reader of ranks is the faster one; texts with white space that
+        the two could take differently go to the other."""
+        return self.whole(" " + text) if _OTHER_SPACE(text) else self.ranked(" " + text)
 
 
 class _B:
-    """The piece vocabulary. No piece holds a space mark behind another character, so no merge crosses the border between a
-    character and a following space: texts are cut there, and the space that a unit begins with is the one B adds."""
+    """The piece vocabulary; its reader adds the space itself."""
 
     def __init__(self, model: str) -> None:
         import sentencepiece
@@ -114,28 +104,24 @@ class _B:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_SPACE_MARK, " ").encode()
                       for i, p in enumerate(pieces)]
-        self.cuts = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) for p in pieces)
-        self.units = Units(self._unit)
-
-    def _unit(self, unit: str) -> list[int]:
-        return self.model.encode(unit[1:])
 
-    def encode(self, text: str) -> bytes:
-        if not self.cuts or _RARE_SPACE(text) or text.isspace() or text.endswith(" "):
-            return np.asarray(self.model.encode(text), "<u4").tobytes()
-        return b"".join(map(self.units.__getitem__, _B_UNITS(" " + text)))
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
-_B_UNITS = re.compile(r" +[^ ]+").findall
-#: White space that a normaliser could treat as a space, and the mark itself: such texts are encoded whole.
-_RARE_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064"
-                         "\\u2581\\u3000\\ufeff\\x00]").search
+#: A link in eight bytes: the B id in the lower four.
+_LINK = struct.Struct("<II").pack
+_MARK_A = np.uint32(1 << 31)
 
 
 class Pair(NamedTuple):
     a: _A
     b: _B
-    bytes_a: np.ndarray  # length of each id's byte string
+    sizes_a: list[int]  # length of each id's byte string
+    sizes_b: list[int]
+    names_a: list[str]  # each id in decimal
+    names_b: list[str]
+    bytes_a: np.ndarray  # the same
     bytes_b: np.ndarray
     memo: dict
 
@@ -144,25 +130,52 @@ def loaded(files: tuple[str, str, str]) -> Pair:
     """Both vocabularies, once in a worker process."""
     if files not in _loaded:
         a, b = _A(*files[:2]), _B(files[2])
-        _loaded[files] = Pair(a, b, *(np.array([len(x) for x in side.bytes]) for side in (a, b)), {})
+        sizes = [[len(x) for x in side.bytes] for side in (a, b)]
+        _loaded[files] = Pair(a, b, *sizes, *([str(i) for i in range(len(x))] for x in sizes), *map(np.array, sizes), {})
     return _loaded[files]
 
 
-def align(ids_a: list[int], ids_b: list[int], bytes_a: np.ndarray, bytes_b: np.ndarray) -> tuple[str, np.ndarray]:
-    """Groups of a window as text, and its links as (A id << 32 | B id)."""
-    end_a, end_b = np.cumsum(bytes_a[ids_a]).tolist(), np.cumsum(bytes_b[ids_b]).tolist()
-    groups, links, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    while i < len(end_a) and j < len(end_b):
-        if end_a[i] < end_b[j]:
-            i += 1
-        elif end_a[i] > end_b[j]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
-            links.append(ids_a[i - 1] << 32 | ids_b[j - 1])
-            first_a, first_b = i, j
-    return ";".join(groups), np.array(links, "<u8")
+def align(ids_a: list[int], ids_b: list[int], pair: Pair) -> tuple[str, bytes]:
+    """Groups of a window as text, and its links as packed (A id << 32 | B id)."""
+    size_a, size_b, name_a, name_b = pair.sizes_a, pair.sizes_b, pair.names_a, pair.names_b
+    if len(ids_a) == 1 == len(ids_b):
+        return f"{name_a[ids_a[0]]}|{name_b[ids_b[0]]}", _LINK(ids_b[0], ids_a[0])
+    rest_a, rest_b = iter(ids_a), iter(ids_b)
+    said, links = "", b""
+    for a in rest_a:
+        b = next(rest_b)
+        end_a, end_b, of_a, of_b = size_a[a], size_b[b], name_a[a], name_b[b]
+        while end_a != end_b:
+            if end_a < end_b:
+                a = next(rest_a)
+                end_a += size_a[a]
+                of_a += "," + name_a[a]
+            else:
+                b = next(rest_b)
+                end_b += size_b[b]
+                of_b += "," + name_b[b]
+        said += f";{of_a}|{of_b}" if said else f"{of_a}|{of_b}"
+        links += _LINK(b, a)
+    return said, links
+
+
+def windows(ids_a: np.ndarray, ids_b: np.ndarray, text: bytes, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of A and of B tokens before each window, and behind the last."""
+    end_a, end_b = np.cumsum(pair.bytes_a[ids_a]), np.cumsum(pair.bytes_b[ids_b])
+    ends = np.zeros((2, len(text)), bool)
+    ends[0, end_a[:-1]] = ends[1, end_b[:-1]] = True
+    anchors = np.flatnonzero(ends[0] & ends[1] & (np.frombuffer(text, np.uint8) == 32))
+    cut = lambda end: np.concatenate([[0], np.searchsorted(end, anchors, "right"), [len(end)]])
+    return cut(end_a), cut(end_b)
+
+
+def window_keys(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[bytes]:
+    """The id tuples of each window, packed: A ids (marked by the top bit), then B ids."""
+    mixed = np.empty(len(ids_a) + len(ids_b), "<u4")
+    mixed[np.arange(len(ids_a)) + np.repeat(cut_b[:-1], np.diff(cut_a))] = ids_a | _MARK_A
+    mixed[np.arange(len(ids_b)) + np.repeat(cut_a[1:], np.diff(cut_b))] = ids_b
+    packed, cuts = mixed.tobytes(), (4 * (cut_a + cut_b)).tolist()
+    return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def aligned_text(text: str, pair: Pair) -> tuple[int, int, int, str, bytes]:
@@ -170,37 +183,26 @@ def aligned_text(text: str, pair: Pair) -> tuple[int, int, int, str, bytes]:
     none = 0, 0, 0, "", b""
     if not text:
         return none
-    raw_a, raw_b = pair.a.encode(text), pair.b.encode(text)
-    ids_a, ids_b = np.frombuffer(raw_a, "<u4"), np.frombuffer(raw_b, "<u4")
+    list_a, list_b = pair.a.encode(text), pair.b.encode(text)
     want = b" " + text.encode()
-    for side, ids in ((pair.a, ids_a), (pair.b, ids_b)):
-        if b"".join(map(side.bytes.__getitem__, ids.tolist())) != want:
+    for side, ids in ((pair.a, list_a), (pair.b, list_b)):
+        if b"".join(map(side.bytes.__getitem__, ids)) != want:
             return none
-    end_a, end_b = np.cumsum(pair.bytes_a[ids_a]), np.cumsum(pair.bytes_b[ids_b])
-    # How many tokens end up to each byte position; an anchor is an end on both sides before a space, and the text's end.
-    ends = np.zeros((2, len(want) + 1), np.int8)
-    ends[0, end_a] = ends[1, end_b] = 1
-    data = np.frombuffer(want, np.uint8)
-    anchors = np.flatnonzero(ends[0, 1:-1] & ends[1, 1:-1] & (data[1:] == 32)) + 1
-    anchors = np.append(anchors, len(want))
-    cut_a = (4 * np.searchsorted(end_a, anchors, "right")).tolist()
-    cut_b = (4 * np.searchsorted(end_b, anchors, "right")).tolist()
-    memo, groups, links, at_a, at_b = pair.memo, [], [], 0, 0
-    for to_a, to_b in zip(cut_a, cut_b):
-        key = raw_a[at_a:to_a], raw_b[at_b:to_b]
-        known = memo.get(key)
-        if known is None:
-            said, linked = align(*(np.frombuffer(k, "<u4").tolist() for k in key), pair.bytes_a, pair.bytes_b)
-            known = said, linked.tobytes()
-            if len(key[0]) + len(key[1]) <= 256:
-                if len(memo) >= MEMO_WINDOWS:
-                    memo.clear()
-                memo[key] = known
-        groups.append(known[0])
-        links.append(known[1])
-        at_a, at_b = to_a, to_b
+    ids_a, ids_b = np.array(list_a, np.uint32), np.array(list_b, np.uint32)
+    cut_a, cut_b = windows(ids_a, ids_b, want, pair)
+    keys = window_keys(ids_a, ids_b, cut_a, cut_b)
+    known = list(map(pair.memo.get, keys))
+    if None in known:
+        if len(pair.memo) > MEMO_WINDOWS:
+            pair.memo.clear()
+        at_a, at_b = cut_a.tolist(), cut_b.tolist()
+        for i in [i for i, found in enumerate(known) if found is None]:
+            known[i] = align(list_a[at_a[i]: at_a[i + 1]], list_b[at_b[i]: at_b[i + 1]], pair)
+            if len(keys[i]) <= 256:
+                pair.memo[keys[i]] = known[i]
+    groups, links = zip(*known)
     linked = b"".join(links)
-    return len(ids_a), len(ids_b), len(linked) // 8, hashlib.sha256(";".join(groups).encode()).hexdigest(), linked
+    return len(list_a), len(list_b), len(linked) // 8, hashlib.sha256(";".join(groups).encode()).hexdigest(), linked
 
 
 def _texts(batches: Iterator[pa.RecordBatch], files: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
