@@ -4,7 +4,8 @@
    a text whose joined bytes differ from space and text on either side has no tokens.
 2. Byte positions where an A and a B token end and the next tokens begin with a space are anchors. Both ends are verified,
    so the ids between two anchors, a window, cover the same bytes on both sides, and how they align depends on the two
-   tuples of ids only. Window alignments are remembered by these tuples (bounded in number): words come again and again.
+   tuples of ids only. Words come again and again: each pair of tuples is aligned once in a block of texts and remembered
+   for its other windows, found by two 64-bit hashes of the tuples.
 3. Inside a window, positions where both have a token end cut the ids into groups; the last ids of a group are a link.
 4. Links are counted over all texts. Texts of one task come in blocks of bounded bytes; a block posts each linked pair once
    with its number. Pairs are summed, the highest number per B id found, and each block gets the numbers of its own pairs
@@ -12,8 +13,8 @@
 
 A pair that is in every block is one row per block. The table of summed pairs is shuffled, not broadcast: it grows with the
 corpus up to the product of the vocabularies. Null or empty texts and those with other bytes: zeros and ''. Rows that repeat,
-and those without an id, are texts of their own. A very long text is a block by itself. Empty tables give empty results;
-further columns are ignored.
+and those without an id, are texts of their own. A very long text is a block by itself, in about 100 bytes of memory a byte
+of text. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ import base64
 import hashlib
 import json
 import os
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -38,13 +38,11 @@ from harborwatch.llm.packing import _OTHER_SPACE
 
 VOCABULARY_A, RANKS_A, MODEL_B = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
-#: Windows that a worker remembers; the memory is emptied when full.
-MEMO_WINDOWS = 200_000
+BLOCK_BYTES = 2 << 20
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _SPACE_MARK = "▁"
-_loaded: dict[tuple, "Pair"] = {}
+_loaded: dict[tuple, tuple["Side", "Side"]] = {}
 
 
 def byte_level(token: str) -> bytes:
@@ -109,111 +107,143 @@ class _B:
         return self.model.encode(text)
 
 
-#: A link in eight bytes: the B id in the lower four.
-_LINK = struct.Struct("<II").pack
-_MARK_A = np.uint32(1 << 31)
+class Side(NamedTuple):
+    """One vocabulary: its reader, the bytes of each id, their number, and each id in decimal with ``,`` or an end sign."""
 
+    encode: Callable[[str], list[int]]
+    bytes: list[bytes]
+    sizes: np.ndarray
+    names: np.ndarray
 
-class Pair(NamedTuple):
-    a: _A
-    b: _B
-    sizes_a: list[int]  # length of each id's byte string
-    sizes_b: list[int]
-    names_a: list[str]  # each id in decimal
-    names_b: list[str]
-    bytes_a: np.ndarray  # the same
-    bytes_b: np.ndarray
-    memo: dict
 
+def _side(reader: _A | _B, end: str) -> Side:
+    n = len(reader.bytes)
+    names = np.array([f"{i}," for i in range(n)] + [f"{i}{end}" for i in range(n)], object)
+    return Side(reader.encode, reader.bytes, np.array([len(x) for x in reader.bytes]), names)
 
-def loaded(files: tuple[str, str, str]) -> Pair:
+
+def loaded(files: tuple[str, str, str]) -> tuple[Side, Side]:
     """Both vocabularies, once in a worker process."""
     if files not in _loaded:
-        a, b = _A(*files[:2]), _B(files[2])
-        sizes = [[len(x) for x in side.bytes] for side in (a, b)]
-        _loaded[files] = Pair(a, b, *sizes, *([str(i) for i in range(len(x))] for x in sizes), *map(np.array, sizes), {})
+        _loaded[files] = _side(_A(*files[:2]), "|"), _side(_B(files[2]), ";")
     return _loaded[files]
 
 
-def align(ids_a: list[int], ids_b: list[int], pair: Pair) -> tuple[str, bytes]:
-    """Groups of a window as text, and its links as packed (A id << 32 | B id)."""
-    size_a, size_b, name_a, name_b = pair.sizes_a, pair.sizes_b, pair.names_a, pair.names_b
-    if len(ids_a) == 1 == len(ids_b):
-        return f"{name_a[ids_a[0]]}|{name_b[ids_b[0]]}", _LINK(ids_b[0], ids_a[0])
-    rest_a, rest_b = iter(ids_a), iter(ids_b)
-    said, links = "", b""
-    for a in rest_a:
-        b = next(rest_b)
-        end_a, end_b, of_a, of_b = size_a[a], size_b[b], name_a[a], name_b[b]
-        while end_a != end_b:
-            if end_a < end_b:
-                a = next(rest_a)
-                end_a += size_a[a]
-                of_a += "," + name_a[a]
-            else:
-                b = next(rest_b)
-                end_b += size_b[b]
-                of_b += "," + name_b[b]
-        said += f";{of_a}|{of_b}" if said else f"{of_a}|{of_b}"
-        links += _LINK(b, a)
-    return said, links
-
-
-def windows(ids_a: np.ndarray, ids_b: np.ndarray, text: bytes, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of A and of B tokens before each window, and behind the last."""
-    end_a, end_b = np.cumsum(pair.bytes_a[ids_a]), np.cumsum(pair.bytes_b[ids_b])
-    ends = np.zeros((2, len(text)), bool)
-    ends[0, end_a[:-1]] = ends[1, end_b[:-1]] = True
-    anchors = np.flatnonzero(ends[0] & ends[1] & (np.frombuffer(text, np.uint8) == 32))
-    cut = lambda end: np.concatenate([[0], np.searchsorted(end, anchors, "right"), [len(end)]])
-    return cut(end_a), cut(end_b)
-
-
-def window_keys(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[bytes]:
-    """The id tuples of each window, packed: A ids (marked by the top bit), then B ids."""
-    mixed = np.empty(len(ids_a) + len(ids_b), "<u4")
-    mixed[np.arange(len(ids_a)) + np.repeat(cut_b[:-1], np.diff(cut_a))] = ids_a | _MARK_A
-    mixed[np.arange(len(ids_b)) + np.repeat(cut_a[1:], np.diff(cut_b))] = ids_b
-    packed, cuts = mixed.tobytes(), (4 * (cut_a + cut_b)).tolist()
-    return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
-
-
-def aligned_text(text: str, pair: Pair) -> tuple[int, int, int, str, bytes]:
-    """(A tokens, B tokens, groups, checksum of the groups, links) of one text."""
-    none = 0, 0, 0, "", b""
-    if not text:
-        return none
-    list_a, list_b = pair.a.encode(text), pair.b.encode(text)
-    want = b" " + text.encode()
-    for side, ids in ((pair.a, list_a), (pair.b, list_b)):
-        if b"".join(map(side.bytes.__getitem__, ids)) != want:
-            return none
-    ids_a, ids_b = np.array(list_a, np.uint32), np.array(list_b, np.uint32)
-    cut_a, cut_b = windows(ids_a, ids_b, want, pair)
-    keys = window_keys(ids_a, ids_b, cut_a, cut_b)
-    known = list(map(pair.memo.get, keys))
-    if None in known:
-        if len(pair.memo) > MEMO_WINDOWS:
-            pair.memo.clear()
-        at_a, at_b = cut_a.tolist(), cut_b.tolist()
-        for i in [i for i, found in enumerate(known) if found is None]:
-            known[i] = align(list_a[at_a[i]: at_a[i + 1]], list_b[at_b[i]: at_b[i + 1]], pair)
-            if len(keys[i]) <= 256:
-                pair.memo[keys[i]] = known[i]
-    groups, links = zip(*known)
-    linked = b"".join(links)
-    return len(list_a), len(list_b), len(linked) // 8, hashlib.sha256(";".join(groups).encode()).hexdigest(), linked
+class Tokens(NamedTuple):
+    a: np.ndarray
+    b: np.ndarray
+    cut_a: np.ndarray  # tokens before each window, and in all
+    cut_b: np.ndarray
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``size`` of them, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
+def shared_ends(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """Byte positions where both have a token end."""
+    marks = np.zeros((2, int(end_a[-1]) + 1), bool)
+    marks[0, end_a] = marks[1, end_b] = True
+    return np.flatnonzero(marks[0] & marks[1])
+
+
+def windows(a: np.ndarray, b: np.ndarray, text: bytes, sides: tuple[Side, Side]) -> Tokens:
+    """Cuts the ids of verified texts, each with its space before it, at the anchors. Texts end in anchors."""
+    end_a, end_b = np.cumsum(sides[0].sizes[a]), np.cumsum(sides[1].sizes[b])
+    shared = shared_ends(end_a, end_b)
+    anchors = shared[np.append(np.frombuffer(text, np.uint8)[shared[:-1]] == 32, True)]
+    cuts = [np.append(0, np.searchsorted(end, anchors, "right")) for end in (end_a, end_b)]
+    return Tokens(a, b, *cuts)
+
+
+def distinct(tokens: Tokens) -> tuple[Tokens, np.ndarray]:
+    """One window for each pair of id tuples, and for every window the number of its like."""
+    hashes = []
+    for ids, cut in ((tokens.a, tokens.cut_a), (tokens.b, tokens.cut_b)):
+        prefix = common.prefix_hash(common.mixed(ids.astype(np.uint64) + np.uint64(1)))
+        hashes.append(common.mixed(common.span_hash(prefix, cut[:-1], cut[1:]) + np.diff(cut).astype(np.uint64)))
+    first, like = np.unique(hashes[0] + common.mixed(hashes[1]), return_index=True, return_inverse=True)[1:]
+    if any((h[first[like]] != h).any() for h in hashes):
+        first, like = np.unique(np.stack(hashes), axis=1, return_index=True, return_inverse=True)[1:]
+    size_a, size_b = np.diff(tokens.cut_a)[first], np.diff(tokens.cut_b)[first]
+    return Tokens(tokens.a[_ranges(tokens.cut_a[first], size_a)], tokens.b[_ranges(tokens.cut_b[first], size_b)],
+                  np.append(0, np.cumsum(size_a)), np.append(0, np.cumsum(size_b))), like.ravel()
+
+
+def align(tokens: Tokens, sides: tuple[Side, Side]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of each window as text, each group with ``;`` behind it; number of groups; links (A id << 32 | B id)."""
+    a, b = tokens.a, tokens.b
+    end_a, end_b = np.cumsum(sides[0].sizes[a]), np.cumsum(sides[1].sizes[b])
+    shared = shared_ends(end_a, end_b)
+    last_a, last_b = np.searchsorted(end_a, shared), np.searchsorted(end_b, shared)
+    ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    ends_a[last_a] = ends_b[last_b] = 1
+    # Ids in the order in which they are said: of every group its A ids, then its B ids.
+    group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+    said = np.empty(len(a) + len(b), object)
+    said[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = sides[0].names[a + ends_a * len(sides[0].bytes)]
+    said[np.arange(len(b)) + (last_a + 1)[group_b]] = sides[1].names[b + ends_b * len(sides[1].bytes)]
+    pieces, cuts = said.tolist(), (tokens.cut_a + tokens.cut_b).tolist()
+    texts = np.empty(len(cuts) - 1, object)
+    texts[:] = ["".join(pieces[i:j]) for i, j in zip(cuts, cuts[1:])]
+    groups = np.diff(np.searchsorted(last_a, tokens.cut_a))
+    return texts, groups, a[last_a].astype(np.int64) << 32 | b[last_b]
+
+
+def packed_links(links: np.ndarray) -> np.ndarray:
+    """In four bytes each where both ids fit, as they do with vocabularies of up to 65,536 entries."""
+    if not len(links) or (int(links.max()) >> 48 == 0 and int((links & 0xFFFFFFFF).max()) >> 16 == 0):
+        return (links >> 16 | links & 0xFFFF).astype("<u4")
+    return links.astype("<i8")
+
+
+def link_codes(packed: bytes, n: int) -> np.ndarray:
+    """``n`` packed links as (A id << 32 | B id)."""
+    if len(packed) == 8 * n:
+        return np.frombuffer(packed, "<i8")
+    codes = np.frombuffer(packed, "<u4").astype(np.int64)
+    return codes >> 16 << 32 | codes & 0xFFFF
+
+
+def aligned_texts(texts: list[str], sides: tuple[Side, Side]) -> list[tuple[int, int, int, str, bytes]]:
+    """(A tokens, B tokens, groups, checksum of the groups, links) of each text of a block."""
+    out: list[tuple[int, int, int, str, bytes]] = [(0, 0, 0, "", b"")] * len(texts)
+    sound, ids, wants = [], [], []
+    for i, text in enumerate(texts):
+        if text:
+            both, want = [side.encode(text) for side in sides], b" " + text.encode()
+            if all(b"".join(map(side.bytes.__getitem__, found)) == want for side, found in zip(sides, both)):
+                sound.append(i)
+                ids.append([np.array(found, np.int64) for found in both])
+                wants.append(want)
+    if not sound:
+        return out
+    tokens = windows(*map(np.concatenate, zip(*ids)), b"".join(wants), sides)
+    once, like = distinct(tokens)
+    said, groups, links = align(once, sides)
+    first = np.append(0, np.cumsum(groups))
+    every, n = said[like].tolist(), groups[like]
+    linked = links[_ranges(first[like], n)]
+    # Windows and links before each text.
+    window_of = np.searchsorted(tokens.cut_a, np.cumsum([0, *(len(x) for x, _ in ids)])).tolist()
+    link_of = np.append(0, np.cumsum(n))[window_of].tolist()
+    for k, i in enumerate(sound):
+        text = "".join(every[window_of[k]: window_of[k + 1]])[:-1]
+        own = linked[link_of[k]: link_of[k + 1]]
+        out[i] = (len(ids[k][0]), len(ids[k][1]), len(own), hashlib.sha256(text.encode()).hexdigest(), packed_links(own).tobytes())
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch], files: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
-    pair = loaded(files)
+    sides = loaded(files)
     part, block = TaskContext.get().partitionId(), 0
     for batch in batches:
         for chunk in common.text_chunks(batch.column(1), BLOCK_BYTES):
             rows = len(chunk.offsets) - 1
             texts = batch.column(1).slice(chunk.first, rows)
-            out = [aligned_text(t.as_py() or "", pair) for t in texts]
-            n_a, n_b, n, said, links = zip(*out)
+            n_a, n_b, n, said, links = zip(*aligned_texts([t or "" for t in texts.to_pylist()], sides))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(chunk.first, rows), *(pa.array(c, pa.int64()) for c in (n_a, n_b, n, n)),
                  pa.array(said, pa.string()), pa.array([part << 32 | block] * rows, pa.int64()), pa.array(links, pa.binary())],
@@ -222,8 +252,8 @@ def _texts(batches: Iterator[pa.RecordBatch], files: tuple[str, str, str]) -> It
 
 
 def aligned(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, block, links) of every row; ``links`` are 64-bit codes
-    (A id << 32 | B id), ``block`` is the run of rows it came with."""
+    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, block, links) of every row; ``links`` are packed
+    (``link_codes``), ``block`` is the run of rows it came with."""
     common.ship(docs.sparkSession)
     files = files or tuple(public_tokenizers.path(f) for f in (VOCABULARY_A, RANKS_A, MODEL_B))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -234,18 +264,27 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, pair, n): the pairs of each block, from rows that come block by block."""
     for batch in batches:
         blocks = np.asarray(batch.column(0))
-        for block in np.unique(blocks):
-            rows = batch.column(1).filter(pa.array(blocks == block))
-            pairs, n = np.unique(np.frombuffer(b"".join(rows.to_pylist()), "<i8"), return_counts=True)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(n)], ["block", "pair", "n"])
+        cuts = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1))
+        for start, end in zip(cuts.tolist(), cuts[1:].tolist()):
+            links = b"".join(batch.column(1).slice(start, end - start).to_pylist())
+            n = int(np.asarray(batch.column(2).slice(start, end - start)).sum())
+            if not n:
+                continue
+            if len(links) in (4 * n, 8 * n):
+                found, times = np.unique(np.frombuffer(links, f"<u{len(links) // n}"), return_counts=True)
+                found = link_codes(found.tobytes(), len(found))
+            else:  # some texts of the block are packed wider than others
+                codes = map(link_codes, batch.column(1).slice(start, end - start).to_pylist(),
+                            batch.column(2).slice(start, end - start).to_pylist())
+                found, times = np.unique(np.concatenate(list(codes)), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), blocks[start])), pa.array(found), pa.array(times)], ["block", "pair", "n"])
 
 
 def counted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``aligned``: (block, pair, n) and, over all texts, (pair, count, best)."""
     by_block = common.materialise(
-        texts.select("block", "links").mapInArrow(_block_links, "block long, pair long, n long"), "links-by-block")
+        texts.select("block", "links", "n_links").mapInArrow(_block_links, "block long, pair long, n long"), "links-by-block")
     counts = common.materialise(by_block.groupBy("pair").agg(F.sum("n").alias("count")), "link-counts")
     own = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
     most = counts.groupBy(own).agg(F.max("count").alias("most"))
@@ -260,8 +299,8 @@ def _summed(texts: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(pair)
     pair, count, best = pair[order], count[order], best[order].astype(np.int64)
     n_best, total = [], []
-    for links in texts.column("links"):
-        at = np.searchsorted(pair, np.frombuffer(links.as_py(), "<i8"))
+    for links, n in zip(texts.column("links"), texts.column("n_links").to_pylist()):
+        at = np.searchsorted(pair, link_codes(links.as_py(), n))
         n_best.append(int(best[at].sum()))
         total.append(int(count[at].sum()))
     return texts.select([c.split()[0] for c in RESULT.split(", ")]).append_column(
