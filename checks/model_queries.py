@@ -10,7 +10,7 @@ from checks import stages as st
 from checks.feature_queries import test_day
 from checks.ingest_queries import window_features
 from checks.registry import query, rounded
-from harborwatch.operators import ensemble, evaluation, forest, importance, kde, ranking, scaling, vectors
+from harborwatch.operators import ensemble, evaluation, importance, kde, ranking, scaling, vectors
 from harborwatch.plans import detection, training
 from harborwatch.schema import MODEL_FEATURES, PERCENTILES, TOP_K, Params
 
@@ -329,33 +329,6 @@ def _forest_inputs(spark, sf_dir):
     return train, scaling.scaler_fit(train, x.PARAMS_3600)
 
 
-@query("iforest_fit")
-def iforest_fit(spark, sf_dir):
-    train, scaler = _forest_inputs(spark, sf_dir)
-    trees = forest.iforest_fit(train, scaler, x.PARAMS_3600, max_features=16)
-    return trees.select("port", "tree", F.size("size").alias("nodes"), F.array_max("size").alias("rows"))
-
-
-@query("iforest_score")
-def iforest_score(spark, sf_dir):
-    train, scaler = _forest_inputs(spark, sf_dir)
-    trees = forest.iforest_fit(train, scaler, x.PARAMS_3600, max_features=16)
-    return rounded(forest.iforest_score(_last_day(spark, sf_dir), scaler, trees))
-
-
-@query("iforest_search")
-def iforest_search(spark, sf_dir):
-    train, scaler = _forest_inputs(spark, sf_dir)
-    return rounded(forest.iforest_search(train, scaler, x.PARAMS_3600))
-
-
-@query("iforest_ensemble")
-def iforest_ensemble(spark, sf_dir):
-    train, scaler = _forest_inputs(spark, sf_dir)
-    parts = forest.iforest_ensemble(_last_day(spark, sf_dir), train, scaler, x.PARAMS_3600)
-    return rounded(ensemble.mean_score(parts, ["day", "timewindow", "port"]))
-
-
 @query("rf_importance")
 def rf_importance(spark, sf_dir):
     return importance.rf_importance(st.test_60(spark, sf_dir), list(x.PARAMS_60.ports))
@@ -376,14 +349,6 @@ def joint_density_evaluation(spark, sf_dir):
     return rounded(evaluation.auc(scored.withColumn("score", F.col("log_density"))))
 
 
-@query("iforest_evaluation")
-def iforest_evaluation(spark, sf_dir):
-    """Areas under the curves of the isolation forest, on labelled hours."""
-    train, scaler = _forest_inputs(spark, sf_dir)
-    trees = forest.iforest_fit(train, scaler, x.PARAMS_3600, max_features=16)
-    return rounded(evaluation.auc(forest.iforest_score(_labelled_hours(spark, sf_dir), scaler, trees)))
-
-
 # --- ranking and percentiles ------------------------------------------------------------------
 
 _RANKED = [*_SCORES, ("ranked", """

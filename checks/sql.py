@@ -16,12 +16,13 @@ ATTACK = ATTACK_SQL.format(
     events="events", relative=f"cast(epoch_us(ts) - {EPOCH * 1000000} AS double) / {SPEEDUP}e6")
 
 
-def with_(ctes: list[tuple[str, str]], select: str) -> str:
-    """WITH chain; a name given twice is kept once."""
+def with_(ctes: list[tuple[str, str]], select: str, materialized: bool = False) -> str:
+    """WITH chain; a name given twice is kept once, as first given."""
     seen: dict[str, str] = {}
     for name, body in ctes:
         seen.setdefault(name, body)
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in seen.items()) + "\n" + select
+    kind = "MATERIALIZED " if materialized else ""
+    return "WITH " + ",\n".join(f"{n} AS {kind}({b})" for n, b in seen.items()) + "\n" + select
 
 
 def conn() -> list[tuple[str, str]]:

@@ -71,11 +71,11 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def blocked(vectors: DataFrame, name: str) -> DataFrame:
-    """Number the windows of each port (and variant) and cut them into blocks of BLOCK."""
+def blocked(vectors: DataFrame, name: str, size: int | None = None) -> DataFrame:
+    """Number the windows of each port (and variant) and cut them into blocks of ``size`` (BLOCK)."""
     group = [c for c in ("variant", "port") if c in vectors.columns]
     numbered = window_ordinals(vectors, group, ["timewindow"], "day", "_at")
-    return numbered.withColumn(name, F.floor((F.col("_at") - 1) / BLOCK)).drop("_at")
+    return numbered.withColumn(name, F.floor((F.col("_at") - 1) / (size or BLOCK))).drop("_at")
 
 
 def _block_pairs(scored: DataFrame, training: DataFrame, keys: list[str], grid: list[tuple] | None, mask: str) -> DataFrame:

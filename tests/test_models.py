@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.functions.normal import normal_cdf
 from harborwatch.operators import ensemble, forest, importance, kde, ranking, scaling, vectors
-from harborwatch.plans import training
+from harborwatch.plans import isolation, training
 from harborwatch.schema import MODEL_FEATURES, Params
 from tests.helpers import day, feature_frame
 
@@ -285,45 +285,89 @@ def test_leave_one_out_bandwidths(spark, monkeypatch):
 
 # --- forests -------------------------------------------------------------------------------
 
-def walk(tree, row, at=0, depth=0):
-    if tree["feature"][at] < 0:
-        n = tree["size"][at]
-        return depth + float(forest.average_path(np.array([n]))[0])
-    side = "left" if row[tree["feature"][at]] <= tree["cut"][at] else "right"
-    return walk(tree, row, tree[side][at], depth + 1)
+def plain_tree(rows, tree, max_features, key):
+    """Nodes {number: (size, feature, cut)} of one tree, node by node."""
+    seed, port, model = key
+    n = rows.shape[1]
 
+    def order(base):
+        def place(f):
+            s = (base % forest.PRIME + (f + 1) * forest.STEP) % forest.PRIME * forest.FACTOR % forest.PRIME
+            return (s * s + f + 1) % forest.PRIME, f
+        return sorted(range(n), key=place)
 
-def test_tree_shape_and_path_lengths():
+    usable = order(forest.number(seed, "columns", port, model, tree, 0))[:max_features]
+    nodes = {}
+
+    def grow(part, k, depth):
+        nodes[k] = (len(part), None, None)
+        low, high = part.min(axis=0), part.max(axis=0)
+        base = forest.number(seed, "node", port, model, tree, k)
+        by = next((f for f in order(base) if f in usable and high[f] > low[f] + forest.CONSTANT), None)
+        if by is None or len(part) == 1 or depth == forest.depth_limit(len(rows)):
+            return
+        cut = low[by] + (high[by] - low[by]) * (base // forest.PRIME / forest.SHARES)
+        nodes[k] = (len(part), by, cut)
+        grow(part[part[:, by] <= cut], 2 * k, depth + 1)
+        grow(part[part[:, by] > cut], 2 * k + 1, depth + 1)
+
+    grow(rows, 1, 0)
+    return nodes
+
+
+def walk(nodes, row, k=1, depth=0):
+    size, by, cut = nodes[k]
+    if by is None:
+        return depth + float(forest.average_path(np.array([size]))[0])
+    return walk(nodes, row, 2 * k + (row[by] > cut), depth + 1)
+
+
+def test_level_wise_growth_equals_node_by_node():
     rng = np.random.default_rng(0)
-    x = rng.random((100, 4))
-    tree = forest.grow_tree(x, 2, np.random.default_rng(1))
-    used = {f for f in tree["feature"] if f >= 0}
-    assert len(used) <= 2 and tree["size"][0] == 100
-    leaves = [n for f, n in zip(tree["feature"], tree["size"]) if f < 0]
-    assert sum(leaves) == 100 and min(leaves) >= 1
-    assert forest.path_lengths(tree, x) == pytest.approx([walk(tree, r) for r in x])
+    rows = np.round(rng.random((300, 6)), 1)
+    rows[:, 2] = 0.5
+    tree = np.repeat(np.arange(3), 100)[rng.permutation(300)]
+    got = forest.grow_forest(rows, tree, np.ones(6, bool), 4, ("s", 22, 7), 7)
+    for t in range(3):
+        want = plain_tree(rows[tree == t], t, 4, ("s", 22, 7))
+        own = got["tree"] == t
+        found = {int(k): (int(n), int(f) if f >= 0 else None, c) for k, n, f, c in zip(
+            got["node"][own], got["size"][own], got["feature"][own], got["cut"][own])}
+        assert found.keys() == want.keys() and 2 not in {f for _, f, _ in found.values()}
+        assert all(found[k][:2] == want[k][:2] and (found[k][1] is None or found[k][2] == want[k][2]) for k in want)
+        assert len({f for _, f, _ in found.values()} - {None}) <= 4
+        one = {k: v[own] for k, v in got.items()}
+        assert forest.path_lengths(one, rows)[:, 0] == pytest.approx([walk(want, r) for r in rows])
     assert forest.average_path(np.array([1, 2, 100])) == pytest.approx([0, 1, 2 * (math.log(99) + 0.5772156649) - 2 * 99 / 100])
-    constant = forest.grow_tree(np.ones((5, 3)), 3, np.random.default_rng(2))
-    assert constant["size"] == [5]
+    constant = forest.grow_forest(np.ones((5, 3)), np.zeros(5, int), np.ones(3, bool), 3, ("s", 1, 1), 3)
+    assert constant["size"].tolist() == [5] and constant["feature"].tolist() == [-1]
+
+
+def trees_of(nodes):
+    out = {}
+    for r in nodes.collect():
+        by = None if r.feature is None else MODEL_FEATURES.index(r.feature)
+        out.setdefault((r.port, r.model, r.tree), {})[r.node] = (r.size, by, r.cut)
+    return out
 
 
 def test_forest_scores(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(forest, "SCORE_BLOCK", 16)
     train = windows(spark, seed=14)
     odd = [(day(9), 0, 22, {"num_conns": 400, "mean_duration": 900.0, "external_ips": 300}, True)]
     test = windows(spark, n_days=1, seed=15).unionByName(feature_frame(spark, odd))
     scaler = scaling.scaler_fit(train, P)
-    trees = forest.iforest_fit(train, scaler, P, max_features=16, trees=20, sample=50)
-    stored = trees.collect()
-    assert len(stored) == 40
-    again = forest.iforest_fit(train, scaler, P, max_features=16, trees=20, sample=50).collect()
-    assert sorted(map(str, stored)) == sorted(map(str, again))
-    scores = {(r.day, r.timewindow, r.port): r.score for r in forest.iforest_score(test, scaler, trees).collect()}
+    nodes = forest.iforest_fit(train, scaler, P, max_features=16, trees=20, sample=50)
+    stored = trees_of(nodes)
+    assert len(stored) == 40 and {k[1] for k in stored} == {16}
+    again = forest.iforest_fit(train.repartition(3), scaler, P, max_features=16, trees=20, sample=50)
+    assert trees_of(again) == stored
+    scores = {(r.day, r.timewindow, r.port): r.score for r in forest.iforest_score(test, scaler, nodes).collect()}
     assert len(scores) == 61 and all(-1 <= s < 0 for s in scores.values())
     assert min((s, k) for k, s in scores.items() if k[2] == 22)[1] == (day(9), 0, 22)
     x = matrix(train, MODEL_FEATURES, 22)
     row = scaled(np.array([[float(odd[0][3].get(c, 0)) for c in MODEL_FEATURES]]), *bounds(x))[0]
-    depth = np.mean([walk(t.asDict(), row) for t in stored if t.port == 22])
+    depth = np.mean([walk(t, row) for k, t in stored.items() if k[0] == 22])
     assert scores[(day(9), 0, 22)] == pytest.approx(-2 ** (-depth / float(forest.average_path(np.array([50]))[0])))
 
 
@@ -331,11 +375,11 @@ def test_forest_of_a_port_with_few_windows(spark):
     rows = [(day(1 + i), i, 22, {"num_conns": i, "external_ips": 5 - i}, False) for i in range(4)]
     train = feature_frame(spark, rows)
     scaler = scaling.scaler_fit(train, P)
-    trees = forest.iforest_fit(train, scaler, P, max_features=35, trees=8)
-    grown = trees.collect()
-    assert {r["size"][0] for r in grown} == {4}
-    assert max(len(r["size"]) for r in grown) <= 7
-    scores = [r.score for r in forest.iforest_score(train, scaler, trees).collect()]
+    nodes = forest.iforest_fit(train, scaler, P, max_features=35, trees=8)
+    grown = trees_of(nodes)
+    assert {t[1][0] for t in grown.values()} == {4}
+    assert max(map(len, grown.values())) <= 7
+    scores = [r.score for r in forest.iforest_score(train, scaler, nodes).collect()]
     assert len(scores) == 4 and all(-1 <= s < 0 for s in scores)
     lone = forest.iforest_fit(train.limit(1), scaler, P, max_features=35, trees=3)
     assert [r.score for r in forest.iforest_score(train.limit(1), scaler, lone).collect()] == [-0.5]
@@ -346,11 +390,30 @@ def test_forest_search_and_single_feature_forests(spark):
     scaler = scaling.scaler_fit(train, P)
     best = forest.iforest_search(train, scaler, P, candidates=[10, 35], trees=5, sample=30).collect()
     assert {r.port for r in best} == {22, 80} and all(r.max_features in (10, 35) for r in best)
+    every = {(r.port, r.max_features): r.score for r in forest.search_scores(
+        train, scaler, P, candidates=[10, 35], trees=5, sample=30).collect()}
+    assert all(r.score == max(every[r.port, 10], every[r.port, 35]) for r in best)
     parts = forest.iforest_ensemble(train.limit(10), train, scaler, P, CONTINUOUS, trees=5, sample=30)
     assert {r.feature for r in parts.collect()} == set(CONTINUOUS) and parts.count() == 30
+    single = forest.iforest_fit_single(train, scaler, P, CONTINUOUS, trees=5, sample=30)
+    assert all(r.feature in (None, CONTINUOUS[r.model]) for r in single.collect())
     assert forest.feature_counts(35)[:4] == [10, 15, 16, 17] and forest.feature_counts(20) == [20]
 
 
+def test_isolation_ensemble_through_thresholds(spark):
+    train = windows(spark, seed=17)
+    odd = [(day(9), t, 22, {"num_conns": 300 + t, "mean_duration": 700.0, "external_ips": 200}, True) for t in range(5)]
+    test = windows(spark, n_days=1, per_day=20, seed=18).withColumn("day", F.lit(day(9))).withColumn(
+        "timewindow", F.col("timewindow") + 100).unionByName(feature_frame(spark, odd))
+    models = isolation.train(train, P)
+    counts = {r.port: r for r in isolation.detect(test, train, models, 5.0, [22, 80]).collect()}
+    assert (counts[22].tp, counts[22].fn) == (5, 0) and counts[22].fp + counts[22].tn == 20 and counts[80].tp == 0
+    weights = spark.createDataFrame([(p, "num_conns", 1.0) for p in (22, 80)], "port int, feature string, weight double")
+    only = {(r.timewindow, r.port): r.score for r in isolation.scores(test, models, weights).collect()}
+    parts = forest.iforest_feature_scores(test, models.scaler, models.nodes).filter("feature = 'num_conns'").collect()
+    assert only == pytest.approx({(r.timewindow, r.port): r.density for r in parts})
+
+
 def test_importance_finds_the_telling_feature(spark):
     rows = [(day(2 + t % 3), t, 22, {"num_conns": t % 7, "S0_count": 9 if t % 4 == 0 else 0}, t % 4 == 0) for t in range(200)]
     rows += [(day(2), t, 80, {"num_conns": t}, False) for t in range(20)]
