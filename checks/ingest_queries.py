@@ -33,13 +33,12 @@ def _log_lines(rows, fields, tail=()):
 
 def _conn_log_dir(spark, sf_dir):
     path = work_path(spark, "conn-log")
-    _log_lines(x.conn(spark, sf_dir), CONN_FIELDS, tail=["(empty)"]).write.text(path)
+    _log_lines(x.conn(spark, sf_dir), CONN_FIELDS, tail=["(empty)"]).write.text(f"{path}/whole.log")
     return path
 
 
 def _scan_conn(spark, sf_dir):
-    # Spark names its part files *.txt; the folder scan of *.log files is tested in tests/.
-    return conn_log.parse_conn_lines(spark.read.text(_conn_log_dir(spark, sf_dir)))
+    return conn_log.scan_conn_log(spark, _conn_log_dir(spark, sf_dir))
 
 
 @query("scan_conn_log", q.with_(q.conn(), f"SELECT {CONN_COLS} FROM conn"))

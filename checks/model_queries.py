@@ -108,15 +108,6 @@ def kde_bandwidth_cv_60s(spark, sf_dir):
     return rounded(kde.kde_bandwidth_cv(train, scaling.scaler_fit(train, x.PARAMS_60)))
 
 
-@query("detect_weighted")
-def detect_weighted(spark, sf_dir):
-    """Weighted training scores -> percentiles -> weighted detection."""
-    counts = detection.weighted_detection(
-        st.test_60(spark, sf_dir), st.train_60(spark, sf_dir), st.models(spark, sf_dir), x.importance(spark), 10.0,
-        list(x.PARAMS_60.model_ports))
-    return rounded(counts)
-
-
 def _cv_inputs(spark, sf_dir):
     train = st.train(spark, sf_dir, P_DAYPART)
     return train, scaling.scaler_fit(train, P_DAYPART)
@@ -484,6 +475,26 @@ def detect(spark, sf_dir):
                                       PERCENTILE, list(x.PARAMS_60.model_ports))
 
 
+_WEIGHTED_COUNTS = [*_DENSITIES, *q.densities(H, "train_z", "train_densities"), *q.importance(), ("scores", """
+    SELECT t.variant, t.day, t.timewindow, t.port, t.label, round(sum(i.weight * d.density) / sum(i.weight), 9) AS score
+    FROM test_z t JOIN densities d ON t.port = d.port AND t.feature = d.feature AND t.z = d.z
+    JOIN importance i ON i.port = t.port AND i.feature = t.feature GROUP BY t.variant, t.day, t.timewindow, t.port, t.label"""),
+    ("training_scores", """
+    SELECT t.day, t.timewindow, t.port, round(sum(i.weight * d.density) / sum(i.weight), 9) AS score
+    FROM train_z t JOIN train_densities d ON t.port = d.port AND t.feature = d.feature AND t.z = d.z
+    JOIN importance i ON i.port = t.port AND i.feature = t.feature GROUP BY t.day, t.timewindow, t.port"""), *_COUNTS]
+
+
+@query("detect_weighted", q.with_(_WEIGHTED_COUNTS, "SELECT variant, day, port, tp, tn, fp, fn FROM counts"))
+def detect_weighted(spark, sf_dir):
+    """Weighted training scores -> percentiles -> weighted detection; rounded, so that near-equal scores tie in both engines."""
+    m, weights = st.models(spark, sf_dir), x.importance(spark)
+    nine = lambda scores: scores.withColumn("score", F.round("score", 9))
+    limits = training.training_percentiles(nine(training.training_scores(st.train_60(spark, sf_dir), m, weights)))
+    scored = nine(detection.test_scores(st.scored_ports(spark, sf_dir), m, weights))
+    return detection.detection_counts(st.test_60(spark, sf_dir), scored, nine(limits), PERCENTILE, list(x.PARAMS_60.model_ports))
+
+
 @query("detect_searched_bandwidth")
 def detect_searched_bandwidth(spark, sf_dir):
     """Training, scoring and thresholding with bandwidths searched per (port, feature) on one-minute windows."""

@@ -7,7 +7,6 @@ test day, variant and port (the columns that are there) unless a group is given.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harborwatch.operators.ordering import running_totals
@@ -93,7 +92,7 @@ def score_steps(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
         "tp": (group, F.col("step_tp")), "fp": (group, F.col("step_fp")), "step": (group, one)})
     totals = scores.groupBy(*group).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"),
                                         F.count_distinct("score").alias("steps"))
-    return run.join(F.broadcast(totals), group).withColumns({
+    return run.join(totals, group).withColumns({
         "prev_tp": F.col("tp") - F.col("step_tp"), "prev_fp": F.col("fp") - F.col("step_fp")})
 
 
@@ -168,19 +167,22 @@ def auc(scores: DataFrame, group: list[str] | None = None, steps: DataFrame | No
 def _sweep(scores: DataFrame, group: list[str], thresholds: DataFrame, strict: bool) -> DataFrame:
     """Outcome counts at each threshold. ``thresholds``: (group, cuts = ascending array).
 
-    Every score finds the first cut that flags it; counts per cut then accumulate over the cuts.
+    An as-of merge: collapsed scores and cuts run in one order, by value and with those scores first that a cut of equal
+    value flags, and each cut takes the running totals at its place. The order is cut into ranges, so neither a group with
+    very many scores nor very many groups meet in one task, and no cuts are sent to all tasks.
     """
-    unflagged = (lambda t: t <= F.col("score")) if strict else (lambda t: t < F.col("score"))
-    placed = scores.join(F.broadcast(thresholds), group).withColumn("at", F.size(F.filter("cuts", unflagged)))
-    per_cut = placed.groupBy(*group, "at").agg(
-        F.count_if("label").alias("_tp"), F.count_if(~F.col("label")).alias("_fp"))
+    steps = scores.filter(F.col("score").isNotNull()).groupBy(*group, "score").agg(
+        F.count_if("label").alias("_tp"), F.count_if(~F.col("label")).alias("_fp")).withColumns({
+            "_kind": F.lit(int(strict)), "at": F.lit(-1)})
+    none = F.lit(0).cast("long")
+    cuts = thresholds.select(*group, F.posexplode("cuts").alias("at", "score")).withColumns({
+        "_kind": F.lit(int(not strict)), "_tp": none, "_fp": none})
+    run = running_totals(steps.unionByName(cuts), ["score", "_kind", "at", *group], {
+        "tp": (group, F.col("_tp")), "fp": (group, F.col("_fp"))}).filter("at >= 0")
     totals = scores.groupBy(*group).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    grid = thresholds.select(*group, F.posexplode("cuts").alias("at", "threshold"))
-    up_to = W.partitionBy(*group).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = grid.join(per_cut, [*group, "at"], "left").withColumns({
-        "tp": F.sum(F.coalesce("_tp", F.lit(0))).over(up_to), "fp": F.sum(F.coalesce("_fp", F.lit(0))).over(up_to)})
-    return rates_at_threshold(counted.join(F.broadcast(totals), group).select(
-        *group, "threshold", (F.col("neg") - F.col("fp")).alias("tn"), "fp", (F.col("pos") - F.col("tp")).alias("fn"), "tp"))
+    return rates_at_threshold(run.join(totals, group).select(
+        *group, "at", F.col("score").alias("threshold"), (F.col("neg") - F.col("fp")).alias("tn"), "fp",
+        (F.col("pos") - F.col("tp")).alias("fn"), "tp"))
 
 
 def threshold_sweep(scores: DataFrame, relative: list[float], group: list[str] | None = None) -> DataFrame:
@@ -190,9 +192,8 @@ def threshold_sweep(scores: DataFrame, relative: list[float], group: list[str] |
     ts = sorted(relative)
     cuts = F.array(*[F.col("lo") + t * (F.col("hi") - F.col("lo")) for t in ts])
     swept = _sweep(scores, group, edges.select(*group, cuts.alias("cuts")), strict=False)
-    index = W.partitionBy(*group).orderBy("threshold")
     names = F.array(*[F.lit(float(t)) for t in ts])
-    return swept.withColumn("_i", F.row_number().over(index)).withColumn("t", F.element_at(names, F.col("_i"))).drop("_i")
+    return swept.withColumn("t", F.element_at(names, F.col("at") + 1)).drop("at")
 
 
 def sweep_curves(swept: DataFrame, group: list[str] | None = None) -> DataFrame:

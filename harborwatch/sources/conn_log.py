@@ -30,8 +30,8 @@ def parse_conn_lines(lines: DataFrame, fields: list[str] = CONN_FIELDS, drop_las
 
 
 def scan_conn_log(spark: SparkSession, path: str) -> DataFrame:
-    """Background logs of a folder (``*.log``)."""
-    return parse_conn_lines(spark.read.option("pathGlobFilter", "*.log").text(path))
+    """Background logs of a folder: its ``*.log`` entries, each a file or a folder of part files."""
+    return parse_conn_lines(spark.read.text(f"{path.rstrip('/')}/*.log"))
 
 
 def scan_attack_log(spark: SparkSession, path: str) -> DataFrame:

@@ -141,6 +141,25 @@ def test_relative_thresholds(spark):
     assert starts == {"roc": (0.0, 0.0), "pr": (1.0, 0.0)} and len(curves) == 10
 
 
+def test_sweep_of_many_groups_and_equal_cuts(spark):
+    rows = [(f"v{i}", float((i * 7 + k * k) % 5), k % 2 == 0) for i in range(3000) for k in range(3)]
+    rows += [("flat", 2.0, True), ("flat", 2.0, False), ("flat", None, True)]
+    df = spark.createDataFrame(rows, "variant string, score double, label boolean")
+    swept = ev.threshold_sweep(df, [0.0, 0.5, 1.0], ["variant"])
+    got = {(r.variant, r.t): (r.tn, r.fp, r.fn, r.tp) for r in swept.collect()}
+    by = {}
+    for v, s, a in rows:
+        by.setdefault(v, []).append((s, a))
+    assert len(got) == 3 * len(by)
+    for (v, t), counts in got.items():
+        known = [s for s, _ in by[v] if s is not None]
+        cut = min(known) + t * (max(known) - min(known))
+        flagged = [(s is not None and s <= cut, a) for s, a in by[v]]
+        assert counts == tuple(sum(f == p and a == l for f, a in flagged) for p, l in ((0, 0), (1, 0), (0, 1), (1, 1)))
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+
+
 def test_adaptive_thresholds(spark):
     rows = random_scores(150, 6)
     df = score_frame(spark, rows)
