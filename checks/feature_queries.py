@@ -279,6 +279,33 @@ def merge_overlay_variants(spark, sf_dir):
     return rounded(overlay_plan.labelled_day(x.conn(spark, sf_dir), trace, names, x.TEST_DAY, p, x.BASE_DAY).features)
 
 
+def _redirected(port: int, n: int) -> str:
+    """The overlay of the trace that keeps every n-th record and sends the others to addresses the port knows."""
+    name = f"port_{port}_history{n}_wannacry"
+    ctes = [*_LISTED]
+    for cte, body in q.overlay(60):
+        if cte == "attack":
+            ctes += [("whole", body), ("attack", f"""
+                SELECT c.* EXCLUDE (nth, ordinal, resp_h), CASE WHEN nth % {n} = 0 OR l.ext_ip IS NULL THEN resp_h ELSE l.ext_ip END AS resp_h
+                FROM (SELECT *, row_number() OVER (PARTITION BY orig_h ORDER BY ts, uid) AS nth,
+                             row_number() OVER (ORDER BY ts, uid) AS ordinal FROM whole) c
+                LEFT JOIN listed l ON l.port = {port} AND c.ordinal % l.length = l.position""")]
+        else:
+            ctes.append((cte, body.replace("'wannacry' AS variant", f"'{name}' AS variant")))
+    return q.with_(ctes, q.rounded_features("variant, day, timewindow, port", "test", label=True))
+
+
+@query("merge_overlay_redirected", " UNION ALL ".join(
+    f"SELECT * FROM ({_redirected(port, n)}) v" for port in P.ports for n in FACTORS))
+def merge_overlay_redirected(spark, sf_dir):
+    """All redirected versions of the trace, per port and factor, on one background day."""
+    p = x.PARAMS_OVERLAY
+    known = history.history_by_day_port(oriented(spark, sf_dir))
+    trace = overlay_plan.redirected_variants(prepared(spark, sf_dir), known, p, FACTORS).drop("port", "n")
+    names = [f"port_{port}_history{n}_wannacry" for port in p.ports for n in FACTORS]
+    return rounded(overlay_plan.labelled_day(x.conn(spark, sf_dir), trace, names, x.TEST_DAY, p, x.BASE_DAY).features)
+
+
 @query("label_windows", q.with_(q.overlay(60), "SELECT timewindow, port, label FROM test"))
 def label_windows(spark, sf_dir):
     return test_day(spark, sf_dir).select("timewindow", "port", "label")

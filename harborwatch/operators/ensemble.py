@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from harborwatch.operators.kde import kde_ccdf, kde_score
 from harborwatch.operators.scaling import scaled_long
+from harborwatch.operators.skew import frequency_split_join
 from harborwatch.schema import MODEL_FEATURES
+from harborwatch.session import cut_lineage
 
 
 def window_keys(features: DataFrame) -> list[str]:
@@ -32,11 +34,16 @@ def _per_value(
     features: DataFrame, scaler: DataFrame, support: DataFrame, columns: list[str], clip: bool,
     score: Callable[[DataFrame, DataFrame, list[str]], DataFrame],
 ) -> DataFrame:
-    """Score each distinct value once and hand the result to its windows."""
+    """Score each distinct value once and hand the result to its windows.
+
+    Some values belong to nearly all windows (a state that hardly occurs has count 0 in them); these do not meet in a task.
+    """
     keys = window_keys(features)
     long = scaled_long(features, scaler, keys, columns, clip)
-    scored = score(long.select("port", "feature", "z").distinct(), support, ["port", "z"])
-    return long.join(scored, ["port", "feature", "z"]).drop("z")
+    values = cut_lineage(long.groupBy("port", "feature", "z").agg(F.count(F.lit(1)).alias("_copies")))
+    scored = score(values.drop("_copies"), support, ["port", "z"])
+    counted = cut_lineage(values.join(scored, ["port", "feature", "z"]))
+    return frequency_split_join(long, counted, ["port", "feature", "z"], "_copies").drop("z", "_copies")
 
 
 def feature_densities(
