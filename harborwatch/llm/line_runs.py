@@ -1,22 +1,23 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (key, n_docs, max_doc), one row per key, hash-partitioned and sorted by key. Every batch of
-documents adds a run to level 0; ``FAN_IN`` runs of a level are merged into one run of the next, so a key is rewritten
-once per level. A batch is merge-joined with the few runs that exist, never with earlier texts. Level sizes grow
-geometrically: with b batches there are at most FAN_IN * log(b) runs.
+A run is a table of (key, n_docs, max_doc, n_rows), one row per key, bucketed and sorted by key. A batch of documents is
+counted by key and merge-anti-joined with the runs there are, which need no exchange and no sort for it: keys that no run
+holds become a run of level 0, so a key is in one run only; counts of keys that a run holds go to ``again``. ``FAN_IN`` runs
+of a level are merged into one run of the next, so a key is rewritten once per level and with b batches there are at most
+FAN_IN * log(b) runs. Earlier texts are never read again.
 
 Two uses:
 * ``drop_seen``: lines whose key an earlier batch holds go (merge anti-join), then the batch adds its own keys;
-* ``drop_shared``: all batches add their keys first; then a line goes where its key is in at least ``min_docs``
-  documents and another document with a larger id holds it.
+* ``drop_shared``: all batches pass first; the runs with what came again, joined run by run, say which keys are in at least
+  ``min_docs`` documents, and such a line goes where another document with a larger id holds it.
 
 A key is the 128-bit hash of the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z lower-cased; keys below
 ``min_chars`` code points take no part. Null text is one empty line. Rows with equal doc_id are one document for the
 counts (and each loses or keeps its lines alike); a null doc_id counts as one document below all others. An empty table
 gives an empty result; further columns pass through.
 
-A key that a third of all documents holds is one row per task after partial aggregation, and one row in a run; the
-join of postings with runs is split by adaptive execution on the side of the postings. Counts go by doc_id, drops by doc_id
+A key that a third of all documents holds is one row per task after partial aggregation, and one row in a run; where postings
+meet the shared keys, keys with many postings are broadcast (their number is bounded) and their postings stay in place. Counts go by doc_id, drops by doc_id
 and hash of the text: what meets in one group is the drops of one text, bounded by its own lines, however many rows share
 its id or have none. Whether a line goes depends on its key and the doc_id only, so texts of one id with equal hashes
 would still lose the right lines.
@@ -24,6 +25,7 @@ would still lose the right lines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborwatch.llm import common
+from harborwatch.operators.skew import frequency_split_join
 from harborwatch.session import work_path
 
 MIN_CHARS = 20
@@ -86,37 +89,49 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lambda batches: _postings(batches, min_chars), "key binary, doc long, part long")
 
 
+def _counts(batch: DataFrame) -> DataFrame:
+    """(key, n_docs, max_doc, n_rows) of postings."""
+    pairs = batch.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("n_rows"))
+    return pairs.groupBy("key").agg(
+        F.count("doc").alias("n_docs"), F.max("doc").alias("max_doc"), F.sum("n_rows").alias("n_rows"))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("key").agg(
+        F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.sum("n_rows").alias("n_rows"))
+
+
 class LineRuns:
-    """The levelled store, in the shared folder of the session."""
+    """The levelled store: bucketed tables whose files are in the shared folder of the session."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN) -> None:
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None) -> None:
         self.spark, self.fan_in = spark, fan_in
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.again: list[DataFrame] = []
+        self._names: list[str] = []
 
     def _write(self, keys: DataFrame) -> DataFrame:
-        path = work_path(self.spark, "line-run")
-        keys.sortWithinPartitions("key").write.parquet(path)
-        return self.spark.read.schema(keys.schema).parquet(path)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        name = f"line_run_{uuid.uuid4().hex}"
+        keys.write.bucketBy(self.buckets, "key").sortBy("key").option("path", work_path(self.spark, "line-run")).saveAsTable(name)
+        self._names.append(name)
+        return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> None:
-        """Adds the postings of a batch as a run and compacts full levels."""
-        pairs = batch.select("key", "doc").distinct()
-        run = self._write(pairs.groupBy("key").agg(F.count("doc").alias("n_docs"), F.max("doc").alias("max_doc")))
-        level = 0
+        """Adds the postings of a batch: new keys as a run, counts of known ones to ``again``; compacts full levels."""
+        counted = common.materialise(_counts(batch), "line-batch-counts")
+        fresh = self.unseen(counted)
+        self.again += [counted.join(run.hint("merge"), "key", "left_semi") for run in self.runs()]
+        run, level = self._write(fresh), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fan_in:
                 return
-            run = self._write(self._merged(self.levels[level]))
+            # What came again was found in the runs that go now, so it is written down first.
+            self.again = [common.materialise(_union(self.again), "line-again")] if self.again else []
+            run = self._write(_union(self.levels[level]).repartition(self.buckets, "key"))
             self.levels[level] = []
             level += 1
 
@@ -124,15 +139,38 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
-        """The postings of a batch whose key is in no run: an anti-join with each run."""
+        """The rows of a batch whose key is in no run: a merge anti-join with each run."""
         for run in self.runs():
             batch = batch.join(run.hint("merge"), "key", "left_anti")
         return batch
 
-    def totals(self) -> DataFrame:
-        """One row per key over all runs."""
-        runs = self.runs()
-        return self._merged(runs) if len(runs) > 1 else runs[0]
+    def totals(self, min_docs: int = 1) -> DataFrame:
+        """(key, n_docs, max_doc, n_rows) of keys in at least ``min_docs`` documents, run by run."""
+        again = common.materialise(_summed(_union(self.again)), "line-again") if self.again else None
+        found = []
+        for run in self.runs():
+            if again is None:
+                found.append(run)
+                continue
+            more = again.select("key", *[F.col(c).alias(f"_{c}") for c in ("n_docs", "max_doc", "n_rows")])
+            none = F.lit(0).cast("long")
+            found.append(run.join(more.hint("merge"), "key", "left").select(
+                "key", (F.col("n_docs") + F.coalesce("_n_docs", none)).alias("n_docs"), F.greatest("max_doc", "_max_doc").alias("max_doc"),
+                (F.col("n_rows") + F.coalesce("_n_rows", none)).alias("n_rows")))
+        return _union(found).filter(F.col("n_docs") >= min_docs)
+
+    def close(self) -> None:
+        """Forgets the tables; their files stay in the shared folder like other work tables."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.again, self._names = [], [], []
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for one in tables[1:]:
+        every = every.unionByName(one)
+    return every
 
 
 def _rewrite(
@@ -185,8 +223,10 @@ def drop_shared(
     store = LineRuns(spark)
     for i in range(batches):
         store.add(pairs.filter(F.col("batch") == i).drop("batch"))
-    shared = store.totals().filter(F.col("n_docs") >= min_docs).select("key", "max_doc")
-    drops = pairs.join(shared, "key").filter(F.col("doc") < F.col("max_doc")).select("key", "doc", "part")
+    shared = common.materialise(store.totals(min_docs).select("key", "max_doc", "n_rows"), "shared-lines")
+    store.close()
+    met = frequency_split_join(pairs.select("key", "doc", "part"), shared, ["key"], "n_rows")
+    drops = met.filter(F.col("doc") < F.col("max_doc")).select("key", "doc", "part")
     return _without(docs, drops.distinct(), min_chars, counts)
 
 

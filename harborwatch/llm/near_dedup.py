@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.llm import common
 from harborwatch.llm.components import components
+from harborwatch.operators.skew import frequency_split_join
 
 COORDINATES = 40
 #: Chance that a pair at the required similarity has too few collisions.
@@ -236,9 +237,11 @@ def in_blocks(rows: DataFrame, key: str, block: int, spread: tuple[str, ...] = (
     Every member of ``rest`` meets every member of the key. Kind 0 sets a block of the rest (side 0) against a block of
     the others (1); kind 1 sets two blocks of the rest against each other, or one against itself (side 2).
     """
-    sizes = rows.groupBy(key).agg(F.count_if("rest").alias("in_rest"), F.count_if(~F.col("rest")).alias("in_main"))
+    rows = common.materialise(rows, "in-blocks")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    sized = rows.join(sizes.select(key, blocks("in_rest").alias("in_rest"), blocks("in_main").alias("in_main")), key)
+    sizes = rows.groupBy(key).agg(F.count_if("rest").alias("in_rest"), F.count_if(~F.col("rest")).alias("in_main")).select(
+        key, (F.col("in_rest") + F.col("in_main")).alias("of_key"), blocks("in_rest").alias("in_rest"), blocks("in_main").alias("in_main"))
+    sized = frequency_split_join(rows, common.materialise(sizes, "key-sizes"), [key], "of_key").drop("of_key")
     own = F.pmod(F.xxhash64(*spread), F.when(F.col("rest"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
     numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(
         F.array().cast("array<int>"))
@@ -281,7 +284,7 @@ def links_within(members: DataFrame, size: int, percent: int) -> DataFrame:
     small = F.col("n") <= TEXT_BLOCK
     # Leaders: LEADERS of a large family on average, by hash.
     leader = F.pmod(F.xxhash64("node", "text", F.lit(3)), F.col("n")) < LEADERS
-    first = members.join(families, "family").select(
+    first = frequency_split_join(members, common.materialise(families, "family-sizes"), ["family"], "n").select(
         "family", "node", F.col("node").alias("label"), "text", (small | leader).alias("rest"), small.alias("small"))
     compare = lambda placed: placed.groupBy("family", "kind", "i", "j").applyInArrow(
         lambda table: _links(table, size, percent), "u long, v long")
@@ -293,7 +296,7 @@ def links_within(members: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; rows of one doc_id are one node."""
     matches = least_matches(percent)
     known = common.materialise(features(docs, size), "signatures")
     filled = known.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -320,10 +323,18 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of ``docs``: of every component the document with the least id, once; texts without words stay."""
-    gone = near_copies(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    empty = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
-    # Rows without words or id are never copies of each other; the join's partitioning serves the last step too.
-    own = F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
-    rest = docs.withColumn("_own", own).join(gone.hint("merge"), "doc_id", "left_anti")
-    return rest.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    """All columns of ``docs``: of every component the row with the least id, once; rows without words or without id stay.
+
+    Rows are compared, not ids: rows that share an id but not their words are texts of their own. Rows without words or id
+    take part in no join.
+    """
+    words = F.coalesce(F.col("doc.text"), F.lit("")).rlike(common.WORD_PATTERN) & F.col("doc.doc_id").isNotNull()
+    rows = common.materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")).withColumn(
+        "_part", words), "near-rows")
+    part = rows.filter("_part")
+    texts = part.select(F.col("_row").alias("doc_id"), "doc.text")
+    found = near_copies(texts, size, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = part.select("_row", F.col("doc.doc_id").cast("long").alias("id"))
+    first = ids.join(found.hint("merge"), "_row").groupBy("component_id").agg(F.min(F.struct("id", "_row")).alias("first"))
+    stay = first.select(F.col("first._row").alias("_row"))
+    return part.join(stay.hint("merge"), "_row", "left_semi").unionByName(rows.filter("not _part")).select("doc.*")

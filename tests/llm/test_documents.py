@@ -158,6 +158,37 @@ def test_texts_of_one_id_are_spread_over_blocks(spark, monkeypatch):
     assert max(r["count"] for r in sizes) <= 40
 
 
+def test_batch_meets_sorted_runs_without_moving_them(spark):
+    store = line_runs.LineRuns(spark, buckets=4)
+    for b in range(3):
+        texts = [(b * 100 + i, f"this is line number {b * 7 + i} of them all\nand the line that comes every time") for i in range(9)]
+        batch = line_runs.postings(spark.createDataFrame(texts, "doc_id long, text string"))
+        if b == 2:
+            plan = store.unseen(line_runs._counts(batch))._jdf.queryExecution()
+            sides = [part.split("Scan parquet")[0] for part in plan.executedPlan().toString().split("LeftAnti")[1:]]
+            assert len(sides) == 2 and plan.executedPlan().toString().count("SortMergeJoin") == 2
+            scans = plan.executedPlan().toString().split("\n")
+            at = [i for i, line in enumerate(scans) if "Scan parquet spark_catalog" in line]
+            for i in at:  # nothing but columns and filters between a run and its join
+                above = next(line for line in reversed(scans[:i]) if not any(w in line for w in ("ColumnarToRow", "Filter", "Project")))
+                assert "Exchange" not in above
+        store.add(batch)
+    got = {(r.n_docs, r.max_doc, r.n_rows) for r in store.totals(10).collect()}
+    assert got == {(27, 208, 27)} and sum(run.count() for run in store.runs()) == store.totals().count()
+    everywhere = store.totals().groupBy("key").count().filter("count > 1").count()
+    assert everywhere == 0
+    store.close()
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "alpha beta gamma delta epsilon zeta eta"), (7, "quite another text with words of its own here"), (7, words),
+            (3, words + " more"), (9, words), (None, words), (None, words), (7, "alpha beta gamma delta epsilon zeta eta"), (5, "")]
+    got = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, got), key=key) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6], rows[8]], key=key)
+
+
 def test_near_copies_edges(edges, empty):
     got = near_dedup.near_copies(edges).collect()
     assert len(got) == len(EDGES)
