@@ -113,6 +113,9 @@ def _newton(cells: DataFrame, goal: DataFrame) -> DataFrame:
             .withColumns({"low": low, "high": high, "open": F.col("open") & ~F.coalesce(done, F.lit(True))})
             .withColumn("lam", F.when(~F.col("open"), F.col("lam")).when(inside, step).otherwise(middle))
             .drop("taken", "slope"), "dual")
+    else:
+        if state.filter("open").limit(1).count():
+            raise RuntimeError(f"a source did not reach its target within {NEWTON_STEPS} steps")
     return state.drop("low", "high", "open")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -15,6 +16,8 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 #: Elements whose content is not markup, or not for readers; their text goes unread.
 RAW = frozenset("script style template iframe noscript textarea title svg canvas object".split())
+#: Those of them that hold markup: without an end tag they end where they begin, and what follows is read.
+HOLDS_MARKUP = frozenset("template iframe noscript svg canvas object".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol optgroup option p pre section "
@@ -97,6 +100,8 @@ def parse(source: str) -> Page:
     page = Page()
     page.add(-1, "#page", TEXT_TAG + 1, 0)
     stack, names = [0], ["#page"]
+    open_now: Counter[str] = Counter()  # open elements by name
+    unclosed: set[str] = set()  # names without an end tag from here on
     pieces: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(source)
 
@@ -112,7 +117,14 @@ def parse(source: str) -> Page:
         """Elements above place ``to`` of the stack end here."""
         while len(stack) > to:
             page.end[stack.pop()] = len(page.parent)
-            names.pop()
+            open_now[names.pop()] -= 1
+
+    def innermost(name: str) -> int:
+        """Place of the last open element of that name; what lies above it is closed next, so the search is paid for."""
+        place = len(names) - 1
+        while names[place] != name:
+            place -= 1
+        return place
 
     while at < n:
         m = _TAG.search(source, at)
@@ -134,13 +146,20 @@ def parse(source: str) -> Page:
         if m["end"]:
             if name == "a":
                 in_link = False
-            elif name in BLOCKS and name in names:
+            elif name in BLOCKS and open_now[name]:
                 flush()
-                close(len(names) - 1 - names[::-1].index(name))
+                close(innermost(name))
             continue
         if name in RAW:
-            tail = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(source, at) if not m["attrs"].endswith("/") else None
-            at = tail.end() if tail else (at if m["attrs"].endswith("/") else n)
+            if m["attrs"].endswith("/") or name in unclosed:
+                continue
+            tail = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
+            if tail:
+                at = tail.end()
+            elif name in HOLDS_MARKUP:
+                unclosed.add(name)
+            else:
+                at = n
             continue
         if name == "a":
             in_link = True
@@ -148,11 +167,11 @@ def parse(source: str) -> Page:
             pieces.append(" ")
         elif name in BLOCKS:
             flush()
-            if name not in _KEEPS_P and "p" in names:
-                close(len(names) - 1 - names[::-1].index("p"))
+            if name not in _KEEPS_P and open_now["p"]:
+                close(innermost("p"))
             ends, scope = _CLOSES.get(name, ((), ()))
-            for place in range(len(names) - 1, 0, -1):
-                if names[place] in scope or not ends:
+            for place in range(len(names) - 1, 0, -1) if any(open_now[e] for e in ends) else ():
+                if names[place] in scope:
                     break
                 if names[place] in ends:
                     close(place)
@@ -162,6 +181,7 @@ def parse(source: str) -> Page:
             if name not in VOID:
                 stack.append(node)
                 names.append(name)
+                open_now[name] += 1
     flush()
     close(0)
     return page

@@ -7,7 +7,11 @@ its manifest: the ordered offset ranges of the records.
 ``tree`` hashes every range of the manifest in a replica's bytes and combines ``FAN`` neighbours at a time up to one
 root. A segment's own tree is made in the task that holds its bytes; only segment roots are shuffled. ``audit`` compares
 the roots of two trees and, level by level, joins only children of nodes that differ, so equal branches are never read.
-A missing segment, or bytes missing at the end of one, differ like changed bytes.
+A missing segment, or bytes missing at the end of one, differ like changed bytes. The last leaf of a segment holds its
+length and the bytes that no range covers, so bytes appended or put between records differ too; its place is the number
+of records. Both replicas are hashed by one manifest: ``with_manifest`` hands that of the first (or a stored one) to a
+replica read from files, whose own bytes may be damaged. Files that are no plain WARC (cut, overwritten, compressed) have
+what could not be read as their last range.
 
 Segments follow the order of the input's partitions and carry the partition in their number; nothing is ordered or
 shuffled to build them, and a hot host or page is bytes like any others. Null url or html is written as an empty string;
@@ -82,18 +86,26 @@ def write_segments(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Data
 
 
 def record_ranges(data: bytes) -> list[dict]:
-    """Manifest of uncompressed WARC bytes by the lengths that the records state."""
+    """Manifest of WARC bytes by the lengths that the records state; bytes that state none, to the end, are one range."""
     ranges, at = [], 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(b":", 1) for line in data[at:head].split(b"\r\n")[1:] if b":" in line)
-        length = next(int(v) for k, v in fields.items() if k.strip().lower() == b"content-length")
-        end = head + 4 + length + 4
+        head = data.find(b"\r\n\r\n", at)
+        lines = data[at: max(head, at)].split(b"\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines[1:])}
+        length = fields.get(b"content-length", b"")
+        sound = lines[0].startswith(b"WARC/") and length.isdigit() and len(length) < 19
+        end = min(head + 4 + int(length) + 4, len(data)) if sound else len(data)
         ranges.append({"offset": at, "length": end - at, "page_id": None})
         at = end
     return ranges
 
 
+def with_manifest(replica: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The bytes of ``replica`` with the ranges of ``manifest`` (segment, ranges); segments of either side alone stay."""
+    ranges = manifest.select("segment", "ranges")
+    return replica.select("segment", "data").join(ranges, "segment", "full").select("segment", "data", "ranges")
+
+
 def read_files(spark, paths: str) -> DataFrame:
     """Segments from uncompressed WARC files, numbered by a hash of the file name; a file is held whole by its task."""
     common.ship(spark)
@@ -113,15 +125,29 @@ def _hash(content: bytes) -> bytes:
     return hashlib.sha256(content).digest()
 
 
+def _outside(view: memoryview, ranges: list[dict], there: bool) -> bytes:
+    """Hash of a segment's length and of the bytes that no range covers."""
+    found, at = hashlib.sha256(f"{len(view)} {there} ".encode()), 0
+    for r in sorted(ranges, key=lambda r: r["offset"]):
+        if r["offset"] > at:
+            found.update(f"{at} {min(r['offset'], len(view))} ".encode())
+            found.update(view[at: r["offset"]])
+        at = max(at, r["offset"] + r["length"])
+    found.update(view[at:])
+    return found.digest()
+
+
 def _segment_nodes(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch]:
-    """All nodes of each segment's tree, depth 0 being its root; leaves are the records."""
+    """All nodes of each segment's tree, depth 0 being its root; leaves are the records and what lies outside them."""
     for batch in batches:
         for segment, data, ranges in zip(*batch.columns):
             view = memoryview(data.as_buffer() if data.is_valid else b"")
+            own = ranges.as_py() or []
             levels = [[]]
-            for r in ranges.as_py():
+            for r in own:
                 piece = view[r["offset"]: r["offset"] + r["length"]]
                 levels[0].append(_hash(f"{r['offset']} {len(piece)} ".encode() + piece))
+            levels[0].append(_outside(view, own, data.is_valid))
             while len(levels[-1]) > 1:
                 below = levels[-1]
                 levels.append([_hash(b"".join(below[i: i + fan])) for i in range(0, len(below), fan)])
@@ -176,7 +202,8 @@ def _differ(a: DataFrame, b: DataFrame, keys: list[str], under: DataFrame | None
 
 
 def audit(one: Tree, two: Tree, fan: int = FAN) -> DataFrame:
-    """(segment, pos): the records (by place in the manifest) at which the replicas differ."""
+    """(segment, pos): the records (by place in the manifest) at which the replicas differ; behind the last record: the
+    segment's length or bytes outside the records."""
     spark = one.nodes.sparkSession
     up = F.floor(F.col("pos") / fan).cast("long")
     under: DataFrame | None = None
@@ -201,7 +228,8 @@ def audit(one: Tree, two: Tree, fan: int = FAN) -> DataFrame:
 
 
 def located(segments: DataFrame, damage: DataFrame) -> DataFrame:
-    """(page_id, segment, record_no, offset, length, damaged) of every record of the manifest."""
+    """(page_id, segment, record_no, offset, length, damaged) of every record of the manifest. Bytes outside the records are
+    in ``damage`` only."""
     manifest = segments.select("segment", F.posexplode("ranges").alias("pos", "r")).select(
         "segment", F.col("pos").cast("long").alias("pos"), "r.*")
     marked = manifest.join(damage.withColumn("damaged", F.lit(True)), ["segment", "pos"], "left")

@@ -12,8 +12,8 @@ candidates, as it must where the bound stops late: with components of even size
 
 Components are floor(256 * x) of x as a double, scores exact integers. Vectors that are null or hold null or
 non-finite components take no part, nor do null ids. Vectors of unequal length are compared as if the shorter one ended
-in zeros. Rows that repeat an id count once, with the greatest vector. Ties go to the smaller id. An empty table, or one
-without queries, gives an empty result.
+in zeros. Rows that repeat an id are candidates and queries of their own; a query's candidates are all rows but its own. Ties
+go to the smaller id. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,23 +35,22 @@ FIRST_DEPTH = 16
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, v): integer vectors that take part."""
+    """(row, vec_id, v): integer vectors that take part, with a number of the row, which holds once the result is written."""
     sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-    return rows.select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v"))
 
 
-def walk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, ends: np.ndarray, k: int):
-    """(ids, scores) of the k best candidates of one block. ``rows`` are in order of ``ids``.
+def walk(query: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, ends: np.ndarray, k: int):
+    """(ids, scores) of the k best candidates of one block. ``rows`` are in order of ``ids``; those marked ``own`` are left out.
 
     ``lists[j]`` has the row numbers in rising order of component j, ``ends[j]`` the components in that order.
     """
     n = len(ids)
     used = np.flatnonzero(query)
-    seen = np.zeros(n, bool)
-    seen[np.searchsorted(ids, own): np.searchsorted(ids, own, "right")] = True
+    seen = own.copy()
     best_row, best = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
     rising = query[used] < 0
     depth, step = 0, FIRST_DEPTH
@@ -81,43 +80,44 @@ def walk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, lists:
 
 def _block(table: pa.Table, k: int) -> pa.Table:
     is_query = table.column("is_query").to_numpy()
-    vec_id = table.column("vec_id").to_numpy()
+    vec_id, number = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
     lists_of = table.column("v").combine_chunks()
     lengths = np.diff(np.asarray(lists_of.offsets))
     matrix = np.zeros((len(vec_id), max(1, lengths.max(initial=0))), np.int64)
     matrix[np.arange(matrix.shape[1])[None, :] < lengths[:, None]] = np.asarray(lists_of.flatten())
     order = np.flatnonzero(~is_query)
-    order = order[np.argsort(vec_id[order])]
-    ids, rows = vec_id[order], matrix[order]
+    order = order[np.lexsort((number[order], vec_id[order]))]
+    ids, rows, numbers = vec_id[order], matrix[order], number[order]
     biggest = float(np.abs(matrix).max(initial=0))
     if biggest**2 * matrix.shape[1] < 2**53:  # sums of products stay exact in doubles, whose products are fast
         matrix, rows = matrix.astype(np.float64), rows.astype(np.float64)
     lists = np.argsort(rows, axis=0, kind="stable").T.copy()
     ends = np.take_along_axis(rows.T, lists, axis=1)
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], [], [], []]
     for i in np.flatnonzero(is_query):
-        found, score = walk(matrix[i], vec_id[i], ids, rows, lists, ends, k)
-        out[0] += [vec_id[i]] * len(found)
-        out[1] += found.tolist()
-        out[2] += score.astype(np.int64).tolist()
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out)})
+        found, score = walk(matrix[i], numbers == number[i], ids, rows, lists, ends, k)
+        out[0] += [number[i]] * len(found)
+        out[1] += [vec_id[i]] * len(found)
+        out[2] += found.tolist()
+        out[3] += score.astype(np.int64).tolist()
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_row", "query_id", "vec_id", "score"), out)})
 
 
 def search(table: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other vectors for every id divisible by ``query_every``."""
+    """(query_id, rank, vec_id, score): the k best of all other rows for every row whose id is divisible by ``query_every``."""
     common.ship(table.sparkSession)
     every = common.materialise(vectors(table), "vectors")
     is_query = F.col("vec_id") % query_every == 0
     n, q = every.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     n_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-q // QUERIES))
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    block = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    met = every.select("vec_id", "v", F.lit(False).alias("is_query"), block(n_blocks).alias("b"),
+    met = every.select("row", "vec_id", "v", F.lit(False).alias("is_query"), block(n_blocks).alias("b"),
                        numbers(q_blocks).alias("q")).unionByName(
-        every.filter(is_query).select("vec_id", "v", F.lit(True).alias("is_query"), numbers(n_blocks).alias("b"),
+        every.filter(is_query).select("row", "vec_id", "v", F.lit(True).alias("is_query"), numbers(n_blocks).alias("b"),
                                       block(q_blocks).alias("q")))
-    found = met.groupBy("b", "q").applyInArrow(lambda t: _block(t.drop(["b", "q"]), k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.groupBy("b", "q").applyInArrow(lambda t: _block(t.drop(["b", "q"]), k), "query_row long, query_id long, vec_id long, score long")
+    place = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

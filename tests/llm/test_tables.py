@@ -1,10 +1,13 @@
 """Search, extraction and audit, the registered queries, and the pipeline stage by stage."""
 
+import gzip
 import math
 import tempfile
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -34,7 +37,7 @@ def test_search_stops_early_where_the_bound_allows():
     ids = np.arange(4000)
     lists = np.argsort(rows, axis=0, kind="stable").T
     ends = np.take_along_axis(rows.T, lists, axis=1)
-    found, score = threshold_search.walk(np.array([1.0, 1.0, 1.0]), -1, ids, rows, lists, ends, 1)
+    found, score = threshold_search.walk(np.array([1.0, 1.0, 1.0]), ids < 0, ids, rows, lists, ends, 1)
     assert found.tolist() == [17] and score.tolist() == [3000]
 
 
@@ -45,6 +48,17 @@ def test_search_empty_and_few(spark):
     assert [tuple(r) for r in threshold_search.search(two).collect()] == [(0, 1, 3, 512 * 256)]
 
 
+def test_search_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0]), (3, [0.5]), (3, [0.25]), (50, [1.0]), (50, [2.0])]
+    got = sorted(map(tuple, threshold_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            found = sorted((-int(256 * x[0]) * int(256 * y[0]), v) for j, (v, y) in enumerate(rows) if j != i)[:5]
+            want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(found)]
+    assert got == sorted(want) and len(got) == 12
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav>
 <div class="cookie-notice"><p>We keep crumbs here, and you may agree or not agree with that.</p><button>OK</button></div>
@@ -55,6 +69,29 @@ a line break; it goes on and on.<br>After it.</p><ul><li>item one of the list</l
 <footer>&copy; somebody, all rights kept.</footer></body></html>"""
 
 
+@pytest.mark.parametrize("name", ["object", "canvas", "svg", "template", "noscript", "iframe"])
+def test_unclosed_elements_do_not_swallow_the_page(name):
+    page = dom.parse(f"<body><p>before it</p><{name} class=x><p>after it</p><{name}><div>and more</div></body>")
+    assert [t for t in page.text if t] == ["before it", "after it", "and more"]
+    closed = dom.parse(f"<body><{name}><p>inside</p></{name}><p>after it</p><{name}>no end")
+    assert [t for t in closed.text if t] == ["after it", "no end"]
+
+
+def test_deep_nesting_is_linear():
+    def seconds(n):
+        source = "<div><ul><li>" * n + "text" + "<p>x</span></b>" * n + "</div>" * n
+        best = 9.0
+        for _ in range(3):
+            begin = time.process_time()
+            page = dom.parse(source)
+            best = min(best, time.process_time() - begin)
+        assert max(page.depth) >= 3 * n
+        return best
+
+    seconds(500)
+    assert seconds(16_000) < 20 * seconds(2_000)
+
+
 @pytest.fixture(scope="session")
 def forest(spark):
     return html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
@@ -124,6 +161,45 @@ def test_audit_finds_every_damage(spark):
     assert fixity.audit(fixity.tree(nothing, 1), fixity.tree(nothing, 1)).count() == 0
 
 
+def _audited(first, second):
+    height = fixity.height_of(first)
+    found = fixity.audit(fixity.tree(first, height), fixity.tree(fixity.with_manifest(second, first), height))
+    return sorted(map(tuple, found.collect()))
+
+
+def test_bytes_outside_records_are_found(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>text</p>" * i) for i in range(40)], "page_id long, url string, html string")
+    segments = fixity.write_segments(pages.coalesce(1), segment_bytes=4000)
+    n = {r["segment"]: len(r["ranges"]) for r in segments.collect()}
+    longer = segments.withColumn("data", F.concat("data", F.lit(b"tail")))
+    assert _audited(segments, longer) == sorted(n.items())
+    assert _audited(segments, segments) == []
+    extra = segments.unionByName(segments.limit(1).withColumn("segment", F.lit(max(n) + 1).cast("long")))
+    assert _audited(segments, extra) == [(max(n) + 1, 0)]
+
+
+def test_damaged_files_are_differences(spark):
+    one, two = (tempfile.mkdtemp(prefix="run-") for _ in range(2))
+    whole = [fixity.record(i, f"http://x/{i}", f"<p>{i}</p>" * 9) for i in range(6)]
+    damaged = {"cut": b"".join(whole)[:-len(whole[5]) - 300], "header": b"".join(whole)[: len(whole[0]) + 20],
+               "gzip": gzip.compress(b"".join(whole)), "length": b"".join(whole).replace(b"Content-Length: 7", b"Content-Length: x"),
+               "same": b"".join(whole), "empty": b""}
+    for name, data in damaged.items():
+        for folder, content in ((one, b"".join(whole)), (two, data)):
+            with open(f"{folder}/{name}.warc", "wb") as out:
+                out.write(content)
+    first, second = fixity.read_files(spark, one), fixity.read_files(spark, two)
+    assert second.count() >= 5
+    bad = {s for s, _ in _audited(first, second)}
+    names = {r["segment"] for r in first.collect()}
+    assert len(names) == 6 and len(bad) == 5
+    ranges = {n: fixity.record_ranges(d) for n, d in damaged.items()}
+    for name, found in ranges.items():
+        assert sum(r["length"] for r in found) == len(damaged[name])
+        assert [r["offset"] for r in found] == [sum(x["length"] for x in found[:i]) for i in range(len(found))]
+    assert len(ranges["same"]) == 6 and len(ranges["gzip"]) == 1 and ranges["empty"] == []
+
+
 def test_warc_files_round_trip(spark):
     folder = tempfile.mkdtemp(prefix="run-")
     records = [fixity.record(i, f"http://x/{i}", f"<p>{i}</p>" * i) for i in range(5)]
@@ -166,6 +242,6 @@ def test_registered_queries_cover_whole_tables(spark):
     for name, table in (("op1_repetition", "documents"), ("op2_html_text", "pages"), ("op8_language", "documents"),
                         ("op9_line_runs", "documents"), ("op7_balance", "documents"), ("op6_fixity", "pages")):
         assert queries[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count(), name
-    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in queries
     assert len(EDGES) > 10 and near_dedup.least_matches(80) > 0
