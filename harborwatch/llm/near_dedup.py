@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.llm import common
 from harborwatch.llm.components import components
-from harborwatch.operators.skew import frequency_split_join
+from harborwatch.operators.skew import FREQUENT, frequency_split_join
 
 COORDINATES = 40
 #: Chance that a pair at the required similarity has too few collisions.
@@ -229,32 +229,46 @@ def with_rest(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes.select(key, "main"), key).withColumn("rest", F.col("label") != F.col("main")).drop("main")
 
 
+def with_large(rows: DataFrame, sizes: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``sizes`` (the large keys only), null for other keys.
+
+    As long as the large keys are few they are broadcast, and so are the largest of them otherwise; rows of one key never
+    meet in a task for this.
+    """
+    sizes = common.materialise(sizes, "large-keys")
+    if sizes.count() <= FREQUENT:
+        return rows.join(F.broadcast(sizes), key, "left")
+    large = frequency_split_join(rows, sizes, [key], count)
+    rest = rows.join(sizes.select(key).hint("merge"), key, "left_anti")
+    return large.unionByName(rest, allowMissingColumns=True)
+
+
 def in_blocks(rows: DataFrame, key: str, block: int, spread: tuple[str, ...] = ("node",)) -> DataFrame:
     """Rows copied to the blocks (kind, i, j) of their ``key`` in which they are compared, with their side there.
 
-    They are dealt to the blocks by hash of the ``spread`` columns.
-
-    Every member of ``rest`` meets every member of the key. Kind 0 sets a block of the rest (side 0) against a block of
-    the others (1); kind 1 sets two blocks of the rest against each other, or one against itself (side 2).
+    Every member of ``rest`` meets every member of the key. A key of up to ``block`` rows is one block (kind 2) without
+    copies. Of a larger one, rows are dealt to blocks by hash of the ``spread`` columns: kind 0 sets a block of the rest (side
+    0) against a block of the others (1); kind 1 sets two blocks of the rest against each other, or one against itself (side 2).
     """
-    rows = common.materialise(rows, "in-blocks")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     sizes = rows.groupBy(key).agg(F.count_if("rest").alias("in_rest"), F.count_if(~F.col("rest")).alias("in_main")).select(
-        key, (F.col("in_rest") + F.col("in_main")).alias("of_key"), blocks("in_rest").alias("in_rest"), blocks("in_main").alias("in_main"))
-    sized = frequency_split_join(rows, common.materialise(sizes, "key-sizes"), [key], "of_key").drop("of_key")
+        key, (F.col("in_rest") + F.col("in_main")).alias("of_key"), blocks("in_rest").alias("in_rest"),
+        blocks("in_main").alias("in_main")).filter(F.col("of_key") > block)
+    sized = with_large(rows, sizes, key, "of_key")
     own = F.pmod(F.xxhash64(*spread), F.when(F.col("rest"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
     numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(
         F.array().cast("array<int>"))
     entry = lambda kind, i, j, side: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    mine = F.col("own")
+        F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    mine, none = F.col("own"), F.lit(0)
+    whole = F.array(entry(2, none, none, F.when(F.col("rest"), 2).otherwise(1)))
     with_main = F.transform(numbers("in_main"), lambda j: entry(0, mine, j, F.lit(0)))
     with_rest_ = F.transform(numbers("in_rest"), lambda j: entry(
         1, F.least(mine, j), F.greatest(mine, j), F.when(mine == j, 2).when(mine < j, 0).otherwise(1)))
     from_main = F.transform(numbers("in_rest"), lambda i: entry(0, i, mine, F.lit(1)))
-    placed = sized.withColumn("own", own).withColumn(
-        "b", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest_)).otherwise(from_main)))
-    return placed.select("*", "b.*").drop("in_rest", "in_main", "own", "b", "rest")
+    placed = sized.withColumn("own", own).withColumn("b", F.explode(F.when(F.col("of_key").isNull(), whole).when(
+        F.col("rest"), F.concat(with_main, with_rest_)).otherwise(from_main)))
+    return placed.select("*", "b.*").drop("in_rest", "in_main", "of_key", "own", "b", "rest")
 
 
 def remaining_collisions(lists: DataFrame, matches: int) -> DataFrame:
@@ -280,12 +294,12 @@ def collision_components(posted: DataFrame, matches: int) -> DataFrame:
 
 def links_within(members: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) by exact similarity. ``members`` (node, family, text): links lie within families."""
-    families = members.groupBy("family").agg(F.count("node").alias("n"))
-    small = F.col("n") <= TEXT_BLOCK
+    families = members.groupBy("family").agg(F.count("node").alias("n")).filter(F.col("n") > TEXT_BLOCK)
     # Leaders: LEADERS of a large family on average, by hash.
     leader = F.pmod(F.xxhash64("node", "text", F.lit(3)), F.col("n")) < LEADERS
-    first = frequency_split_join(members, common.materialise(families, "family-sizes"), ["family"], "n").select(
-        "family", "node", F.col("node").alias("label"), "text", (small | leader).alias("rest"), small.alias("small"))
+    first = with_large(members, families, "family", "n").select(
+        "family", "node", F.col("node").alias("label"), "text", (F.col("n").isNull() | leader).alias("rest"),
+        F.col("n").isNull().alias("small"))
     compare = lambda placed: placed.groupBy("family", "kind", "i", "j").applyInArrow(
         lambda table: _links(table, size, percent), "u long, v long")
     blocks = lambda rows: in_blocks(rows, "family", TEXT_BLOCK, ("node", "text"))
