@@ -5,11 +5,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from harborwatch.llm import balance, components, language, line_runs, near_dedup, packing, pu_quality, repetition
+from harborwatch.llm import balance, common, components, language, line_runs, near_dedup, packing, pu_quality, repetition
 from tests.llm import brute
 from tests.llm.conftest import DOCS, EDGES
 
@@ -312,20 +313,57 @@ def test_quality_without_positives_and_with_repeated_rows(spark, docs, rows, mon
     known = spark.createDataFrame(labels, schema)
     # A draw of few positives takes them from the documents, not from marks without one.
     assert pu_quality.learn(docs, known.union(strangers), positives=3) is not None
-    given = []
-    fit = pu_quality.fit
-    monkeypatch.setattr(pu_quality, "fit", lambda p, u, prior: given.append((len(p), len(u))) or fit(p, u, prior))
-    pu_quality.learn(docs, known)
-    pu_quality.learn(docs.union(docs).union(docs), known)
-    assert given[0] == given[1]
+    # All rows three times: the same means, hence the same scores.
+    once, thrice = pu_quality.learn(docs, known), pu_quality.learn(docs.union(docs).union(docs), known)
+    assert np.allclose(once[1], thrice[1], atol=1e-6)
+
+
+def _plain_risk(w, positive, unlabelled, prior):
+    """The non-negative risk as it is written, and its second term."""
+    loss = lambda g: np.log1p(np.exp(-g))
+    term = loss(-unlabelled @ w).mean() - prior * loss(-positive @ w).mean()
+    return prior * loss(positive @ w).mean() + max(0, term) + pu_quality.PENALTY / 2 * (w[:-1] ** 2).sum(), term
+
+
+def _memory_terms(u):
+    return lambda w: tuple(x / len(u) for x in pu_quality.softplus_sums(u, w, np.ones(len(u))))
 
 
 def test_non_negative_risk_separates_without_negatives():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (3000, 4)), rng.normal(-1, 1, (600, 4))
-    mean, scale, w, bias = pu_quality.fit(good[:1000], np.concatenate([good[1000:], bad]), 2000 / 2600)
-    z = lambda x: (x - mean) / scale @ w + bias
-    assert (z(good) > 0).mean() > 0.95 and (z(bad) < 0).mean() > 0.9
+    mixed = np.concatenate([good[1000:], bad])
+    scale = mixed.mean(axis=0), mixed.std(axis=0)
+    p, u = pu_quality.standard(good[:1000], scale), pu_quality.standard(mixed, scale)
+    w = pu_quality.fit(_memory_terms(u), p, np.full(1000, 1e-3), 2000 / 2600)
+    z = lambda x: pu_quality.standard(x, scale) @ w
+    assert (z(good) > 0).mean() > 0.95 and (z(bad) < 0).mean() > 0.8
+    least, term = _plain_risk(w, p, u, 2000 / 2600)
+    assert term >= 0
+    for _ in range(200):
+        assert _plain_risk(w + rng.normal(0, 0.05, len(w)), p, u, 2000 / 2600)[0] >= least - 1e-9
+
+
+def test_risk_of_few_positives_stays_non_negative():
+    rng = np.random.default_rng(2)
+    p, u = (np.column_stack([rng.normal(0, 1, (n, 60)), np.ones(n)]) for n in (30, 400))
+    share = np.full(30, 1 / 30)
+    free, free_term = pu_quality._newton(_memory_terms(u), p, share, 0.9, 1.0, np.zeros(61))
+    w = pu_quality.fit(_memory_terms(u), p, share, 0.9)
+    risk, term = _plain_risk(w, p, u, 0.9)
+    assert free_term < 0 <= term and risk < _plain_risk(free, p, u, 0.9)[0] + 1e-9
+
+
+def test_sums_of_tasks_equal_plain_sums(spark, docs, rows):
+    texts = docs.repartition(7).select(F.lit(None).cast("double").alias("weight"), "text")
+    features = texts.mapInArrow(pu_quality._describe_batches, "weight double, x binary")
+    chunk, = common.text_chunks(pa.array([r[1] for r in rows]), 1 << 30)
+    x = pu_quality.describe(chunk)
+    scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    w = np.random.default_rng(3).normal(0, 0.1, pu_quality.WIDTH + 1)
+    got = pu_quality._unlabelled_terms(features, scale, len(rows))(w)
+    for mine, plain in zip(got, _memory_terms(pu_quality.standard(x, scale))(w)):
+        assert np.allclose(mine, plain, rtol=1e-9, atol=1e-12)
 
 
 def test_packing(docs, edges, empty):
