@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as x
@@ -9,8 +12,11 @@ from checks import sql as q
 from checks.ingest_queries import mapping, oriented, placed, prepared, training_windows, window_features
 from checks.registry import query, rounded
 from harborwatch.operators import attack, features, history
+from harborwatch.plans import daily
 from harborwatch.plans import overlay as overlay_plan
 from harborwatch.schema import FEATURES, Params, THINNING
+from harborwatch.session import work_path
+from harborwatch.sources import tables
 
 P = x.PARAMS_60
 KEY = "day, timewindow, port"
@@ -31,6 +37,18 @@ def window_features_cumulative(spark, sf_dir):
     return rounded(window_features(spark, sf_dir, Params(tw_seconds=3600, history_mode="cumulative")))
 
 
+@query("recorded_features_cumulative", q.with_(q.features(3600, "cumulative"), q.rounded_features(KEY, "features")))
+def recorded_features_cumulative(spark, sf_dir):
+    """The same features from a stored table of first sightings: one run for the first weeks, then day by day."""
+    p = Params(tw_seconds=3600, history_mode="cumulative")
+    conns, name = x.conn(spark, sf_dir), f"first_seen_{uuid.uuid4().hex}"
+    tables.first_seen_table(spark, name, work_path(spark, "first-seen"), buckets=8)
+    days = [x.BASE_DAY + timedelta(days=i) for i in range((x.TEST_DAY - x.BASE_DAY).days + 1)]
+    for run in (days[:-3], *([d] for d in days[-3:])):
+        daily.record_first_seen(conns, run, name, p)
+    return rounded(daily.recorded_features(conns, days[1:], name, p))
+
+
 @query("day_window_features", q.with_(q.features(3600), q.rounded_features(KEY, "features")))
 def day_window_features(spark, sf_dir):
     """Same rows from a stored base-day history."""

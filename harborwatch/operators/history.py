@@ -29,6 +29,24 @@ def first_seen(rows: DataFrame) -> DataFrame:
         "day", "port", "ext_ip", "first.ts", "first.uid", "first.timewindow")
 
 
+def first_sightings(rows: DataFrame) -> DataFrame:
+    """One row per (port, external address): the first day and window of ``rows`` that has it; a null address is ''."""
+    first = F.min(F.struct("day", "timewindow")).alias("first")
+    return rows.groupBy("port", F.coalesce("ext_ip", F.lit("")).alias("ext_ip")).agg(first).select(
+        "port", "ext_ip", "first.timewindow", F.col("first.day").alias("first_day"))
+
+
+def unseen(sightings: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """The sightings whose (port, address) ``known`` does not hold.
+
+    Sightings, one row per key, are dealt like the buckets of ``known``, which stays where it is. An anti-join would be moved
+    below the dealing and shuffle both sides; the outer join stays above it.
+    """
+    dealt = sightings.repartition(buckets, "port", "ext_ip")
+    held = known.select("port", "ext_ip", F.lit(True).alias("_held"))
+    return dealt.join(held, ["port", "ext_ip"], "left").filter(F.col("_held").isNull()).select(*sightings.columns)
+
+
 def history_list(history: DataFrame) -> DataFrame:
     """All days' addresses per port with a 0-based position ordered by (day, address)."""
     listed = running_totals(history, ["port", "day", "ext_ip"], {"position": (["port"], F.lit(1).cast("long"))})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from harborwatch.schema import HISTORY_SCHEMA, SUBNET_HOSTS_SCHEMA, features_schema
 
+FIRST_SEEN_SCHEMA = "port int, ext_ip string, timewindow int, first_day date"
+
 
 # --- features ------------------------------------------------------------------
 
@@ -44,6 +46,32 @@ def scan_subnet_hosts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBNET_HOSTS_SCHEMA).parquet(path)
 
 
+def first_seen_table(spark: SparkSession, name: str, path: str, buckets: int = 64) -> None:
+    """Registers the table of first sightings kept at ``path`` as ``name``; a new one is empty.
+
+    Every session that uses it registers it, with the number of buckets it was made with. A bucket should fit in a task:
+    about 64 for 10^8 addresses.
+    """
+    # Makes the folder; a table without rows has no files.
+    spark.createDataFrame([], FIRST_SEEN_SCHEMA).write.mode("append").partitionBy("first_day").parquet(path)
+    spark.sql(f"""CREATE TABLE IF NOT EXISTS {name} ({FIRST_SEEN_SCHEMA}) USING parquet
+        OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (first_day) CLUSTERED BY (port, ext_ip) INTO {buckets} BUCKETS LOCATION '{path}'""")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+
+
+def first_seen_buckets(spark: SparkSession, name: str) -> int:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter(F.col("col_name") == "Num Buckets")
+    return int(described.first()["data_type"])
+
+
+def sink_first_seen(sightings: DataFrame, days: list, name: str) -> None:
+    """Replaces the folders of ``days``. A row without port and address marks each day as run, also one that found nothing."""
+    spark = sightings.sparkSession
+    marks = spark.createDataFrame([(None, None, None, d) for d in days], FIRST_SEEN_SCHEMA)
+    own = sightings.select(*[F.col(f.name).cast(f.dataType) for f in marks.schema.fields])
+    own.unionByName(marks).write.mode("overwrite").insertInto(name)
+
+
 # --- importance ------------------------------------------------------------------
 
 def sink_importance(importance: DataFrame, path: str) -> None:
