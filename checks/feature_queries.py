@@ -319,9 +319,11 @@ def merge_overlay_redirected(spark, sf_dir):
     """All redirected versions of the trace, per port and factor, on one background day."""
     p = x.PARAMS_OVERLAY
     known = history.history_by_day_port(oriented(spark, sf_dir))
-    trace = overlay_plan.redirected_variants(prepared(spark, sf_dir), known, p, FACTORS).drop("port", "n")
+    trace = overlay_plan.redirected_variants(prepared(spark, sf_dir), known, p, FACTORS, packed=True)
+    packed = attack.redirections(FACTORS, p)
     names = [f"port_{port}_history{n}_wannacry" for port in p.ports for n in FACTORS]
-    return rounded(overlay_plan.labelled_day(x.conn(spark, sf_dir), trace, names, x.TEST_DAY, p, x.BASE_DAY).features)
+    return rounded(overlay_plan.labelled_day(
+        x.conn(spark, sf_dir), trace, names, x.TEST_DAY, p, x.BASE_DAY, packed=packed).features)
 
 
 @query("label_windows", q.with_(q.overlay(60), "SELECT timewindow, port, label FROM test"))

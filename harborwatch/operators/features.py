@@ -138,17 +138,21 @@ def merge_traffic(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 # --- peers: distinct and newly seen addresses ----------------------------------
 
-def window_peers(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """One row per (window, address) for both sides of the connections.
-
-    ``external`` tells the side. Duplicates collapse before the shuffle, so a busy address costs at most
-    one row per window and task.
-    """
+def peer_rows(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Both addresses of every connection; ``external`` tells the side."""
     sides = F.explode(F.array(
         F.struct(F.lit(True).alias("external"), F.col("ext_ip").alias("ip")),
         F.struct(F.lit(False).alias("external"), F.col("int_ip").alias("ip")),
     ))
-    return rows.select(*key, sides.alias("peer")).select(*key, "peer.*").distinct()
+    return rows.select(*key, sides.alias("peer")).select(*key, "peer.*")
+
+
+def window_peers(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """One row per (window, address) for both sides of the connections.
+
+    Duplicates collapse before the shuffle, so a busy address costs at most one row per window and task.
+    """
+    return peer_rows(rows, key).distinct()
 
 
 def mark_new_peers(peers: DataFrame, p: Params, base_day: date) -> DataFrame:

@@ -6,7 +6,6 @@ from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from harborwatch.operators import attack, features, history
 from harborwatch.schema import THINNING, Params
@@ -33,19 +32,21 @@ def attacker_mapping(conns: DataFrame, merge_day: date, p: Params) -> DataFrame:
 
 
 def labelled_day(conns: DataFrame, trace: DataFrame, variants: list[str], merge_day: date, p: Params,
-                 base_day: date, known: DataFrame | None = None) -> LabelledDay:
+                 base_day: date, known: DataFrame | None = None, packed: list[str] | None = None) -> LabelledDay:
     """With a stored history (``known``) only the merge day of ``conns`` is read.
 
+    ``packed`` names the bits of a packed trace (``attack.redirections``).
     ``dropped`` counts, per variant, the attack records that fall behind the merge day and are in no window.
     """
     # At most one row per attacker; read by every use of the trace.
     mapping = cut_lineage(attacker_mapping(conns, merge_day, p))
-    chosen = trace.filter(F.col("variant").isin(variants))
+    dropped = attack.past_midnight_rows(attack.attack_window(attack.chosen_variants(trace, variants, packed), p), p)
     return LabelledDay(
-        attack.merge_overlay(conns, chosen, mapping, variants, merge_day, p, base_day, known),
-        attack.past_midnight_rows(attack.attack_window(chosen, p), p))
+        attack.merge_overlay(conns, trace, mapping, variants, merge_day, p, base_day, known, packed),
+        attack.named_variants(dropped, variants, packed))
 
 
-def redirected_variants(prepared: DataFrame, known: DataFrame, p: Params, factors: list[int] = THINNING) -> DataFrame:
-    """Traces that contact addresses already in the history, per port and factor."""
-    return attack.history_variant(prepared, known, factors, p)
+def redirected_variants(prepared: DataFrame, known: DataFrame, p: Params, factors: list[int] = THINNING,
+                        packed: bool = False) -> DataFrame:
+    """Traces that contact addresses already in the history, per port and factor; packed: no record is repeated for them."""
+    return attack.history_variant(prepared, known, factors, p, packed)

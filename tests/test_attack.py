@@ -181,6 +181,43 @@ def test_variants_are_overlaid_side_by_side(spark):
     assert counts["w"] - counts["4w"] == 30
 
 
+def test_packed_redirections_give_the_same_days_and_repeat_no_record(spark):
+    p = Params(tw_seconds=3600, attackers=("192.168.1.114", "192.168.1.50"), ports=(22, 80, 443))
+    conns = conn_frame(spark, random_rows(300, seed=33))
+    trace = trace_frame(spark, [{"ts": i * 1500.0, "resp_h": f"198.51.0.{i % 23}", "duration": float(i % 5), "conn_state": "S0",
+                                 "orig_h": p.attackers[i % 3 == 0]} for i in range(70)])
+    known = spark.createDataFrame([(day(1), 80, f"203.0.0.{i}") for i in range(9)] + [(day(1), 22, f"203.0.1.{i}") for i in range(4)],
+                                  "day date, port int, ext_ip string")
+    factors = [2, 4, 8]
+    names = at.redirections(factors, p)
+    plain = overlay.redirected_variants(trace, known, p, factors).drop("port", "n")
+    packed = overlay.redirected_variants(trace, known, p, factors, packed=True)
+    assert packed.filter("counted").count() == 70 and packed.count() <= 70 * (1 + len(p.ports))
+    wanted = [f"{b}w" for b in names if b != names[2]]
+    want = overlay.labelled_day(conns, plain, wanted, day(3), p, day(1))
+    got = overlay.labelled_day(conns, packed, wanted, day(3), p, day(1), packed=names)
+    rows = lambda df: sorted((str(r.variant), r.timewindow, r.port, r) for r in df.collect())
+    a, b = rows(got.features), rows(want.features)
+    assert [x[:3] for x in a] == [x[:3] for x in b] and len(a) == 8 * 24 * 3
+    for x, y in zip(a, b):
+        assert x[3].label == y[3].label and [x[3][f] for f in FEATURES] == pytest.approx([y[3][f] for f in FEATURES], abs=1e-9)
+    assert sorted(map(tuple, got.dropped.collect())) == sorted(map(tuple, want.dropped.collect()))
+    with pytest.raises(ValueError, match="at most"):
+        at.history_variant(trace, known, list(range(2, 40)), p, packed=True)
+
+
+def test_an_address_counts_once_in_a_window_that_comes_back_the_next_day(spark):
+    p = Params(tw_seconds=3600, attackers=("192.168.1.114",))
+    conns = conn_frame(spark, [{"ts": DAY0 + 2 * 86400 + 43300, "resp_h": "203.0.0.9", "resp_p": 22}])
+    trace = trace_frame(spark, [{"ts": t, "resp_h": h} for t, h in ((0.0, "a"), (86400.0, "a"), (86401.0, "b"), (3600.0, "b"),
+                                                                    (3601.0, "203.0.0.9"), (5.0, "203.0.0.9"))])
+    mapping = spark.createDataFrame([(day(3), "192.168.1.114", "147.32.9.9")], "day date, attacker_ip string, int_ip string")
+    rows = at.merge_overlay(conns, trace, mapping, ["w"], day(3), p, day(1)).filter("label").collect()
+    got = {(r.timewindow, r.port): (r.external_ips, r.new_external_ips, r.internal_ips) for r in rows}
+    assert got[12, 22] == (3, 2, 2) and got[12, 80] == (3, 2, 1)
+    assert got[13, 22] == (2, 1, 1) and got[13, 80] == (2, 1, 1)
+
+
 def test_attackers_take_hosts_of_one_subnet(spark):
     conns = conn_frame(spark, random_rows(300, seed=31))
     mapping = overlay.attacker_mapping(conns, day(2), P).collect()
