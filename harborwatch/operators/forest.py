@@ -136,13 +136,15 @@ def bootstrap(vectors: DataFrame, models: DataFrame, p: Params, trees: int = TRE
     """(port, model, tree, draw, v): rows drawn with replacement, min(sample, n) per tree.
 
     ``vectors``: (port, position 1..n, v); ``models``: (port, model, first, n) says which positions a model may
-    draw. Each draw hashes to a position and fetches it by an equi-join, so no port is gathered.
+    draw. Each draw hashes to a position and fetches it by an equi-join, so no port is gathered; both sides are shuffled,
+    as neither the windows nor the draws of all models are a table for the driver.
     """
     draws = models.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     ).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(sample), F.col("n")).cast("int") - 1)).alias("draw"))
     position = F.col("first") + number_column(p.seed, "draw", "port", "model", "tree", "draw") % F.col("n")
-    return draws.select("port", "model", "tree", "draw", position.alias("position")).join(vectors, ["port", "position"])
+    return draws.select("port", "model", "tree", "draw", position.alias("position")).join(
+        vectors.hint("merge"), ["port", "position"])
 
 
 def _grow(drawn: DataFrame, widths: dict[int, int], p: Params, columns: list[str], single: bool = False) -> DataFrame:
@@ -171,7 +173,8 @@ def _score_blocks(vectors: DataFrame, nodes: DataFrame, keys: list[str], columns
     groups = [c for c in ("variant", "port", "block") if c in rows.columns]
     carried = [f for f in vectors.schema.fields if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", model int, score double"
-    forest = nodes.join(fresh(rows.select(*groups).distinct()), "port")
+    # One row per block of windows is sent to the nodes, which are many more rows.
+    forest = nodes.join(F.broadcast(fresh(rows.select(*groups).distinct())), "port")
     place = {c: i for i, c in enumerate(columns)}
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

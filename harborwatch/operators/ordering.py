@@ -45,10 +45,11 @@ def running_totals(
         # One row per (group, range partition): small next to the data.
         shifts = tagged.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in columns.items()]).select(
             *keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_shift_{n}") for n in columns])
-        # The window already placed the rows by these keys, so the join moves only the shifts.
+        # The window already placed and sorted the rows by these keys, so the merge moves only the shifts. Without the hint
+        # the rows may be taken for the small side and be sent to the driver and every task.
         result = (
             result.withColumns({n: F.sum(v).over(inside) for n, v in columns.items()})
-            .join(shifts, keys)
+            .join(shifts.hint("merge"), keys)
             .withColumns({n: F.col(n) + F.col(f"_shift_{n}") for n in columns})
             .drop(*[f"_shift_{n}" for n in columns])
         )
@@ -63,7 +64,8 @@ def ordinals(df: DataFrame, order: list[str], names: dict[str, list[str]]) -> Da
 def window_ordinals(windows: DataFrame, group: list[str], order: list[str], block: str, name: str) -> DataFrame:
     """Row numbers for tables that hold at most one day of windows per (group, block).
 
-    Blocks are counted first, so each sort sees one block only.
+    Blocks are counted first, so each sort sees one block only. The windows lie sorted by these keys, so the merge moves
+    only the counts; the windows are never the side that is sent to the driver and every task.
     """
     inside = W.partitionBy(*group, block).orderBy(*order)
     earlier = W.partitionBy(*group).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
@@ -73,7 +75,7 @@ def window_ordinals(windows: DataFrame, group: list[str], order: list[str], bloc
     )
     return (
         windows.withColumn(name, F.row_number().over(inside))
-        .join(shift, [*group, block])
+        .join(shift.hint("merge"), [*group, block])
         .withColumn(name, (F.col(name) + F.col("_shift")).cast("long"))
         .drop("_shift")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.functions.normal import normal_cdf
 from harborwatch.operators import ensemble, forest, importance, kde, ranking, scaling, vectors
+from harborwatch.operators.ordering import ordinals, window_ordinals
 from harborwatch.plans import isolation, training
 from harborwatch.schema import MODEL_FEATURES, Params
 from tests.helpers import day, feature_frame
@@ -420,3 +421,17 @@ def test_importance_finds_the_telling_feature(spark):
     table = importance.rf_importance(feature_frame(spark, rows), [22, 80], trees=10, max_depth=5)
     got = {(r.port, r.feature): r.weight for r in table.collect()}
     assert len(got) == 35 and max(got, key=got.get) == (22, "S0_count")
+
+
+def test_windows_and_draws_are_not_sent_to_the_driver(spark):
+    """Small sides of a join may be broadcast; windows are not one, however few they seem."""
+    windows = spark.createDataFrame([(p, day(d), t, [float(t)]) for p in (22, 80) for d in (2, 3) for t in range(40)],
+                                    "port int, day date, timewindow int, v array<double>")
+    numbered = window_ordinals(windows, ["port"], ["timewindow"], "day", "position")
+    models = spark.createDataFrame([(22, 0, 1, 80), (80, 0, 1, 80)], "port int, model int, first int, n long")
+    drawn = forest.bootstrap(numbered.select("port", "position", "v"), models, P, trees=3, sample=20)
+    assert drawn.count() == 2 * 3 * 20
+    ranked = ordinals(windows, ["timewindow", "day", "port"], {"place": ["port"]})
+    for table in (drawn, numbered, ranked):
+        table.collect()
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
