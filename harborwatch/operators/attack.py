@@ -29,10 +29,14 @@ def attack_row_filter(trace: DataFrame, p: Params) -> DataFrame:
     return trace.filter(F.col("orig_h").isin(list(p.attackers)) & (F.col("resp_p") == p.attack_port))
 
 
-def drop_internal_only_sources(trace: DataFrame, p: Params) -> DataFrame:
-    """Keep sources that contact at least one destination outside the attack network."""
+def drop_internal_only_sources(trace: DataFrame, p: Params, few: bool = False) -> DataFrame:
+    """Keep sources that contact at least one destination outside the attack network.
+
+    ``few``: the trace holds the sources of a given list only. They go to the records then, which a shuffle by source would
+    bring to as many tasks as there are sources.
+    """
     outward = trace.filter(~F.col("resp_h").startswith(p.attack_prefix)).select("variant", "orig_h").distinct()
-    return trace.join(outward, ["variant", "orig_h"], "left_semi")
+    return trace.join(F.broadcast(outward) if few else outward, ["variant", "orig_h"], "left_semi")
 
 
 def remap_internal_dst(trace: DataFrame, p: Params) -> DataFrame:
@@ -52,7 +56,7 @@ def relative_time(trace: DataFrame) -> DataFrame:
 
 
 def prepare_attack(trace: DataFrame, p: Params) -> DataFrame:
-    attack = drop_internal_only_sources(attack_row_filter(trace, p), p)
+    attack = drop_internal_only_sources(attack_row_filter(trace, p), p, few=True)
     return relative_time(remap_internal_dst(attack, p))
 
 
@@ -317,6 +321,9 @@ def merge_overlay(
     else:
         known = known.filter((F.col("day") >= F.lit(base_day)) & (F.col("day") < F.lit(merge_day)))
     placed = place_attack(chosen_variants(trace, variants, packed), mapping, merge_day, p)
+    if packed is None:
+        # Used for statistics and peers: mapped and placed once. A packed trace would write a row per record and port.
+        placed = cut_lineage(placed)
     key = ["variant", "day", "timewindow", "port"]
 
     # Records are aggregated once; only window rows are repeated for variants and ports. At most a day of windows per variant,

@@ -30,6 +30,20 @@ def test_only_attack_traffic_of_outward_sources_is_kept(spark):
     assert got[1][1] == got[2][1] and not got[1][1].startswith("192.168.")
 
 
+def test_records_are_not_gathered_by_their_few_sources(spark, tmp_path):
+    trace_frame(spark, [{"ts": float(i), "resp_h": f"198.51.0.{i % 9}"} for i in range(50)]).repartition(3).write.parquet(str(tmp_path / "t"))
+    prepared = at.drop_internal_only_sources(at.attack_row_filter(spark.read.parquet(str(tmp_path / "t")), P), P, few=True)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a long trace
+    try:
+        whole = at.prepare_attack(spark.read.parquet(str(tmp_path / "t")), P)
+        assert whole.count() == prepared.count() == 50
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_relative_time_is_per_variant(spark):
     t = trace_frame(spark, [{"ts": 100.0}, {"ts": 103.5}])
     both = t.unionByName(t.withColumn("ts", F.col("ts") + 7).withColumn("variant", F.lit("x")))
