@@ -20,6 +20,12 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
 CHUNK_BYTES = 1 << 20
+#: The same where arrays of words, shingles or features are many times the text.
+SMALL_CHUNK_BYTES = 1 << 18
+
+#: Bytes of an Arrow batch of texts; a larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Separators of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -44,6 +50,16 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of texts that a Python worker, and the buffers of its executor, hold at once.
+
+    Spark cuts Arrow batches by rows and only then at 64 MB, so memory would grow with the length of the texts, several
+    times for each worker. A limit that the session has set itself stays.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes to the shared folder and reads back: the rows are fixed and survive the loss of executors."""
     path = work_path(df.sparkSession, name)
@@ -74,10 +90,10 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i < n; kept in the process for the usual chunk size."""
+    """BASE^i and BASE^-i modulo 2^64 for i < n; kept in the process for the usual chunk sizes."""
     have = len(_powers["up"]) if _powers else 0
     if have < n:
-        size = max(n, CHUNK_BYTES + 64)
+        size = max(n, (SMALL_CHUNK_BYTES if n <= SMALL_CHUNK_BYTES + 64 else CHUNK_BYTES) + 64)
         up, down = (np.full(size, b, np.uint64) for b in (_BASE, _INVERSE))
         up[0] = down[0] = 1
         up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)

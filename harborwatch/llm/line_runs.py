@@ -85,6 +85,7 @@ def _part() -> Column:
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc, part): distinct keys of each row."""
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     return docs.select(_doc().alias("doc"), _part().alias("part"), "text").mapInArrow(
         lambda batches: _postings(batches, min_chars), "key binary, doc long, part long")
 
@@ -199,6 +200,7 @@ def _rewrite(
 def _without(docs: DataFrame, drops: DataFrame, min_chars: int, counts: tuple[str, str]) -> DataFrame:
     """``docs`` with the keys of ``drops`` (key, doc, part) taken out; adds the two counts."""
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     lists = drops.groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part")).agg(F.collect_list("key").alias("_drops"))
     # Written first, so that adaptive execution can split the join where a text is repeated in very many rows.

@@ -107,7 +107,7 @@ def signatures(of: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray,
 
 def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in common.text_chunks(batch.column(2)):
+        for chunk in common.text_chunks(batch.column(2), common.SMALL_CHUNK_BYTES):
             rows = len(chunk.offsets) - 1
             n, high, low, sign = signatures(*shingles(chunk, size), rows)
             yield pa.RecordBatch.from_arrays(
@@ -120,6 +120,7 @@ def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 def features(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, high, low, sign) of every row."""
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         lambda batches: _features(batches, size),
         "doc_id long, text_hash long, n_shingles long, high long, low long, sign binary")
@@ -201,7 +202,7 @@ def _links(table: pa.Table, size: int, percent: int) -> pa.Table:
     """Joining edges by similarity of full shingle sets, in one block of a component."""
     node, group, one, two = _sides(table)
     sets = []
-    for chunk in common.text_chunks(table.column("text")):
+    for chunk in common.text_chunks(table.column("text"), common.SMALL_CHUNK_BYTES):
         of, h = shingles(chunk, size)
         cut = np.searchsorted(of, np.arange(len(chunk.offsets)))
         sets += [h[cut[k]: cut[k + 1]] for k in range(len(chunk.offsets) - 1)]

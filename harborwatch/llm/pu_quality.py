@@ -43,6 +43,8 @@ HALVINGS = 5
 THRESHOLD = 0.7
 #: Pieces in which the sums of the tasks are added.
 PARTS = 64
+#: Feature rows that a task widens to doubles at once.
+ROWS = 1024
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -102,7 +104,7 @@ def describe(chunk: common.Chunk) -> np.ndarray:
 
 def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in common.text_chunks(batch.column(1)):
+        for chunk in common.text_chunks(batch.column(1), common.SMALL_CHUNK_BYTES):
             x = describe(chunk)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(chunk.first, len(x)), pa.array([r.tobytes() for r in x], pa.binary())],
@@ -180,8 +182,8 @@ def _task_sums(batches: Iterator[pa.RecordBatch], per_rows: Callable[[np.ndarray
     """The sum of ``per_rows`` over a task's texts, in ``PARTS`` pieces."""
     total = None
     for batch in batches:
-        for first in range(0, batch.num_rows, 4096):
-            own = per_rows(_matrix(batch.column(0).slice(first, 4096)))
+        for first in range(0, batch.num_rows, ROWS):
+            own = per_rows(_matrix(batch.column(0).slice(first, ROWS)))
             total = own if total is None else total + own
     if total is not None:
         task = TaskContext.get().partitionId()
@@ -234,6 +236,7 @@ def _moments(x: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES):
     """The fitted model, or None without a positive."""
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(
         ~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     by_id = marks.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
@@ -263,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES):
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest = batch.columns[:-1]
-        for chunk in common.text_chunks(batch.column(len(rest))):
+        for chunk in common.text_chunks(batch.column(len(rest)), common.SMALL_CHUNK_BYTES):
             x = describe(chunk)
             if model is None:
                 score = np.full(len(x), 0.5)
@@ -276,6 +279,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 def _scored(docs: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns, _held_out and _score of every row."""
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return docs.select(*keep, held_out().alias("_held_out"), F.col("text").alias("_text")).mapInArrow(
         lambda batches: _score(batches, model), f"{own}, _held_out boolean, _score double")

@@ -1,5 +1,6 @@
 """Operators on documents against plain versions, edge cases and empty tables."""
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -410,3 +411,21 @@ def test_clashing_column_names(spark):
     assert kept.select(*frame.columns).collect() == frame.collect()
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert pu_quality.accept(frame, labels).count() <= 1
+
+
+def test_stages_hold_a_bounded_piece_of_the_texts(spark, rows):
+    """However long the texts of a task are: batches of a few MB, and arrays of a small piece of them."""
+    near_dedup.features(spark.createDataFrame(rows, DOCS), 5)
+    long = spark.range(0, 24, 1, 1).select(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words")), 1 << 17).alias("text"))
+    sizes = [r["n"] for r in long.mapInArrow(
+        lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) > 4 * common.BATCH_BYTES and max(sizes) < 1.5 * common.BATCH_BYTES
+    texts = pa.array([" ".join(f"w{(i * k) % 5003}" for i in range(300)) for k in range(2000)])
+    ids = pa.array(range(len(texts)), pa.int64())
+    for run in (lambda: near_dedup._features([pa.record_batch([ids, ids, texts], ["d", "h", "t"])], 5),
+                lambda: pu_quality._describe_batches([pa.record_batch([ids, texts], ["w", "t"])])):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run()) == len(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100 * common.SMALL_CHUNK_BYTES
