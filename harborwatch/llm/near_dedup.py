@@ -163,7 +163,7 @@ def leader_pairs(lists: DataFrame, matches: int, leaders: int, turn: int) -> Dat
     met = lists.join(leader, "token").filter(F.col("label") != F.col("leader.label"))
     return met.select(F.least("node", "leader.node").alias("u"), F.greatest("node", "leader.node").alias("v"),
                       "sign", F.col("leader.sign").alias("other")).mapInArrow(
-        lambda batches: _collide(batches, matches), "u long, v long").distinct()
+        lambda batches: _collide(batches, matches), "u long, v long")
 
 
 def _joining(one: np.ndarray, two: np.ndarray, group: np.ndarray, met: Callable[[int, np.ndarray], np.ndarray]) -> list:

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import random
 import tempfile
 import time
 
@@ -218,6 +219,35 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)} | {200: 100}
 
 
+def test_components_of_many_blocks(spark, monkeypatch):
+    """Local forests and star steps together give the components, also of long paths, hubs and repeated links."""
+    monkeypatch.setattr(components, "LINK_BLOCK", 24)
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(500, 620)] + [(1000, k) for k in range(1001, 1060)] + [(3, 1059), (620, 2), (2, 2)]
+    links += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    links = [link if rng.random() < 0.5 else link[::-1] for link in links * 2]
+    rng.shuffle(links)
+    of = {n: n for link in links for n in link}
+    for a, b in links:
+        low, high = sorted((of[a], of[b]))
+        of = {n: low if c == high else c for n, c in of.items()}
+    alone = {n for n in of if list(of.values()).count(of[n]) == 1}
+    got = components.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()
+    assert len(got) == len(set(got)) and dict(got) == {n: c for n, c in of.items() if n not in alone}
+    half = components.components(spark.createDataFrame(links[::2], "u long, v long"))
+    assert set(components.components(spark.createDataFrame(links[1::2], "u long, v long"), half).collect()) == set(got)
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_few_links_take_few_steps(spark, monkeypatch):
+    written = []
+    kept = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or kept(df, name))
+    links = [(i, i + 1) for i in range(300)]
+    assert dict(components.components(spark.createDataFrame(links, "u long, v long")).collect()) == {i: 0 for i in range(301)}
+    assert len(written) <= 3
+
+
 def test_pipeline_stage_by_stage(spark, docs, edges, empty):
     labels = f"{SF}"
     for frame in (spark.read.parquet(f"{SF}/documents.parquet"), edges, empty):
