@@ -7,9 +7,9 @@ of two documents. Sequence numbers carry the bucket in their top byte; the seque
 Nothing is shuffled. Null or empty text: the document is the end id alone. Rows that repeat are documents of their own.
 The ids are those of the ``tokenizers`` library and its vocabulary file. A text is cut into units, each a run of
 spaces and line breaks with what follows it; the ids of a unit do not depend on its neighbours, so ids of units already
-seen are remembered (bounded in number), and others come from the same vocabulary's rank file, whose reader is faster on
-short strings. Texts with other white space, where a cut could matter, or with the strings of special tokens are
-encoded whole by ``tokenizers``. Tests compare the two readers.
+seen lately are remembered (bounded in number), and others come from the same vocabulary's rank file, whose reader is
+faster on short strings. Texts with other white space, where a cut could matter, or with the strings of special tokens
+are encoded whole by ``tokenizers``. Tests compare the two readers.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ from harborwatch.llm import common
 
 MAX_LENGTH = 1024
 END_ID = 0
-#: Units whose ids a worker remembers; the memory is emptied when full.
-MEMO_UNITS = 800_000
+#: Units whose ids a worker remembers; when full, the half not met since the last time is forgotten.
+MEMO_UNITS = 1 << 17
+#: Pieces, and bytes of their ids, that a worker gathers before it hands them on, within a document as well.
+OUT_ROWS = 4096
+OUT_BYTES = 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -51,11 +54,15 @@ class _Memo(dict):
 
     def __init__(self, encode) -> None:
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MEMO_UNITS:
+        if len(self) >= MEMO_UNITS // 2:
+            self.older = dict(self)
             self.clear()
-        ids = _as_bytes(self.encode(unit))
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = _as_bytes(self.encode(unit))
         if len(unit) <= 64:
             self[unit] = ids
         return ids
@@ -107,8 +114,9 @@ def _pack(
         kinds = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0), batch.column(1)):
             doc_id, text = doc_id.as_py(), text.as_py()
             ids = encode(text or "") + end
@@ -121,11 +129,12 @@ def _pack(
                 rows.append((doc_id, start, length, zlib.crc32(piece), total, sequence, 0, bucket)
                             + ((piece,) if with_ids else ()))
                 start += length
-            if len(rows) >= 4096:
-                yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
+                held += len(piece)
+                if len(rows) >= OUT_ROWS or held >= OUT_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+    if rows:
+        yield out(rows)
 
 
 def pack(
@@ -136,6 +145,7 @@ def pack(
     if longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     files = vocabulary or public_tokenizers.path(VOCABULARY), ranks or public_tokenizers.path(RANKS)
     schema = RESULT if with_ids else RESULT.rpartition(", ")[0]
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _pack(batches, files, longest, with_ids), schema)

@@ -401,6 +401,26 @@ def test_both_readers_of_the_vocabulary_agree():
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_holds_a_bounded_piece_of_the_ids(spark, monkeypatch):
+    """Pieces of a long document leave in small batches, and the memory of units forgets those not met lately."""
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda _: 0})())}))
+    files = public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS)
+    text = " ".join(f"w{i}" for i in range(400_000))
+    given = pa.record_batch([pa.array([1, 2]), pa.array([text, "short"])], ["doc_id", "text"])
+    out = list(packing._pack([given], files, packing.MAX_LENGTH, True))
+    assert max(b.nbytes for b in out) < 1.5 * packing.OUT_BYTES and len(out) > 3
+    ids = packing.encoder(*files)(text) + b"\0\0\0\0"
+    rows = [r for b in out for r in b.to_pylist()]
+    assert b"".join(r["ids"] for r in rows if r["doc_id"] == 1) == ids and rows[-1]["doc_id"] == 2
+    monkeypatch.setattr(packing, "MEMO_UNITS", 100)
+    asked = []
+    memo = packing._Memo(lambda unit: asked.append(unit) or [len(asked)])
+    for i in range(1000):
+        assert memo["often"] == memo["often"] and memo[f"u{i}"]
+        assert len(memo) + len(memo.older) <= 101
+    assert asked.count("often") == 1
+
+
 def test_clashing_column_names(spark):
     rows = [(1, "one two three four five six", "en", "s", 5, 1, 2, 3, "k")]
     names = ("doc_id long, text string, lang string, source string, n_chars long, label int, size int, score int, n_lines string")
